@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,21 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import arrow_map, stored, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
-MAX_FEATURES = 3_000
-#: Word beginnings of these lengths are features beside whole words.
-STEMS = (4, 5, 6, 7)
+MAX_FEATURES = 1_200
+#: Word beginnings of these lengths are features beside whole words, once for each of so many different words they begin.
+STEMS, OFTEN = (5, 7), (1, 2, 3)
 HELD_OUT_OF = 5
 WORD = re.compile(r"\w+")
 
 
 def features(text: str) -> set[str]:
-    """Words of a text in lower case, and their beginnings marked by a star."""
+    """Words of a text in lower case, and beginnings that at least n different words have, as beginning*n."""
     words = set(WORD.findall(text.lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
+    out = set(words)
+    for n in STEMS:
+        for stem, times in Counter(w[:n] for w in words if len(w) > n).items():
+            out.update(f"{stem}*{k}" for k in OFTEN if k <= times)
+    return out
 
 
 class Scorer:
@@ -45,15 +50,21 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float], offset: float) -> None:
         self.weights, self.offset = weights, offset
-        self.words = {f: w for f, w in weights.items() if not f.endswith("*")}
-        self.stems = [{f[:n]: w for f, w in weights.items() if f.endswith("*") and len(f) == n + 1} for n in STEMS]
+        self.words = {f: w for f, w in weights.items() if "*" not in f}
+        self.stems: dict[str, list[float]] = {}
+        for name, weight in weights.items():
+            stem, star, k = name.partition("*")
+            if star:
+                self.stems.setdefault(stem, [0.0] * len(OFTEN))[OFTEN.index(int(k))] = weight
 
     def score(self, text: str) -> float:
         words = set(WORD.findall(text.lower()))
-        total = self.offset + sum(self.words[w] for w in words.intersection(self.words))
-        for n, stems in zip(STEMS, self.stems, strict=True):
-            if stems:
-                total += sum(stems[s] for s in {w[:n] for w in words if len(w) > n}.intersection(stems))
+        total, stems = self.offset, self.stems
+        for word in sorted(words.intersection(self.words)):
+            total += self.words[word]
+        seen = Counter(s for n in STEMS for w in words if len(w) > n and (s := w[:n]) in stems)
+        for stem in sorted(seen):
+            total += sum(w for k, w in zip(OFTEN, stems[stem], strict=True) if k <= seen[stem])
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, total))))
 
 
@@ -62,24 +73,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), dtype=np.float32)
+    out = np.zeros((len(rows), width), dtype=np.uint8)
     for i, row in enumerate(rows):
         out[i, row] = 1
     return out
 
 
-def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, epochs: int = 30, batch: int = 1024, rate: float = 0.05, decay: float = 2e-4, beta: float = 0.0, seed: int = 0) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, epochs: int = 80, batch: int = 2048, rate: float = 0.1, decay: float = 1e-5, beta: float = 0.0, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and offset of a linear scorer by non-negative PU risk; Adam over batches that hold both kinds of rows."""
     rng = np.random.default_rng(seed)
     w = np.zeros(width + 1, dtype=np.float32)
-    w[-1] = math.log(prior / (1 - prior))
+    x_p, x_u = _matrix(positive, width), _matrix(unlabelled, width)
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
     n_batches = max(1, math.ceil(len(unlabelled) / batch))
     for _ in range(epochs):
         for up, uu in zip(np.array_split(rng.permutation(len(positive)), n_batches), np.array_split(rng.permutation(len(unlabelled)), n_batches), strict=True):
             if not len(up):
                 up = rng.integers(len(positive), size=min(len(positive), 64))
-            xp, xu = _matrix([positive[i] for i in up], width), _matrix([unlabelled[i] for i in uu], width)
+            xp, xu = x_p[up].astype(np.float32), x_u[uu].astype(np.float32)
             fp, fu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
             sp, su = _sigmoid(fp), _sigmoid(fu)
             # The sigmoid loss of label y is sigmoid(-y f); its slope in f is -y s (1 - s).
@@ -119,6 +130,14 @@ def _chosen_features(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("doc_id", "kind", "text"), found, "doc_id bigint, kind int, feature string")
 
 
+def _without_twins(found: list[tuple[str, int, int]]) -> list[str]:
+    """Of a word and its beginnings that are in equally many texts, the shortest."""
+    out: dict[tuple, str] = {}
+    for name, p, u in sorted(found, key=lambda x: (len(x[0]), x[0])):
+        out.setdefault((name[: STEMS[0]], p, u), name)
+    return list(out.values())
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Scorer:
     """Learns from labels (doc_id, toxic) and docs (doc_id, text) whose doc_id isn't held out. What reaches the driver is bounded by the parameters."""
     open_labels = labels.filter(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -141,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     p, u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_unl + 1)
     pooled = (F.col("p") + F.col("u") + 1) / (n_pos + n_unl + 2)
     z = F.abs(p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
-    best = rates.filter((F.col("p") + F.col("u")) >= 4).withColumn("z", z).filter("z >= 3").orderBy(F.desc("z"), "feature").limit(max_features)
-    best = [r[0] for r in best.select("feature").collect()]
+    best = rates.filter((F.col("p") + F.col("u")) >= 4).withColumn("z", z).filter("z >= 5").orderBy(F.desc("z"), "feature").limit(max_features)
+    best = _without_twins([tuple(r) for r in best.select("feature", "p", "u").collect()])
     if not best:
         return Scorer({}, math.log(prior / (1 - prior)))
     at = {f: i for i, f in enumerate(best)}
