@@ -110,7 +110,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch):
         words = [t.split() for t in text_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([len(w) for w in words], pa.int64()), pa.array(map(_digest, words), pa.string())], names=["doc_id", "twin", "n_words", "whole_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.string())], names=["doc_id", "twin", "n_words", "whole_sha256"])
 
     return arrow_map(docs, rows, "doc_id bigint, twin bigint, n_words bigint, whole_sha256 string")
 
