@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import oracles
 from plumbline.llm.ann import op8_nearest
 from plumbline.llm.decontam import op6_decontaminate
 from plumbline.llm.html_main import op10_main_text
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix_sources": oracles.MIX, "op4_near_duplicates": oracles.NEAR, "op6_decontaminate": oracles.LEAKS, "op9_repeated_passages": oracles.REPEATS}

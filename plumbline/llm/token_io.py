@@ -69,50 +69,55 @@ def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
 class Encoder:
     """Ids of texts, word by word through a bounded memory of words.
 
-    A space that follows a character which is no white space always begins a new pre-token in byte-level vocabularies,
-    so a text's ids are those of its pieces between such spaces. Texts with any other space are encoded whole.
+    In byte-level vocabularies a space or line feed between two characters that are no white space begins a pre-token, and
+    a line feed there is one by itself. So the ids of a text whose only white space are such single characters are those
+    of its words, each with the space or line feed before it. Any other text is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 0xFFFF
-        self.dtype = "<u4" if self.wide else "<u2"
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.wide = size > 0xFFFF
+        self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        #: Ids of words: "\n" before a word stands for itself, and no "\n" for a space.
+        self.known: dict[str, bytes] = {}
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.begins = {" ": np.array([n.startswith("\u0120") for n in names]), "\n": np.array([n.startswith("\u010a") for n in names])}
         #: Texts that hold a special token's string are encoded whole.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in coded]
-
-    def encode(self, text: str) -> bytes:
-        first, *later = text.split(" ")
-        if any(s in text for s in self.special) or later and not self._splits(first):
-            return self.ids([text])[0]
-        if len(self.later) + len(self.first) > CACHE_WORDS:
-            self.first.clear()
-            self.later.clear()
-        if first not in self.first:
-            self.first[first] = self.ids([first])[0]
-        new = set(later).difference(self.later)
-        open_end = b""
-        if bad := [p for p in new if not self._splits(p)]:
-            if bad != later[-1:] or later.count(bad[0]) > 1:
-                return self.ids([text])[0]
-            new.remove(later.pop())
-            open_end = self.ids([" " + bad[0]])[0]
-        if new:
-            self.later.update(zip(new, self.ids([" " + p for p in new]), strict=True))
-        return b"".join((self.first[first], *map(self.later.__getitem__, later), open_end))
-
-    @staticmethod
-    def _splits(piece: str) -> bool:
-        """Whether a space after piece begins a pre-token."""
-        return bool(piece) and not piece[-1].isspace()
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+
+    def learn(self, words: list[str], before: str) -> None:
+        """Remembers words that follow a space or line feed: one text of them all, cut where ids begin with that."""
+        width = self.dtype.itemsize
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            data = self.ids("".join(part) if before == "\n" else " " + " ".join(part))
+            cuts = (np.flatnonzero(self.begins[before][np.frombuffer(data, dtype=self.dtype)]) * width).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not begin a token at each space")
+            self.known.update(zip(part, (data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, without the end id."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        split: list[list[str] | None] = []
+        for text in texts:
+            core = text.removesuffix("\n")
+            plain = len(core.split()) == core.count(" ") + core.count("\n") + 1 and not any(s in text for s in self.special)
+            split.append(("\n" + text).replace("\n", " \n").split(" ")[1:] if plain else None)
+        new = set().union(*filter(None, split)).difference(self.known)
+        lines = [w for w in new if w[0] == "\n"]
+        self.learn(lines, "\n")
+        self.learn(list(new.difference(lines)), " ")
+        # A line feed was put before each text; its id goes again.
+        return [self.ids(t) if words is None else b"".join(map(self.known.__getitem__, words))[self.dtype.itemsize :] for t, words in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -131,7 +136,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str) -> None:
         known = encoder(vocabulary)
         doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         for a in range(0, len(doc_ids), 256):
-            framed = [frame(i, known.encode(t or "") + known.end, known.wide)[:-1] for i, t in zip(doc_ids[a : a + 256], texts.slice(a, 256).to_pylist(), strict=True)]
+            coded = known.encode([t or "" for t in texts.slice(a, 256).to_pylist()])
+            framed = [frame(i, ids + known.end, known.wide)[:-1] for i, ids in zip(doc_ids[a : a + 256], coded, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], names=["frame"])
 
     framed = arrow_map(ordered.select("doc_id", "text"), rows, "frame binary")

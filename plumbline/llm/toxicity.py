@@ -117,17 +117,26 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _chosen_features(rows: DataFrame) -> DataFrame:
-    """(doc_id, kind, feature): each sampled text's distinct features."""
+def _with_features(rows: DataFrame) -> DataFrame:
+    """(doc_id, kind, features): each sampled text's distinct features."""
 
     def found(batch: pa.RecordBatch):
-        for i in range(batch.num_rows):
-            names = sorted(features(batch.column("text")[i].as_py() or ""))
-            for a in range(0, len(names), 50_000):
-                part = names[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("doc_id")[i].as_py()] * len(part), pa.int64()), pa.array([batch.column("kind")[i].as_py()] * len(part), pa.int32()), pa.array(part, pa.string())], names=["doc_id", "kind", "feature"])
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            names = pa.array([sorted(features(t or "")) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("kind"), names], names=["doc_id", "kind", "features"])
 
-    return arrow_map(rows.select("doc_id", "kind", "text"), found, "doc_id bigint, kind int, feature string")
+    return arrow_map(rows.select("doc_id", "kind", "text"), found, "doc_id bigint, kind int, features array<string>")
+
+
+def _places(rows: DataFrame, at: dict[str, int]) -> DataFrame:
+    """(doc_id, kind, places): which of the chosen features each text has."""
+
+    def found(batch: pa.RecordBatch):
+        places = [sorted(at[f] for f in names if f in at) for names in batch.column("features").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "kind", "places"])
+
+    return arrow_map(rows, found, "doc_id bigint, kind int, places array<int>")
 
 
 def _without_twins(found: list[tuple[str, int, int]]) -> list[str]:
@@ -152,11 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     n_docs = train.select("doc_id").count()
     share = int(min(1.0, max_unlabelled / max(1, n_docs)) * (1 << 20))
     unlabelled = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share).withColumn("kind", F.lit(0))
-    rows = stored(_chosen_features(positive.unionByName(unlabelled)), "toxic-features")
-    n_pos, n_unl = (rows.filter(f"kind = {k}").select("doc_id").distinct().count() for k in (1, 0))
+    rows = stored(_with_features(positive.unionByName(unlabelled)), "toxic-features")
+    n_pos, n_unl = (rows.filter(f"kind = {k}").count() for k in (1, 0))
     if not n_pos or not n_unl:
         return Scorer({}, math.log(prior / (1 - prior)))
-    rates = rows.groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
+    rates = rows.select("kind", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
     p, u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_unl + 1)
     pooled = (F.col("p") + F.col("u") + 1) / (n_pos + n_unl + 2)
     z = F.abs(p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
@@ -165,12 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     if not best:
         return Scorer({}, math.log(prior / (1 - prior)))
     at = {f: i for i, f in enumerate(best)}
-    spark = docs.sparkSession
-    places = F.broadcast(spark.createDataFrame(list(at.items()), "feature string, place int"))
-    held = rows.join(places, "feature", "inner").groupBy("doc_id", "kind").agg(F.collect_list("place").alias("places"))
-    held = {(i, k): places for i, k, places in held.collect()}
-    ids = rows.groupBy("doc_id", "kind").count().select("doc_id", "kind").orderBy("doc_id", "kind").collect()
-    x = {k: [held.get((i, kind), []) for i, kind in ids if kind == k] for k in (0, 1)}
+    held = _places(rows, at).orderBy("doc_id", "kind").collect()
+    x = {k: [r["places"] for r in held if r["kind"] == k] for k in (0, 1)}
     weights, offset = fit_nnpu(x[1], x[0], len(best), prior)
     return Scorer({f: float(w) for f, w in zip(best, weights, strict=True) if abs(w) > 1e-6}, offset)
 
