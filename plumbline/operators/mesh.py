@@ -107,7 +107,7 @@ def closest_faces(queries: DataFrame, triangles: DataFrame, vertices: DataFrame,
     """face_id of each query (face_id, x, y, z, nx, ny, nz), hit, and the nearest surface point hx, hy, hz, by cells.
 
     A triangle lies in every cell its box covers; a query whose nearest candidate is within the side is settled, the rest
-    go on with cells of twice the side.
+    go on with cells of four times the side.
     """
     t = corners(triangles.withColumnRenamed("face_id", "hit"), vertices, ("x", "y", "z", "nx", "ny", "nz"))
     left, out = queries, None
@@ -132,7 +132,7 @@ def closest_faces(queries: DataFrame, triangles: DataFrame, vertices: DataFrame,
         left = left.join(done.select("face_id"), "face_id", "left_anti")
         if last or left.isEmpty():
             return out
-        side *= 2
+        side *= 4
 
 
 def normal_deviation(hits: DataFrame) -> DataFrame:

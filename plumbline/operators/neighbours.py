@@ -2,7 +2,7 @@
 
 A distance predicate alone would make a nested-loop join. Points get the integer cell they lie in and vertices look into
 27 cells, so the join is on equal keys. A point outside these cells is farther than the cell's side, hence a vertex whose
-nearest candidate is within the side is settled, ties included; the others go on with cells of twice the side. What is
+nearest candidate is within the side is settled, ties included; the others go on with cells of four times the side. What is
 left after ROUNDS rounds, or when a cell is as large as all points together, has no other points to find.
 """
 
@@ -65,7 +65,7 @@ def _grown(vertices: DataFrame, points: DataFrame, settle: Callable[[DataFrame,
         left = left.join(done.select("vertex_id"), "vertex_id", "left_anti")
         if left.isEmpty():
             break
-        side *= 2
+        side *= 4
     return out
 
 
