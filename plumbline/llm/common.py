@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that numpy works on at once, so that memory doesn't follow batch or document size.
 CHUNK_BYTES = 1 << 20
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +69,25 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
+    """names, each with as many underscores behind it as it takes to be none of columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with a function of one batch; df's columns reach it as they are."""
+    """mapInArrow with a function of one batch; df's columns reach it as they are.
+
+    Batches of texts are held to BATCH_ROWS rows in the session, as workers and executors hold one as a whole.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

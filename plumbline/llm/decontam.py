@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, table, text_bytes
+from plumbline.llm.common import arrow_map, fresh, table, text_bytes
 from plumbline.llm.words import ALNUM, doc_hashes, hashes
 
 WINDOW = 10
@@ -234,12 +234,12 @@ def search_texts(texts: list[bytes], phrases: Phrases) -> tuple[list[int], dict,
     return n_words, spans, items
 
 
-SPANS = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+SPANS = ("bigint", "array<struct<start:int,end:int>>", "array<string>")
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, the spans of words that benchmark (item_id, text) phrases cover, and the items found."""
+def find_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, into: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
+    """docs with n_words, the spans of words that benchmark (item_id, text) phrases cover, and the items found; into: their columns' names."""
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_words * 4)))
@@ -252,16 +252,16 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
         def rows(batch: pa.RecordBatch, phrases=phrases, again=block > 0):
             n_words, spans, items = search_texts(list(text_bytes(batch.column("text"))), phrases.value)
             if again:
-                for i, (old_spans, old_items) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                for i, (old_spans, old_items) in enumerate(zip(batch.column(into[1]).to_pylist(), batch.column(into[2]).to_pylist(), strict=True)):
                     if old_spans:
                         spans[i] = [*spans.get(i, []), *((s["start"], s["end"]) for s in old_spans)]
                         items[i] = items.get(i, set()) | set(old_items)
             every = range(batch.num_rows)
             found = pa.array([[{"start": a, "end": b} for a, b in merged(spans[i])] if i in spans else [] for i in every], _SPAN_TYPE)
             listed = pa.array([sorted(items.get(i, ())) for i in every], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(n_words, pa.int64()), found, listed], names=[*names, "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(n_words, pa.int64()), found, listed], names=[*names, *into])
 
-        out = arrow_map(out, rows, f"{columns}, {SPANS}")
+        out = arrow_map(out, rows, f"{columns}, {', '.join(f'`{n}` {t}' for n, t in zip(into, SPANS, strict=True))}")
     return out
 
 
@@ -277,15 +277,15 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with benchmark passages cut out of the text (and n_chars set anew); all rows stay."""
-    names = docs.columns
+    names, into = docs.columns, fresh(docs.columns, "n_words", "spans", "items")
 
     def rows(batch: pa.RecordBatch):
-        hit = [i for i, s in enumerate(batch.column("spans")) if len(s)]
+        hit = [i for i, s in enumerate(batch.column(into[1])) if len(s)]
         out = batch.select(names)
         if hit:
             texts = out.column("text").to_pylist()
             for i in hit:
-                texts[i] = cut_words(texts[i], [(s["start"], s["end"]) for s in batch.column("spans")[i].as_py()])
+                texts[i] = cut_words(texts[i], [(s["start"], s["end"]) for s in batch.column(into[1])[i].as_py()])
             at = names.index("text")
             out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
             if "n_chars" in names:
@@ -295,7 +295,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 out = out.set_column(at, out.schema.field(at), pa.array(chars, out.schema.field(at).type))
         yield out
 
-    return arrow_map(find_spans(docs, benchmark), rows, docs.schema)
+    return arrow_map(find_spans(docs, benchmark, into=into), rows, docs.schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import arrow_map, stored, table
+from plumbline.llm.common import arrow_map, fresh, stored, table
 from plumbline.llm.words import BLANK_SPLIT
 
 WEIGHTS = (5, 2, 1)
@@ -124,18 +124,18 @@ def apply_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     Rows alike in doc_id, source and text share evenly (rounded down) what the plan gives them together.
     """
-    twin = F.xxhash64("text")
-    plan = mix_plan(docs.withColumn("twin", twin), seed, extra=("twin",))
-    plan = plan.groupBy(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), "twin").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken_"), F.max("size").alias("size_"))
-    plan = plan.filter("taken_ > 0")
-    on = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (twin == F.col("twin"))
+    id_, source_, twin_, taken_, size_ = fresh(docs.columns, "id", "source", "twin", "taken", "size")
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("twin"))
+    plan = mix_plan(keyed, seed, extra=("twin",)).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("twin").alias(twin_))
+    plan = plan.agg(F.floor(F.sum("taken") / F.count("*")).alias(taken_), F.max("size").alias(size_)).filter(F.col(taken_) > 0)
     names = docs.columns
-    joined = docs.join(plan, on).select(*[docs[c] for c in names], F.col("taken_").alias("taken__"), F.col("size_").alias("size__"))
+    on = docs["doc_id"].eqNullSafe(plan[id_]) & docs["source"].eqNullSafe(plan[source_]) & (F.xxhash64(docs["text"]) == plan[twin_])
+    joined = docs.join(plan, on).select(*[docs[c] for c in names], taken_, size_)
 
     def rows(batch: pa.RecordBatch):
         take, text, chars = [], [], []
         texts = batch.column("text").to_pylist()
-        for i, (n, size) in enumerate(zip(batch.column("taken__").to_pylist(), batch.column("size__").to_pylist(), strict=True)):
+        for i, (n, size) in enumerate(zip(batch.column(taken_).to_pylist(), batch.column(size_).to_pylist(), strict=True)):
             whole, part = divmod(n, size)
             copies = [texts[i]] * whole + ([first_words(texts[i], part)] if part else [])
             take += [i] * len(copies)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, stored, table, text_bytes
+from plumbline.llm.common import arrow_map, fresh, stored, table, text_bytes
 from plumbline.llm.graph import components
 from plumbline.llm.words import BLANK_SPLIT, U64, grams, hashes, mix
 
@@ -227,8 +227,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the rows whose doc_id is its component's."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("id_"), F.col("twin").alias("twin_")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("twin_")), "left_anti")
+    id_, twin_ = fresh(docs.columns, "id", "twin")
+    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("twin").alias(twin_)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[id_]) & (F.xxhash64(docs["text"]) == gone[twin_]), "left_anti")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
