@@ -33,9 +33,9 @@ from plumbline.llm.common import arrow_map, new_path, stored, table
 
 END_ID = 2
 #: Text bytes a record file is made of; a file is read back as a whole.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 8 << 20
 #: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 MASK_DELTA = 0xA282EAD8
 
 
