@@ -30,12 +30,12 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.common import stored, table
 
-PROJECTIONS, THRESHOLD = 96, 0.7
+PROJECTIONS, THRESHOLD = 64, 0.7
 #: The k-th best must have passed the threshold by so many standard deviations before the windows stop widening.
 SURE = 1.28
 #: Half a window's first width, in units of the sphere's radius, and the factor of each step.
-FIRST, WIDER = 0.04, 1.35
-BLOCK, QUERY_BLOCK = 8_192, 1_024
+FIRST, WIDER = 0.08, 1.45
+BLOCK, QUERY_BLOCK = 16_384, 1_024
 
 
 def _normal_cdf(x: float) -> float:
