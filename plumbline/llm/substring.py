@@ -109,8 +109,12 @@ def _whole(docs: DataFrame) -> DataFrame:
     """(doc_id, twin, n_words, whole_sha256): what a text yields if nothing is removed."""
 
     def rows(batch: pa.RecordBatch):
-        words = [t.split() for t in text_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.string())], names=["doc_id", "twin", "n_words", "whole_sha256"])
+        n_words, digests = [], []
+        for text in text_bytes(batch.column("text")):  # one text's words at a time
+            words = text.split()
+            n_words.append(len(words))
+            digests.append(_digest(words))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array(n_words, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "twin", "n_words", "whole_sha256"])
 
     return arrow_map(docs, rows, "doc_id bigint, twin bigint, n_words bigint, whole_sha256 string")
 
