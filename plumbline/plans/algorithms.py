@@ -130,7 +130,7 @@ def finished(before: tuple[int, int], vertices: DataFrame, triangles: DataFrame,
 
 def describe(spark: SparkSession) -> DataFrame:
     """One row an algorithm, its parameters nested."""
-    rows = [(a.name, a.label, [(p.name, p.label, p.kind, float(p.default), p.low and float(p.low), p.high and float(p.high), p.visible_when) for p in a.parameters()]) for a in ALGORITHMS.values()]
+    rows = [(a.name, a.label, [(p.name, p.label, p.kind, float(p.default), None if p.low is None else float(p.low), None if p.high is None else float(p.high), p.visible_when) for p in a.parameters()]) for a in ALGORITHMS.values()]
     return spark.createDataFrame(rows, "name string, label string, params array<struct<name:string,label:string,kind:string,default:double,min:double,max:double,visible_when:string>>")
 
 
