@@ -4,7 +4,8 @@ The DOMs of all pages of a host are merged into one tree: a node stands for a pl
 with counts of its styles (the sequence of its children's tags) and of its contents. After Yi, Liu and Li (2003) a place
 that looks and reads the same on all pages carries little: its importance is the entropy of its styles, and of contents
 one minus the mean share of the pages' logarithm that a content repeats on; a branch has the weighted mean of what
-is in it. Branches of low importance are removed from each page.
+is in it, on all levels. Branches of low importance are removed from each page, but none that holds an <article>, a
+<main> or a text of its own importance. Copies of a page count once a host.
 
 What HTML itself names is not left to statistics, so hosts of one page work too: navigation, headers, footers, asides,
 forms, scripts and elements named as adverts, menus, notices or comments always go, and the inside of <article> or
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, stored, table
 
-#: Branches below this importance go, if their place was seen MIN_SEEN times on the host.
+#: Branches below this importance go, if MIN_SEEN different pages of the host have their place.
 LOW, MIN_SEEN = 0.35, 6
-#: How far up a node counts for the branches that hold it, and how much less a level up.
-LEVELS, FADE = 6, 0.9
+#: How much less a node counts for the branches that hold it, a level up.
+FADE = 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
@@ -159,7 +160,10 @@ def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
 
 
 def style_rows(html: str) -> Counter:
-    """Times of each (place, places above, kind, feature) of a page: kind 0 is a style, 1 a content."""
+    """Times of each (place, place above, kind, feature) of a page: kind 0 is a style, 1 a content; 2 is once for each place, 3 once for that of an outermost article or main.
+
+    Elements that always go count for nothing.
+    """
     out: Counter = Counter()
     stack: list[tuple[Node, list[str]]] = []
     for kind, x in parse(html):
@@ -170,15 +174,16 @@ def style_rows(html: str) -> Counter:
                 stack[-1][1].append(x)
         else:
             _, texts = stack.pop()
-            above, node = [], x
-            while node.parent is not None and len(above) <= LEVELS:
-                above.append(node.place)
-                node = node.parent
+            if x.gone:
+                continue
+            key = (x.place, x.parent.place if x.parent.parent else None)
             style = "|".join(c for i, c in enumerate(x.children) if i == 0 or c != x.children[i - 1])
-            key = (x.place, tuple(above))
             out[(*key, 0, xxhash.xxh3_64_intdigest(style.encode("utf-8", "surrogatepass")) >> 1)] += 1
             if x.tag not in RAW and (text := _squeeze(" ".join(texts))):
                 out[(*key, 1, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1)] += 1
+            out[(*key, 2, 0)] = 1
+            if x.main and not x.parent.main:
+                out[(*key, 3, 0)] = 1
     return out
 
 
@@ -187,14 +192,20 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, place, seen, importance) of the merged trees of pages (host, html)."""
+    """(host, place, seen, importance, best, holds) of the merged trees of pages (host, html).
+
+    seen: different pages that have the place; best: the highest importance of a text in the branch; holds: whether an
+    article or main is in it.
+    """
+    keyed = pages.select("host", "html", F.xxhash64("host", "html").alias("page"))
+    copies = stored(keyed.groupBy("page").agg(F.count("*").alias("copies")).filter("copies > 1"), "page-copies")
 
     def rows(batch: pa.RecordBatch):
         total: dict = {}
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        for host, html, copies in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("copies").to_pylist(), strict=True):
             for key, n in style_rows(html or "").items():
                 key = (host, *key)
-                total[key] = total.get(key, 0) + n
+                total[key] = total.get(key, 0) + n / (copies or 1)
             if len(total) > 100_000:
                 yield out(total)
                 total = {}
@@ -203,32 +214,52 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def out(total: dict) -> pa.RecordBatch:
         host, place, above, kind, feature = zip(*total, strict=True)
-        arrays = (pa.array(host, pa.string()), pa.array(place, pa.int64()), pa.array([list(a) for a in above], pa.list_(pa.int64())), pa.array(kind, pa.int32()), pa.array(feature, pa.int64()), pa.array(list(total.values()), pa.int64()))
+        arrays = (pa.array(host, pa.string()), pa.array(place, pa.int64()), pa.array(above, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64()), pa.array(list(total.values()), pa.float64()))
         return pa.RecordBatch.from_arrays(list(arrays), names=["host", "place", "above", "kind", "feature", "n"])
 
-    found = arrow_map(pages.select("host", "html"), rows, "host string, place bigint, above array<bigint>, kind int, feature bigint, n bigint")
-    counts = found.groupBy("host", "place", "kind", "feature").agg(F.sum("n").alias("n"), F.first("above").alias("above"))
-    is_text, n = F.col("kind") == 1, F.col("n").cast("double")
-    only = lambda value: F.sum(F.when(~is_text, value).otherwise(F.lit(0.0)))
+    found = arrow_map(keyed.join(copies, "page", "left").select("host", "html", "copies"), rows, "host string, place bigint, above bigint, kind int, feature bigint, n double")
+    # The shares of a page's copies add up to one page.
+    counts = found.groupBy("host", "place", "kind", "feature").agg(F.round(F.sum("n")).alias("n"), F.first("above").alias("above"))
+    n = F.col("n")
+    only = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(F.lit(0.0)))
     nodes = counts.groupBy("host", "place").agg(
-        F.first("above").alias("above"),
-        only(n).alias("m"),
-        only(n * F.log(n)).alias("style_logs"),
-        F.sum(F.when(is_text, n).otherwise(0.0)).alias("texts"),
-        F.sum(F.when(is_text, n * F.log(n)).otherwise(0.0)).alias("text_logs"),
+        F.first("above").alias("up"),
+        only(0, n).alias("m"),
+        only(0, n * F.log(n)).alias("style_logs"),
+        only(1, n).alias("texts"),
+        only(1, n * F.log(n)).alias("text_logs"),
+        only(2, n).cast("bigint").alias("seen"),
+        F.max(F.col("kind") == 3).alias("holds"),
     )
     style = F.when(F.col("m") > 1, (F.log("m") - F.col("style_logs") / F.col("m")) / F.log("m")).otherwise(1.0)
     # The mean over occurrences of the logarithm of how often the same content occurs, against the most it could be.
     content = F.when(F.col("texts") > 1, 1 - F.col("text_logs") / F.col("texts") / F.log("texts")).otherwise(1.0)
     nodes = nodes.withColumn("own", F.when(F.col("texts") > 0, content).otherwise(style)).withColumn("size", F.when(F.col("texts") > 0, F.col("texts")).otherwise(0.01 * F.col("m")))
-    up = nodes.select("host", F.posexplode("above").alias("level", "branch"), "own", "size", "m")
-    weight = F.col("size") * F.pow(F.lit(FADE), F.col("level"))
-    return up.groupBy("host", F.col("branch").alias("place")).agg(F.max(F.when(F.col("level") == 0, F.col("m"))).alias("seen"), (F.sum(weight * F.col("own")) / F.sum(weight)).alias("importance"))
+    best = F.when(F.col("texts") > 0, F.col("own")).otherwise(0.0)
+    branches = _branches(nodes.select("host", "place", "up", "seen", (F.col("size") * F.col("own")).alias("carried"), "size", best.alias("best"), "holds"))
+    return branches.select("host", "place", "seen", (F.col("carried") / F.col("size")).alias("importance"), "best", "holds")
+
+
+def _branches(nodes: DataFrame) -> DataFrame:
+    """nodes (host, place, up, seen, carried, size, best, holds) with what is in their branches, on however many levels.
+
+    Each round adds what the places 2^k levels below have gathered and doubles the levels, so a tree takes as many rounds
+    as its depth has binary digits.
+    """
+    fade, nodes = FADE, stored(nodes, "branches")
+    while not nodes.filter("up is not null").isEmpty():
+        below = nodes.filter("up is not null").groupBy("host", F.col("up").alias("place")).agg(F.sum("carried").alias("more"), F.sum("size").alias("wider"), F.max("best").alias("better"), F.max("holds").alias("held"))
+        higher = nodes.filter("up is not null").select("host", F.col("place").alias("up"), F.col("up").alias("next"))
+        joined = nodes.join(below, ["host", "place"], "left").join(higher, ["host", "up"], "left")
+        add = lambda a, b: F.col(a) + F.lit(fade) * F.coalesce(b, F.lit(0.0))  # noqa: E731, B023
+        nodes = stored(joined.select("host", "place", F.col("next").alias("up"), "seen", add("carried", "more").alias("carried"), add("size", "wider").alias("size"), F.greatest("best", "better").alias("best"), F.greatest("holds", "held").alias("holds")), "branches")
+        fade *= fade
+    return nodes
 
 
 def low_places(tree: DataFrame, low: float = LOW, min_seen: int = MIN_SEEN) -> DataFrame:
-    """(host, low): the places of each host whose branches carry little."""
-    return tree.filter((F.col("seen") >= min_seen) & (F.col("importance") < low)).groupBy("host").agg(F.collect_list("place").alias("low"))
+    """(host, low): the places of each host whose branches carry little and hold no article, main or important text."""
+    return tree.filter((F.col("seen") >= min_seen) & (F.col("importance") < low) & (F.col("best") < low) & ~F.col("holds")).groupBy("host").agg(F.collect_list("place").alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

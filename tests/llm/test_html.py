@@ -34,5 +34,16 @@ def test_articles_are_kept_though_they_repeat(spark):
     assert {r["text"] for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"same text"}
 
 
+def test_deep_articles_and_copies_survive(spark):
+    """Same-looking wrappers, seven levels and more above the text, and hosts that are mostly copies of one page."""
+    deep = "<html><body>" + "<div>" * 9 + "<ul><li>Menu</li></ul><article><p>{}</p></article>" + "</div>" * 9 + "</body></html>"
+    plain = "<html><body><div><div><p>{}</p></div><b>Our site</b></div></body></html>"
+    rows = [(i, "http://deep.example/", deep.format(f"text {i}"), "c", "c", "c") for i in range(12)]
+    rows += [(100 + i, "http://copies.example/", plain.format("same" if i < 40 else f"other {i}"), "c", "c", "c") for i in range(48)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].split("\n")[-1] == f"text {i}" for i in range(12))
+    assert got[100] == "same" and got[145] == "other 45"
+
+
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
