@@ -110,7 +110,8 @@ class Encoder:
         split: list[list[str] | None] = []
         for text in texts:
             core = text.removesuffix("\n")
-            plain = len(core.split()) == core.count(" ") + core.count("\n") + 1 and not any(s in text for s in self.special)
+            # Equal only if single spaces and line feeds, each between two words, are all the white space there is.
+            plain = core != "" and " ".join(core.split()) == core.replace("\n", " ") and not any(s in text for s in self.special)
             split.append(("\n" + text).replace("\n", " \n").split(" ")[1:] if plain else None)
         new = set().union(*filter(None, split)).difference(self.known)
         lines = [w for w in new if w[0] == "\n"]

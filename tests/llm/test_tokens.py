@@ -28,6 +28,13 @@ def test_encoder_equals_the_library(tokenizer, rows, monkeypatch):
             assert got == [x.ids for x in tokenizer.encode_batch(texts[a : a + 5], add_special_tokens=False)]
 
 
+def test_white_space_that_cancels_out(tokenizer):
+    """As many separators as single ones would be, but not single spaces and line feeds."""
+    texts = ["a  b\tc", "end.  Next\u00a0one", "a\n\n\nb\tc\td", "a \nb\u2003c", " a\u00a0b", "a\u00a0b ", "x\n\n", "\n", "a b\nc", "a\n b\x1dc", "a\u200b b\x85c  d"]
+    got = [np.frombuffer(b, "<u2").tolist() for b in T.Encoder(PATH).encode(texts)]
+    assert got == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_records(spark, docs, rows, tokenizer, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "FILE_BYTES", 100_000)
     path = f"file://{tmp_path}/r"
