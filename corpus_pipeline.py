@@ -8,6 +8,10 @@ from plumbline.llm import decontam, mixing, near_dedup, token_io, toxicity
 from plumbline.llm.common import stored, table
 
 
+#: Near-duplicates of the pipeline are alike from this percentage of their shingles on; op4's contract has another.
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text isn't called toxic; learnt from the labels of rows that aren't held out."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -15,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least doc_id."""
-    return near_dedup.drop_duplicates(docs)
+    return near_dedup.drop_duplicates(docs, NEAR_PERCENT)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

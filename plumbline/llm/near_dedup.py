@@ -10,7 +10,8 @@
    Those members are compared in tiles of bounded size, numpy against numpy: only links leave a task, never all pairs.
    Then components are found once more.
 
-With 32 bands of 6 bins a pair at the least similarity of 0.85 shares no bucket with a chance of 3e-7; all else is exact.
+The least similarity is a parameter: 85 % in the op4 query, 80 % in the pipeline. Bands follow from it: with 32 bands of 6
+bins a pair at 0.85, and with 38 of 5 a pair at 0.80, shares no bucket with a chance of 3e-7; all else is exact.
 
 Defined results: null and blank texts have no shingles and stand alone; rows with equal text are of one class even when
 their doc_ids are equal or null; a component's id is its least doc_id that isn't null; a row with a null id is kept only
@@ -19,6 +20,8 @@ where its component has no other id; an empty table gives no rows; further colum
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,8 +35,10 @@ from plumbline.llm.words import BLANK_SPLIT, U64, grams, hashes, mix
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; this is the percent of the op4 query.
 PERCENT = 85
+#: Chance at most with which a pair of the least similarity may share no bucket, and bands that rows are chosen for.
+MISSED, MOST_BANDS = 3e-7, 38
 #: Members of a bucket that one task compares with as many others.
 TILE = 192
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -78,11 +83,22 @@ def sketches(text: np.ndarray, shingles: np.ndarray, n: int, bins: int = BINS) -
     return out
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, rows) for pairs of percent and more: the most rows that MOST_BANDS bands allow, and as many bands as it takes."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be above 0 and at most 100, not {percent}")
+    if percent >= PERCENT:
+        return BANDS, ROWS
+    need = lambda rows: math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** rows)))
+    rows = max((r for r in range(1, ROWS + 1) if need(r) <= MOST_BANDS), default=1)
+    return need(rows), rows
+
+
+def bands(sketch: np.ndarray, shape: tuple[int, int] = (BANDS, ROWS)) -> np.ndarray:
     """The bucket of each band, the band itself being part of it."""
-    parts = sketch.reshape(len(sketch), BANDS, ROWS)
-    out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), parts.shape[:2]).copy()
-    for row in range(ROWS):
+    parts = sketch.reshape(len(sketch), *shape)
+    out = np.broadcast_to(np.arange(1, shape[0] + 1, dtype=U64), parts.shape[:2]).copy()
+    for row in range(shape[1]):
         out = mix(out * U64(0x9E3779B97F4A7C15) + parts[:, :, row])
     return out
 
@@ -91,8 +107,9 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def sketch_table(docs: DataFrame) -> DataFrame:
+def sketch_table(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, twin, n_shingles, set_a, set_b, bands) of docs (doc_id, text); twin: a hash of the text."""
+    shape = band_shape(percent)
 
     def rows(batch: pa.RecordBatch):
         at = 0
@@ -105,8 +122,8 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             np.cumsum(mix(shingles ^ U64(0x5851F42D4C957F2D)), out=sums[1, 1:])
             ends = np.cumsum(count)
             keys = sums[:, ends] - sums[:, ends - count]
-            buckets = bands(sketches(text, shingles, n))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(signed(buckets.ravel())))
+            buckets = bands(sketches(text, shingles, n, shape[0] * shape[1]), shape)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * shape[0]), pa.array(signed(buckets.ravel())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), batch.column("twin").slice(at, n), pa.array(count.astype(np.int64)), pa.array(signed(keys[0])), pa.array(signed(keys[1])), listed], names=["doc_id", "twin", "n_shingles", "set_a", "set_b", "bands"])
             at += n
 
@@ -128,7 +145,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("node", "text"), rows, "node bigint, shingles array<bigint>")
 
 
-def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None) -> list[tuple[int, int]]:
+def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between (node, component, set) of two tiles, or inside one, that join components not yet joined here."""
     both = left + (right or [])
     members = np.concatenate([s for _, _, s in both])
@@ -143,7 +160,7 @@ def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, i
         shared += matrix @ matrix.T
     size = np.array([len(s) for _, _, s in both], dtype=np.float32)
     union = size[:, None] + size[None, :] - shared
-    ok = 100 * shared >= PERCENT * union
+    ok = 100 * shared >= percent * union
     if right is not None:
         ok[:cut, :cut] = ok[cut:, cut:] = False
     root = {c: c for _, c, _ in both}
@@ -162,15 +179,15 @@ def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, i
     return out
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("shared", shared).filter(100 * F.col("shared") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def _missed_links(crowds: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+def _missed_links(crowds: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of a bucket that are in different components. crowds: (bucket, node)."""
     placed = crowds.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
@@ -190,31 +207,31 @@ def _missed_links(crowds: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
     def links(pdf):
         here = {t: [(n, r, np.asarray(s)) for n, r, s in zip(g["node"], g["root"], g["shingles"], strict=True)] for t, g in pdf.groupby("tile")}
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        found = tile_links(here.get(i, []), None if i == j else here.get(j, [])) if i in here or j in here else []
+        found = tile_links(here.get(i, []), None if i == j else here.get(j, []), percent) if i in here or j in here else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
     return dealt.groupBy("bucket", "i", "j").applyInPandas(links, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, twin, n_shingles, component_id, kept) for every row of docs (doc_id, text); links from percent on."""
     docs = docs.select("doc_id", "text")
-    sketch = stored(sketch_table(docs), "sketch")
+    sketch = stored(sketch_table(docs, percent), "sketch")
     classes = sketch.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "twin")).alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     rank = F.struct(F.xxhash64("node").alias("rank"), F.col("node"), F.col("n"))
     stars = members.groupBy("bucket").agg(F.min(rank).alias("hub"), F.count("*").alias("members")).filter("members > 1")
     crowds = stored(members.join(stars, "bucket").select("bucket", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "crowds")
-    near = F.expr(f"100 * least(n, hub_n) >= {PERCENT} * greatest(n, hub_n)")
+    near = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
     pairs = stored(crowds.filter((F.col("node") != F.col("hub")) & near).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     chosen = nodes.join(crowds.select("node").distinct(), "node", "left_semi").select("node", F.col("one.doc_id").alias("id_"), F.col("one.twin").alias("twin_"))
     texts = docs.withColumn("twin", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("twin") == F.col("twin_"))).select("node", "text").dropDuplicates(["node"])
     sets = stored(full_sets(texts), "sets")
-    links = stored(_confirmed(pairs, sets), "links")
+    links = stored(_confirmed(pairs, sets, percent), "links")
     roots = stored(components(links), "roots")
-    missed = stored(_missed_links(crowds.select("bucket", "node"), roots, sets), "missed")
+    missed = stored(_missed_links(crowds.select("bucket", "node"), roots, sets, percent), "missed")
     if not missed.isEmpty():
         roots = components(links.unionAll(missed))
     placed = nodes.select("node", "set_a", "set_b", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -225,12 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "twin", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def drop_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each group: the rows whose doc_id is its component's."""
     id_, twin_ = fresh(docs.columns, "id", "twin")
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("twin").alias(twin_)).distinct()
+    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("twin").alias(twin_)).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone[id_]) & (F.xxhash64(docs["text"]) == gone[twin_]), "left_anti")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(table(spark, sf_dir, "documents"), PERCENT).select("doc_id", "n_shingles", "component_id", "kept")

@@ -91,3 +91,25 @@ def test_drop_duplicates_keeps_one(docs):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert 5 in ids and not {6, 7, 8, 16} & set(ids) - {7} and 0 in ids
+
+
+def test_pipeline_links_from_80_percent(spark):
+    """Pairs at 0.79, 0.80, 0.82 and 0.85, by shared shingles of all: the pipeline drops all but the first, op4 links only the last."""
+    import corpus_pipeline
+
+    rows = []
+    for k, (shared, own) in enumerate([(79, 21), (80, 20), (82, 18), (85, 15)]):
+        w = [f"p{k}w{i}" for i in range(104)]  # 100 shingles, of which the shorter text has the first
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[: shared + 4]))]
+        assert len(shingles(rows[-2][1])) == shared + own and len(shingles(rows[-1][1])) == shared
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {0, 1, 10, 20, 30}
+    assert {r["doc_id"] for r in N.near_duplicates(docs).filter("not kept").collect()} == {31}
+
+
+def test_bands_follow_the_percentage():
+    assert N.band_shape(85) == (32, 6) and N.band_shape(80) == (38, 5)
+    for percent in (20, 50, 70, 79, 80, 84, 85, 95):
+        bands, rows = N.band_shape(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= N.MISSED
