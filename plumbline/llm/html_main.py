@@ -5,11 +5,15 @@ with counts of its styles (the sequence of its children's tags) and of its conte
 that looks and reads the same on all pages carries little: its importance is the entropy of its styles, and of contents
 one minus the mean share of the pages' logarithm that a content repeats on; a branch has the weighted mean of what
 is in it, on all levels. Branches of low importance are removed from each page, but none that holds an <article>, a
-<main> or a text of its own importance. Copies of a page count once a host.
+<main> or a text of its own importance. Pages that are alike but for what always goes count once a host.
 
 What HTML itself names is not left to statistics, so hosts of one page work too: navigation, headers, footers, asides,
-forms, scripts and elements named as adverts, menus, notices or comments always go, and the inside of <article> or
-<main>, where a page has one, is never pruned by importance. All counting is by pre-aggregated sums over (host, place),
+forms, scripts and elements named as what differs from page to page without being the page's text (adverts, comments,
+related links) always go, outside <article> and <main> also those named as menus, notices or the like. Inside, such names
+are a prior: the element goes unless its place is known to carry something, and headings and sections, whose ids are
+made from their own words, are not judged by ids. A page with <article> or <main> has its text there and in places
+outside that are known to carry something; a place is known if MIN_SEEN different pages of the host have it. Where it
+is not known, tags and names decide; an <article> or <main> that importance would empty stays as it is. All counting is by pre-aggregated sums over (host, place),
 so a host with a third of all pages is no hot group; the list of removed places goes to the pages by a join that Spark
 broadcasts only below its size limit.
 
@@ -45,11 +49,15 @@ CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 NEVER = frozenset("head script style noscript template nav footer aside form iframe object svg canvas button select textarea input menu dialog title audio video map xmp noembed noframes search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|comments?|disqus|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget)(?=$|[\s_-])", re.I)
+#: Names of what differs from page to page, so that importance can't tell it from the text.
+VARIED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumbs?|sidebar|comments?|disqus|respond|related|recommend\w*|pagination|pager)(?=$|[\s_-])", re.I)
+#: Elements whose ids are made from their headings' words.
+SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 MAIN = frozenset(("article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "place", "label", "gone", "main", "children", "depth")
+    __slots__ = ("tag", "parent", "place", "label", "gone", "main", "named", "children", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         self.tag, self.parent, self.children = tag, parent, []
@@ -62,9 +70,13 @@ class Node:
         role = named.get("role", "").lower()
         self.main = bool(parent and parent.main) or tag in MAIN or role == "main"
         inside = bool(parent and parent.main)
+        words = named.get("class", "") if inside and tag in SLUGGED else classes
+        judged = bool(words) and tag not in ("html", "body", "article", "main")
+        #: Named as no part of the text, if its place isn't known to carry something.
+        self.named = judged and inside and bool(NAMED.search(words)) and not VARIED.search(words)
         self.gone = bool(
             parent and parent.gone or tag in NEVER or tag == "header" and not inside or role in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
-            or classes and tag not in ("html", "body", "article", "main") and NAMED.search(classes)
+            or judged and not self.named and NAMED.search(words)
             or tag == "article" and classes and re.search(r"comment", classes, re.I)
         )
 
@@ -127,12 +139,22 @@ def _squeeze(text: str) -> str:
     return " ".join(unescape(text).split())
 
 
-def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the page's main text; low: places whose branches are removed."""
+def main_text(html: str, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset(), told: frozenset[int] = frozenset()) -> str:
+    """The blocks of the page's main text; low: places whose branches are removed; high: places whose branches hold a text of importance; told: places whose own texts have it."""
     events = parse(html)
     has_main = any(kind == 0 and node.main and not node.gone for kind, node in events)
-    blocks, run, gone = [], [], 0
+    text, in_main = _blocks(events, has_main, low, high, told)
+    if has_main and low and not in_main:
+        text, _ = _blocks(events, has_main, low - {x.place for kind, x in events if kind == 0 and x.main}, high, told)
+    return text
+
+
+def _blocks(events: list[tuple[int, object]], has_main: bool, low: frozenset[int], high: frozenset[int], told: frozenset[int]) -> tuple[str, bool]:
+    """The blocks that stay, and whether any of their text is in an article or main."""
+    blocks, run, gone, in_main = [], [], 0, False
     open_main = 0
+    # Whether the text of each open element stays where it stands outside article and main.
+    known = [not has_main]
 
     def flush() -> None:
         if run and (text := _squeeze("".join(run))):
@@ -141,22 +163,26 @@ def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
 
     for kind, x in events:
         if kind == 1:
-            if not gone and (open_main or not has_main):
+            if not gone and (open_main or known[-1]):
                 run.append(x)
+                in_main = in_main or open_main > 0 and not x.isspace()
             continue
         if kind == 0 and x.tag in BLOCKS or kind == 2 and x.tag in BLOCKS:
             flush()
         elif x.tag == "br" and kind == 0:
             run.append(" ")
-        out = x.gone or not x.main and x.place in low
+        out = x.gone or x.place in low or x.named and x.place not in high
         if kind == 0:
             gone += out
             open_main += x.main
+            # Inline elements go with the block that they stand in.
+            known.append(not has_main or x.place in told or known[-1] and x.tag not in BLOCKS)
         else:
             gone -= out
             open_main -= x.main
+            known.pop()
     flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks), in_main
 
 
 def style_rows(html: str) -> Counter:
@@ -192,13 +218,20 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, place, seen, importance, best, holds) of the merged trees of pages (host, html).
+    """(host, place, seen, importance, own, best, holds) of the merged trees of pages (host, html).
 
-    seen: different pages that have the place; best: the highest importance of a text in the branch; holds: whether an
+    seen: different pages that have the place; own: the importance of its own texts, 0 without; best: the highest importance of a text in the branch; holds: whether an
     article or main is in it.
     """
     keyed = pages.select("host", "html", F.xxhash64("host", "html").alias("page"))
-    copies = stored(keyed.groupBy("page").agg(F.count("*").alias("copies")).filter("copies > 1"), "page-copies")
+
+    def digests(batch: pa.RecordBatch):
+        found = [xxhash.xxh3_64_intdigest(repr(sorted(style_rows(h or "").items(), key=repr)).encode()) >> 1 for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("host"), pa.array(found, pa.int64())], names=["page", "host", "digest"])
+
+    known = stored(arrow_map(keyed, digests, "page bigint, host string, digest bigint"), "page-digests")
+    often = known.groupBy("host", "digest").agg(F.count("*").alias("copies")).filter("copies > 1")
+    copies = stored(known.join(often, ["host", "digest"]).select("page", "copies").distinct(), "page-copies")
 
     def rows(batch: pa.RecordBatch):
         total: dict = {}
@@ -236,12 +269,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
     content = F.when(F.col("texts") > 1, 1 - F.col("text_logs") / F.col("texts") / F.log("texts")).otherwise(1.0)
     nodes = nodes.withColumn("own", F.when(F.col("texts") > 0, content).otherwise(style)).withColumn("size", F.when(F.col("texts") > 0, F.col("texts")).otherwise(0.01 * F.col("m")))
     best = F.when(F.col("texts") > 0, F.col("own")).otherwise(0.0)
-    branches = _branches(nodes.select("host", "place", "up", "seen", (F.col("size") * F.col("own")).alias("carried"), "size", best.alias("best"), "holds"))
-    return branches.select("host", "place", "seen", (F.col("carried") / F.col("size")).alias("importance"), "best", "holds")
+    branches = _branches(nodes.select("host", "place", "up", "seen", (F.col("size") * F.col("own")).alias("carried"), "size", best.alias("own"), best.alias("best"), "holds"))
+    return branches.select("host", "place", "seen", (F.col("carried") / F.col("size")).alias("importance"), "own", "best", "holds")
 
 
 def _branches(nodes: DataFrame) -> DataFrame:
-    """nodes (host, place, up, seen, carried, size, best, holds) with what is in their branches, on however many levels.
+    """nodes (host, place, up, seen, carried, size, own, best, holds) with what is in their branches, on however many levels.
 
     Each round adds what the places 2^k levels below have gathered and doubles the levels, so a tree takes as many rounds
     as its depth has binary digits.
@@ -252,36 +285,39 @@ def _branches(nodes: DataFrame) -> DataFrame:
         higher = nodes.filter("up is not null").select("host", F.col("place").alias("up"), F.col("up").alias("next"))
         joined = nodes.join(below, ["host", "place"], "left").join(higher, ["host", "up"], "left")
         add = lambda a, b: F.col(a) + F.lit(fade) * F.coalesce(b, F.lit(0.0))  # noqa: E731, B023
-        nodes = stored(joined.select("host", "place", F.col("next").alias("up"), "seen", add("carried", "more").alias("carried"), add("size", "wider").alias("size"), F.greatest("best", "better").alias("best"), F.greatest("holds", "held").alias("holds")), "branches")
+        nodes = stored(joined.select("host", "place", F.col("next").alias("up"), "seen", add("carried", "more").alias("carried"), add("size", "wider").alias("size"), "own", F.greatest("best", "better").alias("best"), F.greatest("holds", "held").alias("holds")), "branches")
         fade *= fade
     return nodes
 
 
-def low_places(tree: DataFrame, low: float = LOW, min_seen: int = MIN_SEEN) -> DataFrame:
-    """(host, low): the places of each host whose branches carry little and hold no article, main or important text."""
-    return tree.filter((F.col("seen") >= min_seen) & (F.col("importance") < low) & (F.col("best") < low) & ~F.col("holds")).groupBy("host").agg(F.collect_list("place").alias("low"))
+def judged_places(tree: DataFrame, low: float = LOW, min_seen: int = MIN_SEEN) -> DataFrame:
+    """(host, low, high, told): the places of each host whose branches carry little and hold no article, main or important text, those that hold a text of importance, and those whose own texts have it."""
+    is_low = (F.col("importance") < low) & (F.col("best") < low) & ~F.col("holds")
+    is_high = F.col("best") >= low
+    known = tree.filter((F.col("seen") >= min_seen) & (is_low | is_high))
+    return known.groupBy("host").agg(F.collect_list(F.when(is_low, F.col("place"))).alias("low"), F.collect_list(F.when(is_high, F.col("place"))).alias("high"), F.collect_list(F.when(F.col("own") >= low, F.col("place"))).alias("told"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html)."""
     pages = with_host(pages.select("page_id", "url", "html"))
-    low = stored(low_places(style_tree(pages)), "low-places")
-    joined = pages.join(low, "host", "left")
+    judged = stored(judged_places(style_tree(pages)), "judged-places")
+    joined = pages.join(judged, "host", "left")
 
     def rows(batch: pa.RecordBatch):
         texts, size, first = [], 0, 0
-        known: dict[tuple, frozenset] = {}
-        for i, (host, html, low) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("low"), strict=True)):
+        known: dict[str, tuple[frozenset, ...]] = {}
+        for i, (host, html, *judged) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), *map(batch.column, ("low", "high", "told")), strict=True)):
             if host not in known:
-                known[host] = frozenset(low.as_py() or ())
-            texts.append(main_text(html or "", known[host]))
+                known[host] = tuple(frozenset(places.as_py() or ()) for places in judged)
+            texts.append(main_text(html or "", *known[host]))
             size += len(texts[-1])
             if size > 1 << 22 or i + 1 == batch.num_rows:
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(first, n), batch.column("url").slice(first, n), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
                 texts, size, first = [], 0, first + n
 
-    return arrow_map(joined.select("page_id", "url", "host", "html", "low"), rows, "page_id bigint, url string, text string, n_chars bigint")
+    return arrow_map(joined.select("page_id", "url", "host", "html", "low", "high", "told"), rows, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

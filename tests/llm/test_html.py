@@ -45,5 +45,17 @@ def test_deep_articles_and_copies_survive(spark):
     assert got[100] == "same" and got[145] == "other 45"
 
 
+def test_importance_decides_inside_and_outside_articles(spark):
+    """Unnamed template blocks in <main> go; a lead outside it, headings with telling ids and an entry's header stay."""
+    page = """<html><body><script>track({0})</script><div class=lead>Lead {0}</div><div class=x9>Our shop</div><div class=ad>Buy {0}</div>
+    <main><div class="entry-header"><h1>Title {0}</h1></div><h2 id="related-work">Related {0}</h2><p>Text {0}</p><div class=x7>read next</div><div class=comments>Reader {0}</div></main></body></html>"""
+    rows = [(i, "http://h.example/", page.format(i), "c", "c", "c") for i in range(12)]
+    same = "<html><body><script>track({})</script><article><p>{}</p></article></body></html>"
+    rows += [(100 + i, "http://copies.example/", same.format(i, "same" if i < 40 else f"other {i}"), "c", "c", "c") for i in range(48)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(12)] == [f"Lead {i}\nTitle {i}\nRelated {i}\nText {i}" for i in range(12)]
+    assert [got[100 + i] for i in range(48)] == ["same"] * 40 + [f"other {i}" for i in range(40, 48)]
+
+
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
