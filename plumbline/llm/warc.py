@@ -5,7 +5,11 @@ header lines. Version 1 lines hold URL, IP address, date, content type and lengt
 checksum, location, offset and file name. The converter reads the fields by the names that the block gives, takes the
 declared length of content and goes on after it. Of each record it makes a WARC record: an identifier from the digest of
 its URL, date and payload (so reruns agree), a timestamp from the 14-digit date, a type, and payload digests. Equal
-payloads become revisits of the one whose page comes first.
+payloads become revisits of the one whose page comes first. IP address, result code, checksum, location and the other
+fields go into headers of their own; each version block of a file, if it says something new, into a warcinfo record.
+
+ARC files may be plain or gzip files of any number of members. Only where a version block names this module as the
+origin does a URL end in a page number; other records have no page.
 
 Both kinds of files are written by Spark's text writer, one record a row, so that commits survive lost executors; they are
 compressed, at most FILE_RECORDS records a file, as a file is read back as a whole.
@@ -18,7 +22,10 @@ a null page_id comes after all others; an empty table gives no rows; further col
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +43,7 @@ FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 EPOCH_DATE = "19960101000000"
+ORIGIN = "plumbline"
 
 
 class ArcRecord(NamedTuple):
@@ -45,17 +53,21 @@ class ArcRecord(NamedTuple):
     content_type: str
     content: bytes
     offset: int
+    #: (field, value) of all further fields that say something.
+    more: tuple[tuple[str, str], ...] = ()
+    #: The version block's origin.
+    origin: str = ""
 
 
 def arc_version_block(version: int, name: str = "archive") -> bytes:
-    body = f"{version} 0 plumbline\n{' '.join(FIELDS[version])}\n".encode()
+    body = f"{version} 0 {ORIGIN}\n{' '.join(FIELDS[version])}\n".encode()
     line = {1: f"filedesc://{name} 0.0.0.0 {EPOCH_DATE} text/plain {len(body)}", 2: f"filedesc://{name} 0.0.0.0 {EPOCH_DATE} text/plain 200 - - 0 {name} {len(body)}"}[version]
     return line.encode() + b"\n" + body
 
 
-def arc_records(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file of either version, by the field names of the version block last seen."""
-    at, fields = 0, FIELDS[1]
+def arc_records(data: bytes, blocks: bool = False) -> Iterator[ArcRecord]:
+    """The records of an ARC file of either version, by the field names of the version block last seen; the version blocks too if asked for."""
+    at, fields, origin = 0, FIELDS[1], ""
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
@@ -70,15 +82,19 @@ def arc_records(data: bytes) -> Iterator[ArcRecord]:
         if len(content) != length:
             raise ValueError(f"record at {at} is cut off: {len(content)} of {length} bytes")
         if line.startswith("filedesc:"):
-            version, names = content.split(b"\n")[:2]
+            version, names = [*content.split(b"\n"), b""][:2]
             fields = tuple(names.decode().split()) if names.strip() else FIELDS[int(version.split()[0])]
+            origin = b" ".join(version.split()[2:]).decode("utf-8", "surrogateescape")
+            if blocks:
+                yield ArcRecord(parts[0], *parts[1:4], content, at, (), origin)
         else:
             if len(parts) > len(fields):  # a content type may hold spaces
                 kind = fields.index("Content-type")
                 extra = len(parts) - len(fields)
                 parts[kind : kind + extra + 1] = [" ".join(parts[kind : kind + extra + 1])]
             got = dict(zip(fields, parts, strict=True))
-            yield ArcRecord(got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], content, at)
+            more = tuple((k, v) for k, v in got.items() if k not in FIELDS[1] and v not in ("", "-"))
+            yield ArcRecord(got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], content, at, more, origin)
         at = end + 1 + length
 
 
@@ -86,7 +102,7 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(url: str, date: str, digest: str, number: int) -> str:
+def record_id(url: str, date: str, digest: str, number: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {number}')}>"
 
 
@@ -130,11 +146,22 @@ def _write(df: DataFrame, path: str, separator: str) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
 def _unzipped(content: pa.Scalar) -> bytes:
-    return zlib.decompress(content.as_buffer(), 47)
+    """A plain file as it is, a gzip file with all its members."""
+    data = content.as_buffer()
+    if bytes(data[:2]) != b"\x1f\x8b":
+        return data.to_pybytes()
+    member = zlib.decompressobj(31)
+    first = member.decompress(data)
+    if not member.eof:
+        raise ValueError("gzip file is cut off")
+    if not member.unused_data:
+        return first
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as members:
+        return members.read()
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
@@ -151,18 +178,31 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
     _write(pages.select(F.concat(F.lit(block), F.lit("\n"), line).cast("binary").alias("record")), path, "\n")
 
 
-CONVERTED = "file string, at bigint, page_id bigint, url string, date string, content_type string, payload_bytes bigint, payload_digest string, payload binary"
+OWN_PAGE = re.compile(r"#page=(null|-?\d+)\Z")
+CONVERTED = "file string, at bigint, page_id bigint, url string, date string, content_type string, payload_bytes bigint, payload_digest string, payload binary, kind string, ip string, more string"
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files under path: place, page, URL, date, type, digest and payload."""
+    """The records of all ARC files under path: place, page, URL, date, type, digest, payload, kind and further fields.
+
+    kind: "page" for records of this module's own writer, "record" for others, "info" for version blocks.
+    """
 
     def rows(batch: pa.RecordBatch):
         for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-            out, size = [], 0
-            for r in arc_records(_unzipped(content)):
-                url, _, page = r.url.rpartition("#page=")
-                out.append((name, r.offset, None if page == "null" else int(page), None if url == "dns:null" else url, r.date, r.content_type, len(r.content), payload_digest(r.content), r.content))
+            out, size, told = [], 0, set()
+            for r in arc_records(_unzipped(content), blocks=True):
+                url, page, kind = r.url, None, "record"
+                if r.url.startswith("filedesc:"):
+                    if (r.url, r.content) in told:
+                        continue
+                    told.add((r.url, r.content))
+                    kind = "info"
+                elif r.origin == ORIGIN and (m := OWN_PAGE.search(r.url)):
+                    kind, url = "page", r.url[: m.start()]
+                    page, url = None if m[1] == "null" else int(m[1]), None if url == "dns:null" else url
+                more = "\r\n".join(f"X-Arc-{k}: {v}" for k, v in r.more)
+                out.append((name, r.offset, page, url, r.date, r.content_type, len(r.content), payload_digest(r.content), r.content, kind, r.ip, more))
                 size += len(r.content)
                 if size > 1 << 22:
                     yield _batch(out, CONVERTED)
@@ -182,19 +222,26 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def converted(r: dict, payload: pa.Scalar) -> bytes:
-    """The WARC record of an ARC record: a response, or a revisit without the payload."""
-    headers = [
-        ("WARC-Record-ID", record_id(r["url"] or "", r["date"], r["payload_digest"], r["page_id"] if r["page_id"] is not None else -1)),
-        ("WARC-Date", warc_date(r["date"])),
+    """The WARC record of an ARC record: a response, a revisit without the payload, or a version block's warcinfo."""
+    number = f"{r['file']} {r['at']}" if r["kind"] != "page" else r["page_id"] if r["page_id"] is not None else -1
+    headers = [("WARC-Record-ID", record_id(r["url"] or "", r["date"], r["payload_digest"], number)), ("WARC-Date", warc_date(r["date"]))]
+    if r["kind"] == "info":
+        return warc_record("warcinfo", [*headers, ("WARC-Filename", r["url"].removeprefix("filedesc://")), ("Content-Type", r["content_type"])], payload.as_py())
+    headers += [
         ("WARC-Target-URI", r["url"] if r["url"] is not None else "dns:null"),
         ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"),
         ("X-Page-Id", str(r["page_id"])),
         ("X-Payload-Length", str(r["payload_bytes"])),
         ("Content-Type", r["content_type"]),
     ]
+    if r["ip"] not in ("", "-", "0.0.0.0"):
+        headers.append(("WARC-IP-Address", r["ip"]))
+    headers += [(k, v) for k, _, v in (x.partition(": ") for x in r["more"].split("\r\n")) if k]
     if not r["again"]:
         return warc_record("response", headers, payload.as_py())
     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(r["refers_to"]))]
+    if r["first_url"] is not None:
+        headers += [("WARC-Refers-To-Target-URI", r["first_url"]), ("WARC-Refers-To-Date", warc_date(r["first_date"]))]
     return warc_record("revisit", headers, b"")
 
 
@@ -204,11 +251,12 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     Which record of equal payloads is the response is a pre-aggregated least over digests; only records that revisit
     another carry that over, by their own place, so a payload that a third of all records share makes no hot group.
     """
-    index = stored(read_arc(spark, arc_path).select("file", "at", "page_id", "payload_digest"), "arc-index")
-    last = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "file", "at")
-    firsts = index.groupBy("payload_digest").agg(F.min(last).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    revisits = index.join(firsts, "payload_digest").filter(F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "file", "at") != F.col("first"))
-    revisits = revisits.select("file", "at", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("again"))
+    foreign = lambda c: F.when(F.col("kind") == "record", F.col(c)).alias(f"first_{c}")
+    index = stored(read_arc(spark, arc_path).filter("kind != 'info'").select("file", "at", "page_id", "payload_digest", foreign("url"), foreign("date")), "arc-index")
+    last = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "file", "at", "first_url", "first_date")
+    firsts = index.select("payload_digest", last.alias("here")).groupBy("payload_digest").agg(F.min("here").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    revisits = index.select("file", "at", "payload_digest").join(firsts, "payload_digest").filter((F.col("file") != F.col("first.file")) | (F.col("at") != F.col("first.at")))
+    revisits = revisits.select("file", "at", F.col("first.page_id").alias("refers_to"), "first.first_url", "first.first_date", F.lit(True).alias("again"))
     marked = read_arc(spark, arc_path).join(revisits, ["file", "at"], "left")
 
     def rows(batch: pa.RecordBatch):
@@ -239,6 +287,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for content in batch.column("content"):
             out = []
             for headers, block in warc_records(_unzipped(content)):
+                if headers["warc-type"] == "warcinfo":
+                    continue
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 kind = headers["warc-type"]
                 if kind == "response" and (payload_digest(block) != digest or len(block) != int(headers["x-payload-length"])):

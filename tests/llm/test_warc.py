@@ -53,3 +53,53 @@ def test_cut_off_records_are_an_error():
 
 def test_identifiers_repeat():
     assert W.record_id("u", "d", "x", 1) == W.record_id("u", "d", "x", 1) != W.record_id("u", "d", "x", 2)
+
+
+ONE = b"""filedesc://IA-1.arc 0.0.0.0 19960923142103 text/plain 75
+1 0 Alexa Internet
+URL IP-address Archive-date Content-type Archive-length
+
+http://www.dryswamp.edu:80/index.html#page=two 127.10.100.2 19961104142103 text/html 29
+HTTP/1.0 200 OK\r
+\r
+<b>Hi</b>
+
+http://a.example/x.pdf#page=3 127.10.100.3 19961104142104 text/html; charset=x 9
+<i>y</i>
+
+"""
+TWO = b"""filedesc://IA-2.arc 0.0.0.0 19970923142103 text/plain 200 - - 0 IA-2.arc 121
+2 0 Alexa Internet
+URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length
+
+http://b.example/old 1.2.3.4 19971104142103 text/html 302 fac069150613fe55599cc7fa88aa089d http://b.example/new 209 IA-2.arc 9
+<i>y</i>
+
+"""
+
+
+@pytest.mark.parametrize("how", ["plain", "one member", "member a record"])
+def test_archives_of_others(spark, tmp_path, how):
+    import gzip
+    import re
+
+    (tmp_path / "arc").mkdir()
+    for name, data in (("one.arc", ONE), ("two.arc", TWO)):
+        starts = [m.start() for m in re.finditer(rb"^(?:filedesc|http)://\S+ \d+\.\d+\.\d+\.\d+ ", data, re.M)]
+        members = [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+        assert len(members) == (3 if name == "one.arc" else 2)
+        data = {"plain": data, "one member": gzip.compress(data), "member a record": b"".join(map(gzip.compress, members))}[how]
+        (tmp_path / "arc" / (name if how == "plain" else name + ".gz")).write_bytes(data)
+    W.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    found = [x for p in sorted((tmp_path / "warc").glob("part-*")) for x in W.warc_records(gzip.decompress(p.read_bytes()))]
+    by = {h.get("warc-target-uri") or h["warc-filename"]: (h, b) for h, b in found}
+    assert len(found) == len(by) == 5 and len({h["warc-record-id"] for h, _ in found}) == 5
+    assert by["IA-1.arc"][0]["warc-type"] == by["IA-2.arc"][0]["warc-type"] == "warcinfo" and by["IA-1.arc"][1].startswith(b"1 0 Alexa Internet\n")
+    h, block = by["http://www.dryswamp.edu:80/index.html#page=two"]
+    assert h["warc-type"] == "response" and block == b"HTTP/1.0 200 OK\r\n\r\n<b>Hi</b>\n" and h["warc-ip-address"] == "127.10.100.2" and h["warc-date"] == "1996-11-04T14:21:03Z"
+    assert by["http://a.example/x.pdf#page=3"][0]["content-type"] == "text/html; charset=x"
+    h, block = by["http://b.example/old"]
+    assert h["warc-type"] == "revisit" and block == b"" and h["warc-refers-to-target-uri"] == "http://a.example/x.pdf#page=3"
+    assert (h["x-arc-result-code"], h["x-arc-checksum"], h["x-arc-location"], h["x-arc-offset"], h["x-arc-filename"]) == ("302", "fac069150613fe55599cc7fa88aa089d", "http://b.example/new", "209", "IA-2.arc")
+    got = W.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    assert sorted(r["record_type"] for r in got) == ["response", "response", "revisit"] and {r["page_id"] for r in got} == {None}
