@@ -7,6 +7,8 @@ what takes their place:
 2. Texts with repeated anchors make the hashes of those windows only. The earliest place of each hash is found by a
    pre-aggregated least; no group of occurrences is ever gathered.
 3. A window that isn't its hash's earliest place is a match; runs of matches make the maximal spans that are removed.
+`remove_repeats` gives the spans and the text that stays; the query takes its counts and digests from the same columns, each
+made where the text is, so that no text is dealt out for them.
 
 Defined results: null and blank texts have no words; rows that are alike in doc_id and text are judged as one; other rows
 with equal doc_ids are two documents of which either may count as the earlier where both hold a window at the same place;
@@ -15,7 +17,7 @@ a null doc_id comes before all others; an empty table gives no rows; further col
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -101,29 +103,50 @@ def covered(starts: np.ndarray, n_words: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+#: Bytes of kept text in a batch.
+KEPT_BYTES = 1 << 22
+
+
+def spans_of(gone: np.ndarray) -> np.ndarray:
+    """(first word, word after the last) of each run of removed words."""
+    edges = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1)
+
+
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """rows, whose last value is a kept text, in batches of bounded size."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1])
+        if size > KEPT_BYTES or len(out) == 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+_KEY = [("doc_id", pa.int64()), ("twin", pa.int64())]
+_WHOLE = pa.schema([*_KEY, ("n_words", pa.int64()), ("whole_text", pa.binary())])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_CUT = pa.schema([*_KEY, ("removed", _SPANS), ("kept_text", pa.binary())])
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, n_words, whole_sha256): what a text yields if nothing is removed."""
+    """(doc_id, twin, n_words, whole_text): what a text yields if nothing is removed."""
 
-    def rows(batch: pa.RecordBatch):
-        n_words, digests = [], []
-        for text in text_bytes(batch.column("text")):  # one text's words at a time
-            words = text.split()
-            n_words.append(len(words))
-            digests.append(_digest(words))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), pa.array(n_words, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "twin", "n_words", "whole_sha256"])
+    def made(batch: pa.RecordBatch):
+        for doc_id, twin, text in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), text_bytes(batch.column("text")), strict=True):
+            words = text.split()  # one text's words at a time
+            yield doc_id, twin, len(words), b" ".join(words)
 
-    return arrow_map(docs, rows, "doc_id bigint, twin bigint, n_words bigint, whole_sha256 string")
+    return arrow_map(docs, lambda batch: _in_batches(made(batch), _WHOLE), "doc_id bigint, twin bigint, n_words bigint, whole_text binary")
 
 
 def _cleaned(held: DataFrame) -> DataFrame:
-    """(doc_id, twin, n_removed, cut_sha256, kept_text) of texts with matches; firsts: starts of windows that stay."""
+    """(doc_id, twin, removed, kept_text) of texts with matches; firsts: starts of windows that stay."""
 
-    def rows(batch: pa.RecordBatch):
-        out = []
+    def made(batch: pa.RecordBatch):
         for doc_id, twin, text, repeated, firsts in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), text_bytes(batch.column("text")), batch.column("anchors"), batch.column("firsts"), strict=True):
             starts, _ = _candidate_starts(text, repeated.values.to_numpy().view(U64))
             if firsts.is_valid:
@@ -131,13 +154,9 @@ def _cleaned(held: DataFrame) -> DataFrame:
             if len(starts):
                 words = text.split()
                 gone = covered(starts, len(words))
-                kept = list(compress(words, ~gone))
-                out.append((doc_id, twin, int(gone.sum()), _digest(kept)))
-        for a in range(0, len(out), 2000):
-            ids, twins, removed, digests = zip(*out[a : a + 2000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "twin", "n_removed", "cut_sha256"])
+                yield doc_id, twin, [{"start": a, "end": b} for a, b in spans_of(gone).tolist()], b" ".join(compress(words, ~gone))
 
-    return arrow_map(held.select("doc_id", "twin", "text", "anchors", "firsts"), rows, "doc_id bigint, twin bigint, n_removed bigint, cut_sha256 string")
+    return arrow_map(held.select("doc_id", "twin", "text", "anchors", "firsts"), lambda batch: _in_batches(made(batch), _CUT), "doc_id bigint, twin bigint, removed array<struct<start bigint, end bigint>>, kept_text binary")
 
 
 def _alike(docs: DataFrame, other: DataFrame):
@@ -148,8 +167,8 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("doc_id", "id_").withColumnRenamed("twin", "twin_")
 
 
-def repeated_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for every row of docs (doc_id, text)."""
+def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every text yields as a whole, and what those with matches yield without them: `_whole` and `_cleaned`."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("text").alias("twin"), "text")
     path = stored_path(_anchor_rows(docs), "anchors")
@@ -166,8 +185,27 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     firsts = _window_rows(held).groupBy("window").agg(first).groupBy("first.node").agg(F.collect_list("first.start").alias("firsts"))
     firsts = stored(firsts, "firsts")
     release_shuffles(spark)
-    cut = _keyed(_cleaned(held.join(firsts, "node", "left")))
-    whole = _whole(docs)
+    return _whole(docs), _cleaned(held.join(firsts, "node", "left"))
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, removed, kept_text) for every row of docs (doc_id, text).
+
+    removed: the spans of words that go, (start, end) counted from 0, end not included; kept_text: the other words.
+    """
+    whole, cut = _judged(docs)
+    cut = _keyed(cut)
+    joined = whole.join(cut, _alike(whole, cut), "left")
+    none = F.array().cast("array<struct<start bigint, end bigint>>")
+    return joined.select("doc_id", "n_words", F.coalesce("removed", none).alias("removed"), F.coalesce("kept_text", "whole_text").cast("string").alias("kept_text"))
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row of docs (doc_id, text): what `remove_repeats` gives, counted and digested."""
+    whole, cut = _judged(docs)
+    whole = whole.select("doc_id", "twin", "n_words", F.sha2("whole_text", 256).alias("whole_sha256"))
+    n_removed = F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed")
+    cut = _keyed(cut.select("doc_id", "twin", n_removed, F.sha2("kept_text", 256).alias("cut_sha256")))
     joined = whole.join(cut, _alike(whole, cut), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"))
 

@@ -38,3 +38,15 @@ def test_exact_window_length(spark):
     rows = [(1, " ".join(w[:40])), (2, " ".join(["a", *w[5:25], "b"])), (3, " ".join(["c", *w[5:24], "d"])), (4, " ".join(w[:20] + w[:20]))]
     got = {r["doc_id"]: r["n_removed"] for r in S.repeated_words(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 0, 2: 20, 3: 0, 4: 40}
+
+
+def test_kept_text_and_removed_spans(spark, docs, rows):
+    """Every row's spans and text are there, agree with each other and with the digests."""
+    got = S.remove_repeats(docs).collect()
+    assert len(got) == len(rows) and sum(bool(r["removed"]) for r in got) > 0
+    digests = [(r["doc_id"], r["n_words"], sum(b - a for a, b in r["removed"]), hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got]
+    assert sorted(digests, key=str) == brute([(r[0], r[1]) for r in rows])
+    w = [f"w{i}" for i in range(60)]
+    texts = [(1, " ".join(w[:40])), (2, " ".join(["a", *w[5:25], "b", "c", *w[:20], "d"])), (3, None)]
+    got = {r["doc_id"]: ([tuple(s) for s in r["removed"]], r["kept_text"]) for r in S.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {1: ([], texts[0][1]), 2: ([(1, 21), (23, 43)], "a b c d"), 3: ([], "")}
