@@ -1,12 +1,15 @@
 """Substring dedup: removal of words in windows of WINDOW words that also start earlier (operator 9).
 
-The corpus is its own reference, so its suffix automata could be broadcast only while the corpus is small; README says
-what takes their place:
+The corpus is its own reference, so its suffix automata could be broadcast only while the corpus is small; README says,
+with measured bytes a state, what takes their place:
 1. Every window of WINDOW words has a least GRAM-gram (its anchor). Equal windows have equal anchors, so only anchors that
-   occur twice or more can lie in repeated windows. Anchors are about a seventh of the words.
-2. Texts with repeated anchors make the hashes of those windows only. The earliest place of each hash is found by a
-   pre-aggregated least; no group of occurrences is ever gathered.
-3. A window that isn't its hash's earliest place is a match; runs of matches make the maximal spans that are removed.
+   occur twice or more can lie in repeated windows. Anchors are about a seventh of the words. Anchors above a row limit
+   are at most MOST_HOT, so they are broadcast and their rows never meet in one task.
+2. Consecutive windows of a text with the same repeated anchor are a run. Of equal runs the earliest is found by a
+   pre-aggregated least; the windows of all others start earlier there.
+3. The earliest place of each window of those runs is found in the same way; no group of occurrences is ever gathered.
+   Runs and windows are keyed by 128 bits of hash.
+4. A window that isn't its key's earliest place is a match; runs of matches make the maximal spans that are removed.
 `remove_repeats` gives the spans and the text that stays; the query takes its counts and digests from the same columns, each
 made where the text is, so that no text is dealt out for them.
 
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, delete_path, release_shuffles, stored, stored_path, table, text_bytes
-from plumbline.llm.words import BLANK_SPLIT, U64, doc_hashes, grams, hashes
+from plumbline.llm.words import BLANK_SPLIT, U64, doc_hashes, grams, hashes, other_hashes, spans
 
 WINDOW, GRAM = 20, 8
+#: Rows from which an anchor may count as hot, and how many can be.
+HOT_ROWS, MOST_HOT = 4_000, 100_000
 SPAN = WINDOW - GRAM + 1
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -75,24 +80,60 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, rows, "anchor bigint, doc_id bigint, twin bigint")
 
 
-def _candidate_starts(text: bytes, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows whose anchor is among the repeated ones."""
+def _candidates(text: bytes, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes, the starts of windows whose anchor is among the repeated ones, and where in those a run of one anchor begins."""
     words = doc_hashes(text, BLANK_SPLIT)
     if len(words) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, U64)
-    starts = np.flatnonzero(np.isin(anchors_of_windows(words), repeated))
-    return starts, grams(words, WINDOW)[starts]
+        return words, np.empty(0, np.int64), np.empty(0, np.int64)
+    anchor = anchors_of_windows(words)
+    starts = np.flatnonzero(np.isin(anchor, repeated))
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = (np.diff(starts) > 1) | (anchor[starts[1:]] != anchor[starts[:-1]])
+    return words, starts, np.flatnonzero(new)
 
 
-def _window_rows(held: DataFrame) -> DataFrame:
+def _placed(node: int, doc_id: int | None, starts: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Keys of 128 bits with the places that they stand at."""
+    for a in range(0, len(starts), 100_000):
+        n = len(starts[a : a + 100_000])
+        key_a, key_b = (pa.array(k[a : a + n].view(np.int64)) for k in keys)
+        yield pa.RecordBatch.from_arrays([key_a, key_b, pa.array([doc_id] * n, pa.int64()), pa.array(starts[a : a + n].astype(np.int32)), pa.array(np.full(n, node, dtype=np.int64))], names=["key_a", "key_b", "doc_id", "start", "node"])
+
+
+PLACED = "key_a bigint, key_b bigint, doc_id bigint, start int, node bigint"
+
+
+def _run_rows(held: DataFrame) -> DataFrame:
+    """A row for each run of windows with one repeated anchor: the key of its words and its place."""
+
     def rows(batch: pa.RecordBatch):
         for node, doc_id, text, repeated in zip(batch.column("node").to_pylist(), batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("anchors"), strict=True):
-            starts, found = _candidate_starts(text, repeated.values.to_numpy().view(U64))
-            for a in range(0, len(starts), 100_000):
-                n = len(starts[a : a + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(found[a : a + n].view(np.int64)), pa.array([doc_id] * n, pa.int64()), pa.array(starts[a : a + n].astype(np.int32)), pa.array(np.full(n, node, dtype=np.int64))], names=["window", "doc_id", "start", "node"])
+            words, starts, first = _candidates(text, repeated.values.to_numpy().view(U64))
+            if len(first):
+                last = starts[np.append(first[1:], len(starts)) - 1] + WINDOW
+                yield from _placed(node, doc_id, starts[first], tuple(spans(w, starts[first], last) for w in (words, other_hashes(words))))
+
+    return arrow_map(held.select("node", "doc_id", "text", "anchors"), rows, PLACED)
+
+
+def _window_rows(held: DataFrame) -> DataFrame:
+    """A row for each window of the runs that begin at `runs`."""
+
+    def rows(batch: pa.RecordBatch):
+        for node, doc_id, text, repeated, runs in zip(batch.column("node").to_pylist(), batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), batch.column("anchors"), batch.column("runs"), strict=True):
+            words, starts, first = _candidates(text, repeated.values.to_numpy().view(U64))
+            if len(first):
+                sizes = np.diff(np.append(first, len(starts)))
+                starts = starts[np.repeat(np.isin(starts[first], runs.values.to_numpy()), sizes)]
+                yield from _placed(node, doc_id, starts, tuple(grams(w, WINDOW)[starts] for w in (words, other_hashes(words))))
+
+    return arrow_map(held.select("node", "doc_id", "text", "anchors", "runs"), rows, PLACED)
 
-    return arrow_map(held.select("node", "doc_id", "text", "anchors"), rows, "window bigint, doc_id bigint, start int, node bigint")
+
+def _earliest(rows: DataFrame, name: str) -> DataFrame:
+    """(node, name): the starts in each text at which a key has its earliest place of all."""
+    first = F.min(F.struct("doc_id", "start", "node")).alias("first")
+    return rows.groupBy("key_a", "key_b").agg(first).groupBy("first.node").agg(F.collect_list("first.start").alias(name))
 
 
 def covered(starts: np.ndarray, n_words: int) -> np.ndarray:
@@ -148,7 +189,7 @@ def _cleaned(held: DataFrame) -> DataFrame:
 
     def made(batch: pa.RecordBatch):
         for doc_id, twin, text, repeated, firsts in zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), text_bytes(batch.column("text")), batch.column("anchors"), batch.column("firsts"), strict=True):
-            starts, _ = _candidate_starts(text, repeated.values.to_numpy().view(U64))
+            _, starts, _ = _candidates(text, repeated.values.to_numpy().view(U64))
             if firsts.is_valid:
                 starts = np.setdiff1d(starts, firsts.values.to_numpy(), assume_unique=True)
             if len(starts):
@@ -167,23 +208,36 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("doc_id", "id_").withColumnRenamed("twin", "twin_")
 
 
+def _with_repeated(found: DataFrame, often: DataFrame) -> DataFrame:
+    """The rows of found (anchor, ...) whose anchor is in often (anchor, times).
+
+    Anchors of more than `limit` rows are at most MOST_HOT, which bounds what is broadcast; their rows stay where they are.
+    No other anchor brings more than `limit` rows to a task.
+    """
+    total = often.agg(F.sum("times")).first()[0] or 0
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    hot = F.broadcast(often.filter(F.col("times") > limit).select("anchor"))
+    cold = often.filter(F.col("times") <= limit).select("anchor")
+    return found.join(hot, "anchor", "left_semi").unionAll(found.join(hot, "anchor", "left_anti").join(cold, "anchor"))
+
+
 def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What every text yields as a whole, and what those with matches yield without them: `_whole` and `_cleaned`."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.xxhash64("text").alias("twin"), "text")
     path = stored_path(_anchor_rows(docs), "anchors")
     found = spark.read.schema("anchor bigint, doc_id bigint, twin bigint").parquet(path)
-    often = found.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    lists = stored(found.join(often, "anchor").groupBy("doc_id", "twin").agg(F.collect_set("anchor").alias("anchors")), "repeated")
+    often = stored(found.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1"), "often")
+    lists = stored(_with_repeated(found, often).groupBy("doc_id", "twin").agg(F.collect_set("anchor").alias("anchors")), "repeated")
     delete_path(spark, path)
     release_shuffles(spark)
     keyed = _keyed(lists)
     held = docs.join(keyed, _alike(docs, keyed)).select("doc_id", "twin", "text", "anchors").dropDuplicates(["doc_id", "twin"])
     held = stored(held.withColumn("node", F.monotonically_increasing_id()), "held")
     release_shuffles(spark)
-    first = F.min(F.struct("doc_id", "start", "node")).alias("first")
-    firsts = _window_rows(held).groupBy("window").agg(first).groupBy("first.node").agg(F.collect_list("first.start").alias("firsts"))
-    firsts = stored(firsts, "firsts")
+    runs = stored(_earliest(_run_rows(held), "runs"), "runs")
+    release_shuffles(spark)
+    firsts = stored(_earliest(_window_rows(held.join(runs, "node")), "firsts"), "firsts")
     release_shuffles(spark)
     return _whole(docs), _cleaned(held.join(firsts, "node", "left"))
 

@@ -132,3 +132,16 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(len(words) + 1, dtype=U64)
     np.cumsum(words * up[: len(words)], out=total[1:])
     return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1] + U64(n))
+
+
+def spans(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start up to its end; the order counts, and the length."""
+    up, down = _GRAM_POWERS.get(len(words) + 1)
+    total = np.zeros(len(words) + 1, dtype=U64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
+def other_hashes(words: np.ndarray) -> np.ndarray:
+    """Further 64 bits for each word hash, so that what is made of both takes 128."""
+    return mix(words ^ U64(0x5851F42D4C957F2D))

@@ -1,7 +1,8 @@
 import hashlib
+import random
 
 from plumbline.llm import substring as S
-from tests.llm.conftest import words_of
+from tests.llm.conftest import prose, words_of
 
 
 def brute(rows):
@@ -50,3 +51,64 @@ def test_kept_text_and_removed_spans(spark, docs, rows):
     texts = [(1, " ".join(w[:40])), (2, " ".join(["a", *w[5:25], "b", "c", *w[:20], "d"])), (3, None)]
     got = {r["doc_id"]: ([tuple(s) for s in r["removed"]], r["kept_text"]) for r in S.remove_repeats(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert got == {1: ([], texts[0][1]), 2: ([(1, 21), (23, 43)], "a b c d"), 3: ([], "")}
+
+
+def test_hot_passage(spark, monkeypatch):
+    """One passage in a third of the rows: its anchors go the broadcast way and the result stays the same."""
+    monkeypatch.setattr(S, "HOT_ROWS", 20)
+    rng = random.Random(9)
+    passage = prose(rng, 45)
+    rows = [(i, f"{prose(rng, 25)} {passage} {prose(rng, 25)}" if i % 3 == 0 else prose(rng, 60)) for i in range(150)]
+    got = S.repeated_words(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sum(r["n_removed"] for r in got) >= 49 * 45
+
+
+def automaton(words):
+    """A suffix automaton of words: links, lengths, and the transitions of each state."""
+    link, length, step, last = [-1], [0], [{}], 0
+    for w in words:
+        now = len(length)
+        link.append(0), length.append(length[last] + 1), step.append({})
+        p = last
+        while p >= 0 and w not in step[p]:
+            step[p][w], p = now, link[p]
+        if p >= 0:
+            q = step[p][w]
+            if length[q] == length[p] + 1:
+                link[now] = q
+            else:
+                copy = len(length)
+                link.append(link[q]), length.append(length[p] + 1), step.append(dict(step[q]))
+                while p >= 0 and step[p].get(w) == q:
+                    step[p][w], p = copy, link[p]
+                link[q] = link[now] = copy
+        last = now
+    return link, length, step
+
+
+def matching_statistics(words, link, length, step):
+    """For each word, how many words up to it occur in the automaton's text."""
+    out, at, n = [], 0, 0
+    for w in words:
+        while at and w not in step[at]:
+            at = link[at]
+            n = length[at]
+        if w in step[at]:
+            at, n = step[at][w], n + 1
+        out.append(n)
+    return out
+
+
+def test_against_a_suffix_automaton(spark):
+    """A later text loses exactly the spans that matching statistics against the earlier one's automaton give."""
+    rng = random.Random(10)
+    first = prose(rng, 400).split()
+    second = [*prose(rng, 20).split(), *first[50:90], *prose(rng, 15).split(), *first[200:219], *prose(rng, 3).split(), *first[300:], *prose(rng, 9).split()]
+    gone = set()
+    for i, n in enumerate(matching_statistics(second, *automaton(first))):
+        if n >= S.WINDOW:
+            gone.update(range(i - n + 1, i + 1))
+    rows = [(1, " ".join(first)), (2, " ".join(second))]
+    got = {r["doc_id"]: r for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {p for a, b in got[2]["removed"] for p in range(a, b)} == gone and got[1]["removed"] == [] and len(gone) == 140
