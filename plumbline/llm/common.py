@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -81,9 +83,10 @@ def fresh(columns: list[str], *names: str) -> tuple[str, ...]:
 
 
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with a function of one batch; df's columns reach it as they are.
+    """mapInArrow with a function of one batch of at most BATCH_ROWS rows; df's columns reach it as they are.
 
-    Batches of texts are held to BATCH_ROWS rows in the session, as workers and executors hold one as a whole.
+    The session's own batch size is lowered to BATCH_ROWS where it is larger, as workers and executors hold a batch of
+    texts as a whole; Spark reads it when the plan runs, so it can't be put back here.
     """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:

@@ -3,15 +3,21 @@
 Confirmed toxic texts are the positives; all other texts that may be learnt from are unlabelled. A linear scorer over the
 presence of words and word beginnings is fitted in numpy by the non-negative risk estimator of Kiryo et al. (2017):
     risk = prior * mean_P loss(+f) + max(0, mean_U loss(-f) - prior * mean_P loss(-f))
-with the sigmoid loss; where the corrected negative part falls below zero, a step is taken to raise it again. The class
-prior is the toxic share of the labelled rows that may be learnt from.
-
-Fitting uses a bounded sample of rows (MAX_POSITIVE, MAX_UNLABELLED, by a hash of doc_id); features are chosen and fitted
-on that sample, and every whole text of the table is scored.
-
-Defined results: null and empty texts have no features and get the score of the offset alone; a null doc_id is not held
-out and never learnt from; doc_ids labelled twice count as toxic if any label says so; with no toxic label at all every
-score is 0; an empty table gives no rows; further columns are ignored.
+with the sigmoid loss; where the corrected negative part falls below zero, a step is taken to raise it again. Labels that
+say "not toxic" are not used. The class prior is a parameter; by default it is estimated from positives and unlabelled
+texts alone by the best bin of a scorer's tail (Garg et al., 2021): of a scorer fitted on two thirds of the sample, the
+least ratio, over all thresholds and with a bound for chance, of the share of unlabelled texts above it to that of
+positives, both of the other third.
+
+Fitting uses a bounded sample of rows (MAX_POSITIVE, MAX_UNLABELLED, by a hash of doc_id and text); at most MAX_FEATURES
+features, those that differ most between the two kinds and by at least LEAST_Z standard errors, are chosen and fitted on
+that sample, and every whole text of the table is scored.
+
+Defined results: null and empty texts have no features and get the score of the offset alone, texts of any length are
+scored whole; a null doc_id is not held out and never learnt from; doc_ids labelled twice count as toxic if any label says
+so; rows repeated in doc_id and text are learnt from once; with no toxic label at all every score is 0, and where no
+feature tells the kinds apart every score is the prior, at most 0.25; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +34,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import arrow_map, stored, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
-MAX_FEATURES = 1_200
+MAX_FEATURES, LEAST_Z = 1_200, 5
+#: Highest score of texts when nothing tells them apart, and bounds of an estimated class prior.
+FLAT, LEAST_PRIOR, MOST_PRIOR = 0.25, 1e-4, 0.5
 #: Word beginnings of these lengths are features beside whole words, once for each of so many different words they begin.
 STEMS, OFTEN = (5, 7), (1, 2, 3)
 HELD_OUT_OF = 5
@@ -112,31 +120,51 @@ def is_held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(HELD_OUT_OF)) == 0, F.lit(False))
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most `most` rows, by the least hashes of doc_id."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def _below(share: float, *by):
+    """Whether a row's 63-bit hash is below the share of all such hashes: fine enough for any number of rows."""
+    return F.xxhash64(*by).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(min((1 << 63) - 1, int(share * (1 << 63))))
+
+
+def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1) -> float:
+    """The class prior among the unlabelled, from scores of positives and unlabelled texts that the scorer wasn't fitted on."""
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    slack = math.sqrt(math.log(4 / chance) / 2 / len(positive)) + math.sqrt(math.log(4 / chance) / 2 / len(unlabelled))
+    best = int(np.argmin((u + slack) / p))
+    return float(np.clip(u[best] / p[best], LEAST_PRIOR, MOST_PRIOR))
+
+
+def estimated_prior(positive: list[list[int]], unlabelled: list[list[int]], width: int) -> float:
+    """`best_bin_prior` of a scorer fitted on two thirds of the rows, for the other third."""
+    fit_on = lambda rows: [r for i, r in enumerate(rows) if i % 3]
+    if len(positive) < 3 or len(unlabelled) < 3:
+        return LEAST_PRIOR
+    weights, offset = fit_nnpu(fit_on(positive), fit_on(unlabelled), width, MOST_PRIOR, epochs=30)
+    scores = [np.array([weights[r].sum() + offset for r in rows[::3]]) for rows in (positive, unlabelled)]
+    return best_bin_prior(*scores)
 
 
 def _with_features(rows: DataFrame) -> DataFrame:
-    """(doc_id, kind, features): each sampled text's distinct features."""
+    """(doc_id, twin, kind, features): each sampled text's distinct features."""
 
     def found(batch: pa.RecordBatch):
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
             names = pa.array([sorted(features(t or "")) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("kind"), names], names=["doc_id", "kind", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("twin"), part.column("kind"), names], names=["doc_id", "twin", "kind", "features"])
 
-    return arrow_map(rows.select("doc_id", "kind", "text"), found, "doc_id bigint, kind int, features array<string>")
+    return arrow_map(rows.select("doc_id", "twin", "kind", "text"), found, "doc_id bigint, twin bigint, kind int, features array<string>")
 
 
 def _places(rows: DataFrame, at: dict[str, int]) -> DataFrame:
-    """(doc_id, kind, places): which of the chosen features each text has."""
+    """(doc_id, twin, kind, places): which of the chosen features each text has."""
 
     def found(batch: pa.RecordBatch):
         places = [sorted(at[f] for f in names if f in at) for names in batch.column("features").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "kind", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("twin"), batch.column("kind"), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "twin", "kind", "places"])
 
-    return arrow_map(rows, found, "doc_id bigint, kind int, places array<int>")
+    return arrow_map(rows.select("doc_id", "twin", "kind", "features"), found, "doc_id bigint, twin bigint, kind int, places array<int>")
 
 
 def _without_twins(found: list[tuple[str, int, int]]) -> list[str]:
@@ -147,36 +175,39 @@ def _without_twins(found: list[tuple[str, int, int]]) -> list[str]:
     return list(out.values())
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Scorer:
+def flat(prior: float) -> Scorer:
+    prior = min(FLAT, max(LEAST_PRIOR, prior))
+    return Scorer({}, math.log(prior / (1 - prior)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES, prior: float | None = None) -> Scorer:
     """Learns from labels (doc_id, toxic) and docs (doc_id, text) whose doc_id isn't held out. What reaches the driver is bounded by the parameters."""
-    open_labels = labels.filter(~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    seen, toxic = open_labels.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
-    if not toxic:
-        return Scorer({}, -500.0)
-    prior = min(0.9, toxic / seen)
-    wanted = _sample(open_labels.filter("toxic = 1"), max_positive).select("doc_id")
-    train = docs.filter(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "text")
+    known = F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))
+    toxic = labels.filter(known & (F.col("toxic") == 1)).select("doc_id").distinct()
     # At most max_positive ids, so this side is small enough to broadcast.
-    positive = train.join(F.broadcast(wanted), "doc_id").withColumn("kind", F.lit(1))
+    wanted = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive).withColumn("wanted", F.lit(True))
+    train = docs.filter(known).select("doc_id", "text")
     n_docs = train.select("doc_id").count()
-    share = int(min(1.0, max_unlabelled / max(1, n_docs)) * (1 << 20))
-    unlabelled = train.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share).withColumn("kind", F.lit(0))
-    rows = stored(_with_features(positive.unionByName(unlabelled)), "toxic-features")
-    n_pos, n_unl = (rows.filter(f"kind = {k}").count() for k in (1, 0))
-    if not n_pos or not n_unl:
-        return Scorer({}, math.log(prior / (1 - prior)))
+    kinds = F.array_compact(F.array(F.when(F.col("wanted"), F.lit(1)), F.when(_below(min(1.0, max_unlabelled / max(1, n_docs)), "doc_id", F.lit(7)), F.lit(0))))
+    sampled = train.join(F.broadcast(wanted), "doc_id", "left").select("doc_id", "text", F.xxhash64("text").alias("twin"), F.explode(kinds).alias("kind"))
+    rows = stored(_with_features(sampled), "toxic-features").dropDuplicates(["doc_id", "twin", "kind"])
+    n = dict(map(tuple, rows.groupBy("kind").count().collect()))
+    if not n.get(1):
+        return Scorer({}, -500.0)
+    if not n.get(0):
+        return flat(FLAT if prior is None else prior)
     rates = rows.select("kind", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u"))
-    p, u = (F.col("p") + 0.5) / (n_pos + 1), (F.col("u") + 0.5) / (n_unl + 1)
-    pooled = (F.col("p") + F.col("u") + 1) / (n_pos + n_unl + 2)
-    z = F.abs(p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
-    best = rates.filter((F.col("p") + F.col("u")) >= 4).withColumn("z", z).filter("z >= 5").orderBy(F.desc("z"), "feature").limit(max_features)
+    p, u = (F.col("p") + 0.5) / (n[1] + 1), (F.col("u") + 0.5) / (n[0] + 1)
+    pooled = (F.col("p") + F.col("u") + 1) / (n[1] + n[0] + 2)
+    z = F.abs(p - u) / F.sqrt(pooled * (1 - pooled) * (1 / n[1] + 1 / n[0]))
+    best = rates.filter((F.col("p") + F.col("u")) >= 4).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(max_features)
     best = _without_twins([tuple(r) for r in best.select("feature", "p", "u").collect()])
     if not best:
-        return Scorer({}, math.log(prior / (1 - prior)))
-    at = {f: i for i, f in enumerate(best)}
-    held = _places(rows, at).orderBy("doc_id", "kind").collect()
-    x = {k: [r["places"] for r in held if r["kind"] == k] for k in (0, 1)}
-    weights, offset = fit_nnpu(x[1], x[0], len(best), prior)
+        return flat(FLAT if prior is None else prior)
+    found = stored(_places(rows, {f: i for i, f in enumerate(best)}), "toxic-places")
+    held = lambda kind, most: [r["places"] for r in found.filter(F.col("kind") == kind).orderBy(F.xxhash64("doc_id", "twin"), "doc_id", "twin").limit(most).select("places").collect()]
+    positive, unlabelled = held(1, max_positive), held(0, max_unlabelled)
+    weights, offset = fit_nnpu(positive, unlabelled, len(best), estimated_prior(positive, unlabelled, len(best)) if prior is None else prior)
     return Scorer({f: float(w) for f, w in zip(best, weights, strict=True) if abs(w) > 1e-6}, offset)
 
 
