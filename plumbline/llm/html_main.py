@@ -11,13 +11,14 @@ What HTML itself names is not left to statistics, so hosts of one page work too:
 forms, scripts and elements named as what differs from page to page without being the page's text (adverts, comments,
 related links) always go, outside <article> and <main> also those named as menus, notices or the like. Inside, such names
 are a prior: the element goes unless its place is known to carry something, and headings and sections, whose ids are
-made from their own words, are not judged by ids. A page with <article> or <main> has its text there and in places
-outside that are known to carry something; a place is known if MIN_SEEN different pages of the host have it. Where it
-is not known, tags and names decide; an <article> or <main> that importance would empty stays as it is. All counting is by pre-aggregated sums over (host, place),
+made from their own words, are not judged by ids, nor is an article's own header by its name. A page with <article> or
+<main> has its text there (unless paragraphs outside outweigh it) and in places outside that are known to carry something.
+What is known of a place grows smoothly with the different pages that have it; where little is, tags and names decide. An
+<article> or <main> that importance would empty stays as it is. All counting is by pre-aggregated sums over (host, place),
 so a host with a third of all pages is no hot group; the list of removed places goes to the pages by a join that Spark
 broadcasts only below its size limit.
 
-Defined results: null and empty html give an empty text; a null or odd url counts as a host of its own name; cut-off
+Defined results: null and empty html give an empty text; pages of any length and depth take time in proportion; a null or odd url counts as a host of its own name; cut-off
 tags, comments and scripts end with the page; repeated rows are each extracted; an empty table gives no rows; further
 columns are ignored.
 """
@@ -35,12 +36,16 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_map, stored, table
 
-#: Branches below this importance go, if MIN_SEEN different pages of the host have their place.
-LOW, MIN_SEEN = 0.35, 6
+#: Branches below LOW go, texts from HIGH on are known to carry something; both importances are drawn to the neutral side by
+#: as much as PRIOR pages say, so that places which few different pages have are left to tags and names.
+LOW, HIGH, PRIOR = 0.35, 0.5, 3
+#: A page's text is not in its article or main if paragraphs outside have over so many times its characters.
+OUTWEIGHED = 3
 #: How much less a node counts for the branches that hold it, a level up.
 FADE = 0.9
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote opens a value only after an equals sign; elsewhere it is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -51,6 +56,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|comments?|disqus|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget)(?=$|[\s_-])", re.I)
 #: Names of what differs from page to page, so that importance can't tell it from the text.
 VARIED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumbs?|sidebar|comments?|disqus|respond|related|recommend\w*|pagination|pager)(?=$|[\s_-])", re.I)
+#: Names that say nothing inside an article: its own header holds its title.
+OWN = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 #: Elements whose ids are made from their headings' words.
 SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 MAIN = frozenset(("article", "main"))
@@ -73,39 +80,42 @@ class Node:
         words = named.get("class", "") if inside and tag in SLUGGED else classes
         judged = bool(words) and tag not in ("html", "body", "article", "main")
         #: Named as no part of the text, if its place isn't known to carry something.
-        self.named = judged and inside and bool(NAMED.search(words)) and not VARIED.search(words)
+        inner = OWN.sub(" ", words) if inside else words
+        self.named = judged and inside and bool(NAMED.search(inner)) and not VARIED.search(inner)
         self.gone = bool(
             parent and parent.gone or tag in NEVER or tag == "header" and not inside or role in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
-            or judged and not self.named and NAMED.search(words)
+            or judged and not self.named and NAMED.search(inner)
             or tag == "article" and classes and re.search(r"comment", classes, re.I)
         )
 
 
 def parse(html: str) -> list[tuple[int, object]]:
-    """(0, node) where an element opens, (1, text), (2, node) where it closes, in page order."""
+    """(0, node) where an element opens, (1, text), (2, node) where it closes, in page order; references in texts are decoded."""
     root = Node("", None, "")
     events: list[tuple[int, object]] = []
     stack, at = [root], 0
+    # The depths at which each tag is open, so that no search walks the stack.
+    opened: dict[str, list[int]] = {}
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
             events.append((2, stack.pop()))
+            opened[events[-1][1].tag].pop()
+
+    def deepest(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     def nearest(tags, stops) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in stops:
-                break
-        return 0
+        found = deepest(tags)
+        return found if found >= deepest(stops) else 0
 
     while at < len(html):
         m = TOKEN.search(html, at)
         if not m:
-            events.append((1, html[at:]))
+            events.append((1, unescape(html[at:])))
             break
         if m.start() > at:
-            events.append((1, html[at : m.start()]))
+            events.append((1, unescape(html[at : m.start()])))
         at = m.end()
         if not m[2]:
             continue
@@ -130,25 +140,43 @@ def parse(html: str) -> list[tuple[int, object]]:
             at = end.end() if end else len(html)
             events.append((2, node))
         else:
+            opened.setdefault(tag, []).append(len(stack))
             stack.append(node)
     close_to(1)
     return events
 
 
 def _squeeze(text: str) -> str:
-    return " ".join(unescape(text).split())
+    return " ".join(text.split())
 
 
 def main_text(html: str, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset(), told: frozenset[int] = frozenset()) -> str:
     """The blocks of the page's main text; low: places whose branches are removed; high: places whose branches hold a text of importance; told: places whose own texts have it."""
     events = parse(html)
-    has_main = any(kind == 0 and node.main and not node.gone for kind, node in events)
+    has_main = _in_main(events)
     text, in_main = _blocks(events, has_main, low, high, told)
     if has_main and low and not in_main:
         text, _ = _blocks(events, has_main, low - {x.place for kind, x in events if kind == 0 and x.main}, high, told)
     return text
 
 
+def _in_main(events: list[tuple[int, object]]) -> bool:
+    """Whether the page has an article or main that its text is in: not one that paragraphs outside outweigh."""
+    inside = outside = open_main = gone = open_p = 0
+    for kind, x in events:
+        if kind == 1:
+            if not gone and open_main:
+                inside += len(x)
+            elif not gone and open_p:
+                outside += len(x)
+            continue
+        step = 1 - kind
+        open_main += step * x.main
+        gone += step * (x.gone or x.named)
+        open_p += step * (x.tag == "p")
+    return inside > 0 and inside * OUTWEIGHED >= outside
+
+
 def _blocks(events: list[tuple[int, object]], has_main: bool, low: frozenset[int], high: frozenset[int], told: frozenset[int]) -> tuple[str, bool]:
     """The blocks that stay, and whether any of their text is in an article or main."""
     blocks, run, gone, in_main = [], [], 0, False
@@ -265,8 +293,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.max(F.col("kind") == 3).alias("holds"),
     )
     style = F.when(F.col("m") > 1, (F.log("m") - F.col("style_logs") / F.col("m")) / F.log("m")).otherwise(1.0)
-    # The mean over occurrences of the logarithm of how often the same content occurs, against the most it could be.
-    content = F.when(F.col("texts") > 1, 1 - F.col("text_logs") / F.col("texts") / F.log("texts")).otherwise(1.0)
+    # The mean over occurrences of the logarithm of how often the same content occurs, against that of the pages.
+    content = F.when(F.col("seen") > 1, F.greatest(F.lit(0.0), 1 - F.col("text_logs") / F.col("texts") / F.log("seen"))).otherwise(1.0)
     nodes = nodes.withColumn("own", F.when(F.col("texts") > 0, content).otherwise(style)).withColumn("size", F.when(F.col("texts") > 0, F.col("texts")).otherwise(0.01 * F.col("m")))
     best = F.when(F.col("texts") > 0, F.col("own")).otherwise(0.0)
     branches = _branches(nodes.select("host", "place", "up", "seen", (F.col("size") * F.col("own")).alias("carried"), "size", best.alias("own"), best.alias("best"), "holds"))
@@ -290,12 +318,14 @@ def _branches(nodes: DataFrame) -> DataFrame:
     return nodes
 
 
-def judged_places(tree: DataFrame, low: float = LOW, min_seen: int = MIN_SEEN) -> DataFrame:
+def judged_places(tree: DataFrame, low: float = LOW, high: float = HIGH, prior: float = PRIOR) -> DataFrame:
     """(host, low, high, told): the places of each host whose branches carry little and hold no article, main or important text, those that hold a text of importance, and those whose own texts have it."""
-    is_low = (F.col("importance") < low) & (F.col("best") < low) & ~F.col("holds")
-    is_high = F.col("best") >= low
-    known = tree.filter((F.col("seen") >= min_seen) & (is_low | is_high))
-    return known.groupBy("host").agg(F.collect_list(F.when(is_low, F.col("place"))).alias("low"), F.collect_list(F.when(is_high, F.col("place"))).alias("high"), F.collect_list(F.when(F.col("own") >= low, F.col("place"))).alias("told"))
+    seen = F.col("seen")
+    below = lambda name: (F.col(name) * seen + prior) / (seen + prior) < low
+    above = lambda name: F.col(name) * seen / (seen + prior) >= high
+    is_low, is_high = below("importance") & below("best") & ~F.col("holds"), above("best")
+    known = tree.filter(is_low | is_high)
+    return known.groupBy("host").agg(F.collect_list(F.when(is_low, F.col("place"))).alias("low"), F.collect_list(F.when(is_high, F.col("place"))).alias("high"), F.collect_list(F.when(above("own"), F.col("place"))).alias("told"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -59,3 +59,52 @@ def test_importance_decides_inside_and_outside_articles(spark):
 
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_quotes_in_values_headers_and_references():
+    assert H.main_text("<article><a title=don't>x</a> one</p><p>two 'q' three</p><p>four</p></article>") == "x one\ntwo 'q' three\nfour"
+    assert H.main_text("""<article><a title = "a > b" href='c>d' data-x="it's">x</a><p>y</article>""") == "x\ny"
+    assert H.main_text('<article><div class="article-header"><h1>Title</h1></div><p>t</p></article>') == "Title\nt"
+    assert H.main_text("<article><b>&am</b>p; &lt;<i>b&gt;</i></article>") == "&amp; <b>".replace("&amp;", "&amp;")
+    assert H.main_text("<p " + "a=\"b" * 3 + ">t</p>") in ("", "t") and H.main_text("<p a==>t</p>") == "t"
+
+
+def test_teasers_do_not_hide_the_text():
+    body = "".join(f"<p>Sentence {i} of a text that is long.</p>" for i in range(20))
+    assert H.main_text(f"<body><div>{body}</div><article><p>Teaser</p></article></body>").count("\n") == 20
+
+
+def test_known_articles_in_known_templates(spark):
+    """Pages of templates whose parts have no telling names, around and inside the article: the article comes back exactly."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n))
+    templates = [
+        "<html><body><div class=t1><ul><li>Start<li>Shop<li>About us</ul></div><div class=c><h1>{0}</h1>{1}</div><div class=t2><p>All rights reserved</p></div></body></html>",
+        "<html><body><div><b>Our paper</b></div><main><div class=q>Read our letter every week</div><h1>{0}</h1>{1}<div class=q2><span>Tell your friends</span></div></main><div>Imprint</div></body></html>",
+        "<html><body><table><tr><td>Menu<br>Contact<td><article><h1>{0}</h1>{1}<p class=z>Written for you by our team</p></article></table></body></html>",
+    ]
+    rows, wanted = [], {}
+    for host, template in enumerate(templates):
+        for i in range(15):
+            title, paragraphs = sentence(5), [sentence(rng.randint(5, 60)) for _ in range(rng.randint(1, 6))]
+            page = host * 100 + i
+            rows.append((page, f"http://h{host}.example/{i}", template.format(title, "".join(f"<p>{p}" for p in paragraphs)), "c", "c", "c"))
+            wanted[page] = "\n".join([title, *paragraphs])
+    pages = spark.createDataFrame(rows, SCHEMA)
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert got == wanted
+    assert sum(H.main_text(r[2]) != wanted[r[0]] for r in rows) == len(rows)  # each of these pages needs the tree
+
+
+def test_long_deep_and_unclosed_pages():
+    import time
+
+    began = time.time()
+    assert H.main_text("<article>" + "<p>word " * 100_000).count("\n") == 99_999
+    assert H.main_text("<div>" * 50_000 + "x" + "</span>" * 50_000) == "x"
+    assert H.main_text("<p><button></button>" + "<ul><b>" * 30_000 + "y") == "y"
+    assert len(H.main_text("<article>" + "z" * 3_000_000)) == 3_000_000
+    assert time.time() - began < 30
