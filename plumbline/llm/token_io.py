@@ -8,8 +8,8 @@ A record file is a run of frames, each
     newline  1 byte
 The mask rotates a CRC right by 15 bits and adds a constant, so that checksums of data which hold checksums stay sound.
 Ids take two bytes where the vocabulary allows it, else four. Files are named by the order of their documents; frames
-are in ascending doc_id order. Beside them stands an offset index (Parquet: file, doc_id, offset, length, n_tokens), so
-that single records can be read in any order. Spark's own writer commits the files, so lost executors do no harm, and any
+are in ascending doc_id order. Beside them stands an offset index (Parquet: file, doc_id, offset, length, n_tokens, in_file,
+ids_crc32), made by reading the files back once, so that single records can be read in any order. Spark's own writer commits the files, so lost executors do no harm, and any
 file system that Spark knows will do.
 
 Defined results: null text is an empty text and holds the end id only; equal doc_ids stand side by side, ordered by a
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import arrow_map, new_path, stored, table
+from plumbline.llm.common import arrow_map, new_path, table
 
 END_ID = 2
 #: Text bytes a record file is made of; a file is read back as a whole.
-FILE_BYTES = 8 << 20
+FILE_BYTES = 32 << 20
 #: Words whose ids a worker remembers before it starts afresh.
 CACHE_WORDS = 300_000
 MASK_DELTA = 0xA282EAD8
@@ -143,7 +143,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str) -> None:
 
     framed = arrow_map(ordered.select("doc_id", "text"), rows, "frame binary")
     framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
-    read_frames(spark, path).select("file", "doc_id", "offset", "length", "n_tokens").write.parquet(f"{path}/index")
+    read_frames(spark, path).write.parquet(f"{path}/index")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -165,11 +165,12 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files: start counts the ids of all documents before.
+    """(doc_id, start, n_tokens, ids_crc32) of every record, by the index that was read from the files: start counts the ids of all documents before.
 
-    Totals of files give each file's start; a file stands for megabytes of text, so their running sum is small.
+    Totals of files give each file's start; a file stands for FILE_BYTES of text (100 TB are three million), so their
+    running sum is small.
     """
-    found = stored(read_frames(spark, path), "frames")
+    found = spark.read.parquet(f"{path}/index")
     files = found.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("bigint")
     earlier = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
