@@ -1,4 +1,12 @@
-"""A corpus pipeline of the training-data operators: each stage works on all rows that the one before kept."""
+"""A corpus pipeline of the training-data operators: each stage works on all rows that the one before kept.
+
+Defined results, as those of the operators: null and blank texts are never toxic nor near-duplicates and hold no passages;
+mixing takes none of them, as they have no words, so they end there; rows with a null doc_id pass all stages and are first
+in the record files; a null source is a source of its own; rows repeated in doc_id and text are one document and stay
+together in near-dedup, and share in mixing what the plan gives them; texts of any length are handled whole; ties are broken
+by doc_id, then by a hash of the text; columns beside those of documents are kept, whatever their names; empty tables make
+empty results, and without a toxic label or a benchmark item nothing is dropped or cut.
+"""
 
 from __future__ import annotations
 
