@@ -3,7 +3,7 @@
 Every vector is projected on PROJECTIONS random lines; a block of vectors keeps each line's values as a sorted array. A
 query opens a window around its own value on every line and widens all of them step by step (virtual rehashing); a vector
 that lies in the windows of THRESHOLD of the lines is a candidate and is verified by its exact inner product. Widening
-ends when a vector as far as the k-th best so far would by now have passed the threshold with a chance of about 80 %, so
+ends when a vector as far as the k-th best so far would by now have passed the threshold with a chance of about 86 %, so
 recall doesn't hang on the data's scale (Gan et al., 2012; Huang et al., 2015).
 
 Largest inner products become least distances by one more component: vectors are scaled into the unit ball by the largest
@@ -32,13 +32,14 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.common import stored, table
 
-PROJECTIONS, THRESHOLD = 96, 0.75
+PROJECTIONS, THRESHOLD = 48, 0.75
 #: The k-th best must have passed the threshold by so many standard deviations before the windows stop widening.
-SURE = 0.9
-#: Half a window's first width, in units of the sphere's radius, and the factor of each step.
-FIRST, WIDER = 0.08, 1.08
+SURE = 1.1
+#: Half a window's first width, in units of the sphere's radius, and the factor of each step: the coarse one until some
+#: vector's count is at a part of the threshold, then the fine one.
+FIRST, COARSE, FINE, NEARLY = 0.08, 1.45, 1.18, 0.6
 #: Most vectors of a block; tables are dealt into two blocks a core as long as these have LEAST_BLOCK vectors.
-BLOCK, LEAST_BLOCK = 16_384, 4_096
+BLOCK, LEAST_BLOCK = 16_384, 12_288
 #: Queries that a task works on at once.
 QUERY_BATCH = 256
 
@@ -51,32 +52,34 @@ class CollisionIndex:
     """Sorted projections of one block of vectors (rows of a matrix of doubles)."""
 
     def __init__(self, vectors: np.ndarray, largest: float, seed: int = 0) -> None:
-        self.vectors, self.largest = vectors, largest
+        self.vectors, self.largest, self.verified = vectors, largest, 0
         lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         scaled = vectors / largest
         lift = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", scaled, scaled)))
         values = np.column_stack([scaled, lift]) @ lines
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.values = np.ascontiguousarray(np.sort(values, axis=0).T)
         self.lines = lines[:-1]
 
     def search(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places, inner products) of each query's verified vectors; own: places that are the query itself."""
+        """(places, inner products) of each query's k best verified vectors, ties with the last included; own: places that are the query itself."""
         n, m = len(self.vectors), len(queries)
         norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         centres = np.ascontiguousarray((queries / norms[:, None] @ self.lines).T)
         low = np.stack([np.searchsorted(v, c) for v, c in zip(self.values, centres, strict=True)])
         high = low.copy()
         searches = [_Search(self, q, k, float(norm), o) for q, norm, o in zip(queries, norms, own, strict=True)]
-        active, half = np.arange(m), FIRST
+        active, half = np.arange(m), np.full(m, FIRST)
         while len(active):
             new_low, new_high = low.copy(), high.copy()
             for line, (values, centre) in enumerate(zip(self.values, centres, strict=True)):
-                new_low[line, active] = np.minimum(low[line, active], np.searchsorted(values, centre[active] - half, "left"))
-                new_high[line, active] = np.maximum(high[line, active], np.searchsorted(values, centre[active] + half, "right"))
-            going = [searches[i].widen(low[:, i], new_low[:, i], high[:, i], new_high[:, i], half) for i in active]
-            low, high, active, half = new_low, new_high, active[np.array(going)], half * WIDER
-        return [(np.concatenate(s.found), np.concatenate(s.scores)) for s in searches]
+                new_low[line, active] = np.minimum(low[line, active], np.searchsorted(values, centre[active] - half[active], "left"))
+                new_high[line, active] = np.maximum(high[line, active], np.searchsorted(values, centre[active] + half[active], "right"))
+            going = [searches[i].widen(low[:, i], new_low[:, i], high[:, i], new_high[:, i], float(half[i])) for i in active]
+            low, high, active = new_low, new_high, active[np.array(going)]
+            half[active] *= [searches[i].factor for i in active]
+        self.verified += sum(s.verified for s in searches)
+        return [(s.found, s.scores) for s in searches]
 
 
 class _Search:
@@ -85,29 +88,34 @@ class _Search:
     def __init__(self, index: CollisionIndex, query: np.ndarray, k: int, norm: float, own: np.ndarray) -> None:
         self.index, self.query, self.k, self.norm = index, query, k, norm
         n = len(index.vectors)
-        self.count, self.open = np.zeros(n, dtype=np.int16), np.ones(n, dtype=bool)
-        self.open[own] = False
-        self.found, self.scores = [np.empty(0, np.int64)], [np.empty(0)]
+        self.count, self.verified = np.zeros(n, dtype=np.int64), 0
+        self.count[own] = -2 * PROJECTIONS  # what has been verified, or is the query itself, never passes again
+        self.found, self.scores = np.empty(0, np.int64), np.empty(0)
+        self.factor, self.least = COARSE, math.ceil(THRESHOLD * PROJECTIONS)
 
     def widen(self, low: np.ndarray, new_low: np.ndarray, high: np.ndarray, new_high: np.ndarray, half: float) -> bool:
         """Counts what the windows have gained; False once nothing near is likely to be missing."""
-        index, n = self.index, len(self.open)
+        index, n = self.index, len(self.count)
         parts = [o[a:b] for o, a, b in zip(index.order, new_low.tolist(), low.tolist(), strict=True)]
         parts += [o[a:b] for o, a, b in zip(index.order, high.tolist(), new_high.tolist(), strict=True)]
-        self.count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-        passed = np.flatnonzero(self.open & (self.count >= math.ceil(THRESHOLD * PROJECTIONS)))
+        self.count += np.bincount(np.concatenate(parts), minlength=n)
+        if self.factor == COARSE and self.count.max() >= NEARLY * self.least:
+            self.factor = FINE
+        passed = np.flatnonzero(self.count >= self.least)
         if len(passed):
-            self.open[passed] = False
-            self.found.append(passed)
-            self.scores.append(np.einsum("j,ij->i", self.query, index.vectors[passed]))
-        every = np.concatenate(self.scores)
-        if len(every) >= self.k:
-            best = np.partition(every, len(every) - self.k)[len(every) - self.k]
-            far = math.sqrt(max(1e-12, 2 - 2 * best / (self.norm * index.largest)))
+            self.count[passed] = -2 * PROJECTIONS
+            self.verified += len(passed)
+            self.found = np.concatenate([self.found, passed])
+            self.scores = np.concatenate([self.scores, index.vectors[passed] @ self.query])
+            if len(self.scores) > self.k:
+                kept = self.scores >= np.partition(self.scores, len(self.scores) - self.k)[len(self.scores) - self.k]
+                self.found, self.scores = self.found[kept], self.scores[kept]
+        if len(self.scores) >= self.k:
+            far = math.sqrt(max(1e-12, 2 - 2 * self.scores.min() / (self.norm * index.largest)))
             p = 2 * _normal_cdf(half / far) - 1
             if p - SURE * math.sqrt(p * (1 - p) / PROJECTIONS) >= THRESHOLD:
                 return False
-        return bool(self.open.any()) and (new_low.max() > 0 or new_high.min() < n)
+        return new_low.max() > 0 or new_high.min() < n
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -132,7 +140,9 @@ def _best(index: CollisionIndex, block: pa.RecordBatch, asked: pa.RecordBatch, k
     ends = [np.searchsorted(rows[by_row], asked.column("row").to_numpy(), side) for side in ("left", "right")]
     own = [by_row[a:b] for a, b in zip(*ends, strict=True)]
     best = []
-    for places, scores in index.search(_matrix(asked), k, own):
+    vectors, queries = index.vectors, _matrix(asked)
+    for query, (places, scores) in zip(queries, index.search(queries, k, own), strict=True):
+        scores = np.einsum("ij,j->i", vectors[places], query)  # one order of summation, whatever else was verified
         order = np.lexsort((ids[places], -scores))[:k]
         best.append((places[order], scores[order]))
     at = pa.array(np.repeat(np.arange(len(best)), [len(p) for p, _ in best]))
