@@ -20,13 +20,22 @@ def element(matrix: Column, row: int, col: int) -> Column:
     return matrix[4 * col + row]
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that f uses more than once: bound, so that the value's own expression is not repeated."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _places(n: int, f) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+
+
 def to_rows(matrix: Column) -> Column:
     """Column-major to four rows."""
-    return F.array(*[F.array(*[element(matrix, r, c) for c in range(4)]) for r in range(4)])
+    return _once(matrix, lambda m: _places(4, lambda r: _places(4, lambda c: m[c * 4 + r])))
 
 
 def to_column_major(rows: Column) -> Column:
-    return F.array(*[rows[r][c] for c in range(4) for r in range(4)])
+    return _once(rows, lambda m: _places(16, lambda i: m[(i % 4).cast("int")][F.floor(i / 4).cast("int")]))
 
 
 def transform_point(matrix: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
@@ -34,17 +43,26 @@ def transform_point(matrix: Column, x: Column, y: Column, z: Column) -> tuple[Co
 
 
 def multiply(a: Column, b: Column) -> Column:
-    """Matrix product; a function over places, as 16 written-out sums would repeat both operands 64 times."""
+    """Matrix product; a function over places of operands that are bound once."""
+
+    def product(m: Column) -> Column:
+        a, b = m["a"], m["b"]
+
+        def place(i: Column) -> Column:
+            row, first = (i % 4).cast("int"), (i - i % 4).cast("int")
+            return a[row] * b[first] + a[row + 4] * b[first + 1] + a[row + 8] * b[first + 2] + a[row + 12] * b[first + 3]
 
-    def place(i: Column) -> Column:
-        row, first = (i % 4).cast("int"), (i - i % 4).cast("int")
-        return a[row] * b[first] + a[row + 4] * b[first + 1] + a[row + 8] * b[first + 2] + a[row + 12] * b[first + 3]
+        return _places(16, place)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), place)
+    return _once(F.struct(a.alias("a"), b.alias("b")), product)
 
 
 def rigid_inverse(matrix: Column) -> Column:
     """Inverse of rotation and translation: the transpose, and the translation turned back."""
+    return _once(matrix, _turned_back)
+
+
+def _turned_back(matrix: Column) -> Column:
     t = [element(matrix, r, 3) for r in range(3)]
     back = [-(element(matrix, 0, r) * t[0] + element(matrix, 1, r) * t[1] + element(matrix, 2, r) * t[2]) for r in range(3)]
     turned = [element(matrix, c, r) for c in range(3) for r in range(3)]
@@ -85,7 +103,8 @@ def pose_matrix(q: tuple[Column, Column, Column, Column], t: tuple[Column, Colum
 
 
 def moved(matrix: Column, dx: Column, dy: Column, dz: Column) -> Column:
-    return F.array(*[matrix[i] + d if d is not None else matrix[i] for i, d in [*((i, None) for i in range(12)), (12, dx), (13, dy), (14, dz), (15, None)]])
+    """The matrix with its translation moved."""
+    return F.zip_with(matrix, F.array(*[F.lit(0.0)] * 12, dx, dy, dz, F.lit(0.0)), lambda m, d: m + d)
 
 
 def quaternion(matrix: Column) -> tuple[Column, Column, Column, Column]:
@@ -120,6 +139,48 @@ def euler_yxz(matrix: Column) -> tuple[Column, Column, Column]:
     return F.degrees(x), F.degrees(y), F.degrees(z)
 
 
+def euler_xyz(matrix: Column) -> tuple[Column, Column, Column]:
+    """Degrees about x, y and z of a rotation applied in the order x, y, z."""
+    m = lambda r, c: element(matrix, r, c)
+    level = F.abs(m(0, 2)) < 0.9999999
+    x = F.when(level, F.atan2(-m(1, 2), m(2, 2))).otherwise(F.atan2(m(2, 1), m(1, 1)))
+    y = F.asin(clamp(m(0, 2), -1.0, 1.0))
+    z = F.when(level, F.atan2(-m(0, 1), m(0, 0))).otherwise(F.lit(0.0))
+    return F.degrees(x), F.degrees(y), F.degrees(z)
+
+
+def turned_about_y(degrees: Column, base: tuple) -> tuple[Column, Column, Column, Column]:
+    """A base quaternion turned about the y axis."""
+    half, zero = F.radians(degrees) / 2, F.lit(0.0)
+    return quaternion_product((zero, F.sin(half), zero, F.cos(half)), base)
+
+
+def lifted_position(base: tuple, offsets: tuple) -> tuple[Column, Column, Column]:
+    """A base moved by offsets whose second and third places are exchanged: y is up in the viewer, z in the model."""
+    return base[0] + offsets[0], base[1] + offsets[2], base[2] + offsets[1]
+
+
+def translation(x: Column, y: Column, z: Column) -> Column:
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(one, zero, zero, zero, zero, one, zero, zero, zero, zero, one, zero, x, y, z, one)
+
+
+def decentred(matrix: Column, centre: tuple, child: Column) -> Column:
+    """matrix as it was before its content was moved to the centre, where it was a child that was moved."""
+    return F.when(child, multiply(matrix, translation(*[-c for c in centre]))).otherwise(matrix)
+
+
+def desired_world(cloud: Column, alignment: Column, centre: tuple) -> Column:
+    """Where a model belongs: the cloud's matrix, the alignment undone, the model's centre put back."""
+    return multiply(multiply(cloud, rigid_inverse(alignment)), translation(*centre))
+
+
+def calibration_matrix(matrix: Column) -> Column:
+    """A quarter turn back about x after the inverse; null unless the matrix holds 16 finite numbers."""
+    quarter = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)])
+    return F.when(is_rigid_array(matrix), multiply(quarter, rigid_inverse(matrix)))
+
+
 def transform_delta(a: Column, b: Column) -> tuple[Column, Column]:
     """Length of the translation and degrees of the rotation that lead from a to b."""
     shift = F.sqrt(sum(((b[i] - a[i]) * (b[i] - a[i]) for i in (13, 14)), (b[12] - a[12]) * (b[12] - a[12])))
@@ -153,12 +214,25 @@ def round_to_step(v: Column, step: Column) -> Column:
 
 
 def step_decimals(step: Column) -> Column:
-    """Digits after the point of a step's shortest decimal form."""
-    return F.length(F.regexp_extract(step.cast("string"), r"\.(\d*[1-9])", 1))
+    """Digits after the point of a step's shortest decimal form, at most 3; 2 for what is no step."""
+    digits = F.when(step == F.round(step, 0), 0).when(step == F.round(step, 1), 1).when(step == F.round(step, 2), 2).otherwise(3)
+    return F.when(finite(step) & (step > 0), digits).otherwise(2)
+
+
+def adjust_step(text: Column, low: float, high: float, fallback: float) -> Column:
+    """A step as a multiple of low within [low, high]; the fallback for what is no positive number."""
+    v = text.try_cast("double")
+    return F.when(finite(v) & (v > 0), clamp(round_to_step(v, F.lit(low)), low, high)).otherwise(F.lit(fallback))
 
 
 def bounded_threshold(text: Column, low: float, high: float, fallback: float) -> Column:
-    return F.round(clamp(F.coalesce(text.try_cast("double"), F.lit(fallback)), low, high), 2)
+    v = text.try_cast("double")
+    return F.when(finite(v), clamp(F.round(v, 2), low, high)).otherwise(F.lit(fallback))
+
+
+def positive_or(v: Column, default: float) -> Column:
+    """v, or the default where it isn't above zero."""
+    return F.when(v > 0, v).otherwise(F.lit(default))
 
 
 def slider_range(*offsets: Column) -> Column:
@@ -170,6 +244,43 @@ def clip_step(span: Column) -> Column:
     return F.when(finite(span) & (span > 0), F.greatest(span / 1000, F.lit(1e-6))).otherwise(F.lit(0.001))
 
 
+def clip_face(low: Column, high: Column, base_low: Column, base_high: Column, upper: bool) -> tuple[Column, Column, Column]:
+    """(position, least, most) of a clip box's lower or upper face on an axis."""
+    return (high, low, base_high) if upper else (low, base_low, high)
+
+
+def clip_face_offset(value: Column, low: Column, high: Column, base_low: Column, base_high: Column, upper: bool) -> Column:
+    """The offset that puts a face at value, as far as the other face lets it."""
+    return base_high - F.least(F.greatest(value, low), base_high) if upper else F.least(F.greatest(value, base_low), high) - base_low
+
+
+def pointer_place(x: Column, y: Column, left: Column, top: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """A pointer in device coordinates, -1 to 1, y upwards; null in an empty frame."""
+    return (x - left) / F.nullif(width, F.lit(0.0)) * 2 - 1, -((y - top) / F.nullif(height, F.lit(0.0)) * 2) + 1
+
+
+def followed(source: tuple, source_base: tuple, target_base: tuple) -> tuple:
+    """The target moved from its base as the source was from its own."""
+    return tuple(t + s - b for s, b, t in zip(source, source_base, target_base, strict=True))
+
+
+def followed_distance(source: Column, source_base: Column, target_base: Column) -> Column:
+    """The target's distance zoomed as the source's; null where the ratio isn't a positive number."""
+    ratio = source / F.nullif(source_base, F.lit(0.0))
+    return F.when(finite(ratio) & (ratio > 0), target_base * ratio)
+
+
+def eye_dome_shade(depth: Column, neighbours: Column, strength: Column) -> Column:
+    """Darkening of a pixel from its eight neighbours' depths (null: background): exp of minus 220 times strength and the mean rise in octaves, at least 0.22."""
+    rise = F.aggregate(neighbours, F.lit(0.0), lambda s, z: s + F.coalesce(F.greatest(F.lit(0.0), F.log2(z) - F.log2(depth)), F.lit(0.0)))
+    return F.when(depth.isNull(), F.lit(1.0)).otherwise(F.greatest(F.exp(-rise / 8 * 220 * strength), F.lit(0.22)))
+
+
+def sphere_box(centre: tuple, radius: Column) -> tuple[tuple, tuple]:
+    """(lower, upper) corners of the box around a sphere."""
+    return tuple(c - radius for c in centre), tuple(c + radius for c in centre)
+
+
 def fit_distance(dx: Column, dy: Column, dz: Column, degrees: float = 60.0) -> Column:
     """How far a camera of that vertical angle stands to see a box."""
     radius = F.sqrt(dx * dx + dy * dy + dz * dz) / 2
@@ -180,6 +291,10 @@ def distance(a: tuple, b: tuple) -> Column:
     return F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0])))
 
 
+def height_difference(a: tuple, b: tuple) -> Column:
+    return F.abs(b[1] - a[1])
+
+
 def dot(a: tuple, b: tuple) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 

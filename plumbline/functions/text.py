@@ -11,7 +11,17 @@ MESH_EXTENSIONS = (".glb", ".gltf", ".obj", ".stl", ".off", ".ply")
 COLOR = "^#[0-9a-fA-F]{6}$"
 GUID = "^[0-9A-Za-z_$]{22}$"
 CHUNK = 5 * 1024 * 1024
-IFC_KEYS = ("ifcId", "ifcGuid", "globalId", "GlobalId", "guid", "GUID", "elementId", "ElementId", "stepId", "expressID", "expressId", "id")
+IFC_KEYS = ("expressID", "ExpressID", "expressId", "ifcId", "ifcID", "IfcId", "globalId", "GlobalId", "guid", "GUID", "IfcGUID", "ifcGuid")
+STATUS_TEXT = {"uploading": "文件上传中", "queued": "解析中", "processing": "解析中", "ready": "已解析", "failed": "处理失败，请重新上传", "terminated": "上传已终止"}
+STATUS_TEXT_ELSE = "状态待更新"
+STATUS_TAG = {"ready": "success", "uploading": "warning", "queued": "warning", "processing": "warning", "failed": "danger", "terminated": "danger"}
+STATUS_TAG_ELSE = "info"
+REMESH_TEXT = {"queued": "均匀化排队中", "processing": "均匀化处理中", "succeeded": "网格已均匀化", "failed": "均匀化失败"}
+REMESH_TEXT_ELSE = "等待均匀化"
+UPLOAD_ERRORS = {400: "请求参数错误，请检查文件类型和大小", 401: "登录状态已失效，请重新登录", 404: "上传会话不存在，请重新上传", 409: "上传偏移不一致，已自动中断，请重新上传", 413: "文件过大，超出服务端限制", 415: "当前文件类型不受支持"}
+UPLOAD_ERRORS_FIXED = (401, 404, 413)
+UPLOAD_ERROR_SERVER, UPLOAD_ERROR_ELSE = "服务器暂时不可用，请稍后重试", "上传失败，请稍后重试"
+NO_TIME = "时间未记录"
 
 
 def extension(name: Column) -> Column:
@@ -69,23 +79,34 @@ def encoded_metadata(values: Column) -> Column:
 
 
 def error_message(text: Column, *keys: str) -> Column:
-    """The first of the JSON fields that isn't blank, else the text itself."""
+    """The first of the JSON fields that isn't blank, else the text itself; white space collapsed, at most 300 bytes."""
     fields = [F.nullif(F.trim(F.get_json_object(text, f"$.{k}")), F.lit("")) for k in keys or ("msg", "message", "detail")]
-    return F.coalesce(*fields, F.trim(text))
+    return bounded_log(F.coalesce(*fields, text))
+
+
+def client_error(text: Column) -> Column:
+    """msg, else message of a JSON answer, as it is; null where both are blank."""
+    return F.coalesce(*[F.when(F.trim(v) != "", v) for v in (F.get_json_object(text, "$.msg"), F.get_json_object(text, "$.message"))])
 
 
 def bounded_log(text: Column, most: int = 300) -> Column:
-    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+    """White space collapsed, cut to so many bytes of UTF-8 (a character that the cut splits goes whole)."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    cut = F.decode(F.substring(F.encode(flat, "UTF-8"), 1, most), "UTF-8")
+    return F.when(F.octet_length(flat) <= most, flat).otherwise(F.regexp_replace(cut, "\ufffd+$", ""))
 
 
 def element_id(name: Column, metadata_id: Column, parent_id: Column) -> Column:
-    before = F.split(name, "_")[0]
-    return F.when(name.rlike(GUID), name).otherwise(F.coalesce(F.when(F.instr(name, "_") > 1, before), metadata_id, parent_id))
+    """A 22-character id as it is, else what stands before the first underscore; without a name the metadata's id, then the parent's."""
+    name = F.nullif(F.trim(name), F.lit(""))
+    before = F.nullif(F.trim(F.split(name, "_")[0]), F.lit(""))
+    return F.when(name.rlike(GUID), name).otherwise(F.coalesce(before, name, metadata_id, parent_id))
 
 
-def ifc_id(values: Column, nested: Column) -> Column:
-    """The first of the usual keys, then of the nested properties."""
-    return F.coalesce(*[F.nullif(m[k], F.lit("")) for m in (values, nested) for k in IFC_KEYS])
+def ifc_id(values: Column, *nested: Column) -> Column:
+    """The first of the usual keys that isn't blank; then the same in the first of the nested maps that is there."""
+    maps = [values, F.coalesce(*nested)] if nested else [values]
+    return F.coalesce(*[F.nullif(F.trim(m[k]), F.lit("")) for m in maps for k in IFC_KEYS])
 
 
 def matrix_from_json(text: Column) -> Column:
@@ -107,29 +128,41 @@ def envelope(code: Column, msg: Column, data: Column) -> Column:
     return F.to_json(F.struct(code.alias("code"), msg.alias("msg"), data.alias("data")))
 
 
+def _utc(epoch: Column, separator: str, end: Column) -> Column:
+    """Date and time of day of epoch seconds by arithmetic, so that the session's zone doesn't matter."""
+    day = F.date_from_unix_date(F.floor(epoch / 86400).cast("int")).cast("string")
+    second = F.pmod(epoch, F.lit(86400))
+    return F.concat(day, F.lit(separator), F.format_string("%02d:%02d", F.floor(second / 3600), F.floor(F.pmod(second, F.lit(3600)) / 60)), end)
+
+
 def rfc3339(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _utc(epoch, "T", F.format_string(":%02dZ", F.pmod(epoch, F.lit(60)).cast("bigint")))
 
 
-def minute_text(epoch: Column, missing: str = "-") -> Column:
-    return F.coalesce(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm"), F.lit(missing))
+def minute_text(epoch: Column, missing: str = NO_TIME) -> Column:
+    """Minutes in the session's zone; null and 0 are no time."""
+    return F.coalesce(F.date_format(F.timestamp_seconds(F.nullif(epoch, F.lit(0))), "yyyy-MM-dd HH:mm"), F.lit(missing))
 
 
 def duration_seconds(text: Column) -> Column:
-    """Seconds of parts such as 1h30m or 7d; null if nothing else than these is there."""
-    total = F.lit(0.0)
-    for unit, seconds in (("d", 86400), ("h", 3600), ("m", 60), ("s", 1)):
-        part = F.regexp_extract(text, rf"(\d+(?:\.\d+)?){unit}", 1)
-        total = total + F.coalesce(F.nullif(part, F.lit("")).cast("double"), F.lit(0.0)) * seconds
-    return F.when(text.rlike(r"^(\d+(\.\d+)?[dhms])+$"), total)
+    """Seconds of "7d" (days, either case, alone) or of parts such as 1h30m, 250ms or -1.5s; null for all else."""
+    text = F.trim(text)
+    days = F.trim(F.substring(text, F.lit(1), F.length(text) - 1))
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"(\d+\.?\d*|\.\d+)(ms|us|µs|μs|ns|h|m|s)"), 1).alias("n"), F.regexp_extract_all(text, F.lit(r"(\d+\.?\d*|\.\d+)(ms|us|µs|μs|ns|h|m|s)"), 2).alias("unit"))
+    seconds = F.create_map(*[F.lit(v) for pair in (("h", 3600.0), ("m", 60.0), ("s", 1.0), ("ms", 1e-3), ("us", 1e-6), ("µs", 1e-6), ("μs", 1e-6), ("ns", 1e-9)) for v in pair])
+    total = F.aggregate(parts, F.lit(0.0), lambda t, p: t + p["n"].cast("double") * F.element_at(seconds, p["unit"]))
+    signed = F.when(text.startswith("-"), -total).otherwise(total)
+    fits = text.rlike(r"^[-+]?(0|((\d+\.?\d*|\.\d+)(ms|us|µs|μs|ns|h|m|s))+)$")
+    return F.when(F.lower(text).endswith("d"), days.try_cast("double") * 86400).when(fits, signed)
 
 
 def file_size(n: Column) -> Column:
-    """Base 1024: no decimals for bytes, one for larger units."""
+    """Base 1024: one decimal, but none for bytes and for values of 100 and more."""
     power = F.when(n <= 0, F.lit(0)).otherwise(F.least(F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0)) + 1e-12), F.lit(4))).cast("int")
     units = F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB")))
     value = n / F.pow(F.lit(1024.0), power)
-    return F.concat(F.when(power == 0, F.format_string("%.0f", value.cast("double"))).otherwise(F.format_string("%.1f", value)), F.lit(" "), units[power])
+    whole = (power == 0) | (value >= 100)
+    return F.concat(F.when(whole, F.format_string("%.0f", F.floor(value + 0.5).cast("double"))).otherwise(F.format_string("%.1f", F.floor(value * 10 + 0.5) / 10)), F.lit(" "), units[power])
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -145,16 +178,20 @@ def three_decimals(v: Column) -> Column:
 
 
 def matrix_cell(v: Column) -> Column:
-    small = (v != 0) & ((F.abs(v) < 1e-4) | (F.abs(v) >= 1e6))
-    return F.when(small, F.format_string("%.3e", v)).otherwise(F.format_string("%.6f", v))
+    """Six decimals; exponents from 1000 on and below 1e-4, without leading zeros; what isn't finite as zero."""
+    wide = (F.abs(v) >= 1000) | ((v != 0) & (F.abs(v) < 1e-4))
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    power = F.regexp_replace(F.format_string("%.6e", v), r"e([+-])0+(\d)", "e$1$2")
+    return F.when(~finite, "0.000000").when(wide, power).otherwise(F.format_string("%.6f", v))
 
 
 def header_int(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(0))
 
 
-def random_id() -> Column:
-    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+def random_id(digits: int = 24) -> Column:
+    """So many random hex digits: 24 for folders, 32 for a whole uuid."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, digits)
 
 
 def setting(text: Column, low: int, high: int | None, fallback: int) -> Column:
@@ -167,26 +204,55 @@ def listed(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
-UPLOAD_ERRORS = {400: "bad request", 401: "sign in again", 404: "upload not found", 409: "offset or state conflict", 413: "too large"}
+def _cases(value: Column, texts: dict, otherwise) -> Column:
+    out = F.lit(otherwise) if isinstance(otherwise, str) else otherwise
+    for k, text in texts.items():
+        out = F.when(value == k, text if isinstance(text, Column) else F.lit(text)).otherwise(out)
+    return out
+
 
+def upload_error(code: Column, message: Column, own: Column | None = None) -> Column:
+    """What a failed upload tells: some codes by the server's message first, some never; own: the error's own text for all other codes."""
+    message = empty_to_null(message)
+    texts = {k: F.lit(t) if k in UPLOAD_ERRORS_FIXED else F.coalesce(message, F.lit(t)) for k, t in UPLOAD_ERRORS.items()}
+    other = F.lit(UPLOAD_ERROR_ELSE) if own is None else F.coalesce(own, F.lit(UPLOAD_ERROR_ELSE))
+    return _cases(code, texts, F.when(code >= 500, F.lit(UPLOAD_ERROR_SERVER)).otherwise(other))
 
-def upload_error(code: Column, message: Column) -> Column:
-    out = F.lit("upload failed")
-    for k, text in UPLOAD_ERRORS.items():
-        out = F.when(code == k, F.lit(text)).otherwise(out)
-    return F.coalesce(empty_to_null(message), out)
 
+def status_text(status: Column) -> tuple[Column, Column]:
+    """(label, tag) of an asset's status."""
+    return _cases(status, STATUS_TEXT, STATUS_TEXT_ELSE), _cases(status, STATUS_TAG, STATUS_TAG_ELSE)
 
-STATUS_TEXT = {"uploading": ("Uploading", "info"), "queued": ("Queued", "info"), "processing": ("Processing", "warning"), "ready": ("Ready", "success"), "failed": ("Failed", "danger"), "terminated": ("Stopped", "info")}
 
+def remesh_text(status: Column) -> Column:
+    return _cases(status, REMESH_TEXT, REMESH_TEXT_ELSE)
 
-def status_text(status: Column) -> tuple[Column, Column]:
-    text, tag = status, F.lit("info")
-    for k, (t, g) in STATUS_TEXT.items():
-        text, tag = F.when(status == k, F.lit(t)).otherwise(text), F.when(status == k, F.lit(g)).otherwise(tag)
-    return text, tag
+
+def creation_refusal(length: Column, kind: Column, name: Column, most: int) -> Column:
+    """0 if an upload may begin, else 400 (length, type or name) or 413."""
+    size, base = length.try_cast("bigint"), F.element_at(F.split(name, "/"), -1)
+    named = kind.isin(*TYPE_EXTENSION) & ~base.isin("", ".") & (F.octet_length(base) <= 255) & (F.instr(base, "\0") == 0) & valid_extension(kind, base)
+    return F.when(size.isNull() | (size <= 0), 400).when(size > most, 413).when(~F.coalesce(named, F.lit(False)), 400).otherwise(0)
 
 
 def upload_refusal(status: Column, offset: Column, size: Column, at: Column, n: Column, limit: int) -> Column:
-    """0 if a chunk may be appended, else 409 or 413."""
-    return F.when(status != "uploading", 409).when(at != offset, 409).when(n > limit, 413).when(offset + n > size, 413).otherwise(0)
+    """0 if a chunk may be appended, else 400 (no offset, or below zero), 409 or 413."""
+    return F.when(status != "uploading", 409).when(at.isNull() | (at < 0), 400).when(at != offset, 409).when(size < offset, 409).when(n > F.least(F.lit(limit), size - offset), 413).otherwise(0)
+
+
+def tile_address(uri: Column, base: Column) -> Column:
+    """A tile's address below its tile set's: whole addresses as they are, others in place of what follows the base's last slash."""
+    whole = uri.rlike("(?i)^((https?:)?//|blob:|data:)")
+    host, folder = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)", 1), F.regexp_extract(base, "^(.*/)", 1)
+    return F.when(whole, uri).when(uri.startswith("/"), F.concat(host, uri)).otherwise(F.concat(folder, uri))
+
+
+def tile_base(base: Column, tileset: Column) -> Column:
+    """The folder of tiles, with its slash: the base if there is one, else the tile set's folder."""
+    slash = lambda c: F.when(c.endswith("/"), c).otherwise(F.concat(c, F.lit("/")))
+    return F.coalesce(slash(empty_to_null(base)), slash(F.regexp_replace(empty_to_null(tileset), "/[^/]*$", "")), F.lit("/"))
+
+
+def below_base(address: Column, base: Column) -> Column:
+    base = F.when(base.endswith("/"), base).otherwise(F.concat(base, F.lit("/")))
+    return F.when(address.startswith(base), F.substring(address, F.length(base) + 1, F.length(address)))

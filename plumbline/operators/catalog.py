@@ -35,7 +35,19 @@ def by_id(rows: DataFrame, owner: int, row_id, **equal) -> DataFrame:
 
 
 def summary(assets: DataFrame) -> DataFrame:
-    return assets.select(F.col("id").cast("string").alias("assetId"), F.lower(F.trim("type")).alias("type"), F.col("source_name").alias("name"), "status", F.col("created_at").alias("createdAt"))
+    """Assets as a list shows them: the colour only of point clouds, and a struct of the remesh job.
+
+    assets: id, type, source_name, source_size, status, error_message, created_at, pointcloud_color, remesh_status, has_file
+    (whether the remeshed file is there), vertex_before, face_before, vertex_after, face_after.
+    """
+    is_model = F.col("type") == "bim"
+    counts = [F.col(c) for c in ("vertex_before", "face_before", "vertex_after", "face_after")]
+    state, retry, stats = remesh_summary(F.col("remesh_status"), F.col("has_file"), counts)
+    only = lambda c: F.when(is_model, c)
+    done = is_model & (state == "succeeded")
+    remesh = F.struct(is_model.alias("supported"), only(state).alias("status"), only(retry).alias("canRetry"), F.when(done, F.col("id")).alias("resultId"), F.when(done, stats).alias("stats"))
+    color = F.when(F.col("type") == "pointcloud", F.lower(F.trim("pointcloud_color")))
+    return assets.select("id", "type", F.col("source_name").alias("sourceName"), F.col("source_size").alias("sourceSize"), "status", F.col("error_message").alias("errorMessage"), F.col("created_at").alias("createdAt"), remesh.alias("meshRemesh"), color.alias("pointcloudColor"))
 
 
 def detail(assets: DataFrame) -> DataFrame:
@@ -114,12 +126,61 @@ def alignment_of(alignments: DataFrame, scan_id: int, bim_id: int, owner: int) -
 
 
 def calibrated_pairs(assets: DataFrame, alignments: DataFrame) -> DataFrame:
-    """Ready scans with ready models of the same owner that an alignment joins, newest scan first."""
+    """One pair for each ready scan that an alignment joins with a ready model of its owner, newest scan first (none as oldest).
+
+    The model is that of the scan's first alignment; where it isn't ready, the newest ready one that any alignment names.
+    Names that are missing are made from the ids.
+    """
     ready = assets.filter("status = 'ready'")
-    scans = ready.filter("type = 'pointcloud'").select(F.col("id").alias("scan_id"), "owner_id", F.col("source_name").alias("scan_name"), F.col("created_at").alias("scan_created"))
-    models = ready.filter("type = 'bim'").select(F.col("id").alias("bim_id"), "owner_id", F.col("source_name").alias("bim_name"))
-    joined = alignments.select("scan_id", "bim_id", "owner_id").join(scans, ["scan_id", "owner_id"]).join(models, ["bim_id", "owner_id"])
-    return joined.select(F.concat_ws(":", "scan_id", "bim_id").alias("key"), "scan_id", "bim_id", "owner_id", "scan_name", "bim_name", "scan_created")
+    name = lambda kind: F.coalesce(F.nullif("source_name", F.lit("")), F.concat(F.lit(kind), F.col("id").cast("string")))
+    scans = ready.filter("type = 'pointcloud'").select(F.col("id").alias("scan_id"), "owner_id", name("点云-").alias("scan_name"), F.col("created_at").alias("scan_created"))
+    models = ready.filter("type = 'bim'").select(F.col("id").alias("bim_id"), "owner_id", name("BIM-").alias("bim_name"), F.col("created_at").alias("bim_created"))
+    first = alignments.groupBy("scan_id", "owner_id").agg(F.min_by("bim_id", "id").alias("first_bim"))
+    known = alignments.select("scan_id", "bim_id", "owner_id").distinct().join(models, ["bim_id", "owner_id"]).join(first, ["scan_id", "owner_id"])
+    order = F.struct((F.col("bim_id") == F.col("first_bim")).alias("is_first"), "bim_created", (-F.col("bim_id")).alias("back"))
+    best = known.groupBy("scan_id", "owner_id").agg(F.max_by(F.struct("bim_id", "bim_name"), order).alias("m"))
+    joined = scans.join(best, ["scan_id", "owner_id"])
+    pairs = joined.select(F.concat_ws(":", "scan_id", "m.bim_id").alias("key"), "scan_id", "m.bim_id", "owner_id", "scan_name", "m.bim_name", "scan_created")
+    return pairs.orderBy(F.desc_nulls_last("scan_created"), "scan_id")
+
+
+def ready_models(assets: DataFrame) -> DataFrame:
+    """Ready models, oldest first, as a restart goes through them."""
+    return assets.filter("type = 'bim' and status = 'ready'").orderBy("id")
+
+
+def user_by_name(users: DataFrame, name: str) -> DataFrame:
+    return users.filter(F.lower("username") == F.lower(F.lit(name)))
+
+
+def resource_path(assets: DataFrame, resource: Column) -> DataFrame:
+    """(id, path, code) of what is asked for: a ready model's glb or metadata, a ready scan's tiles/...; 404 for all else, 400 for a path that climbs out."""
+    from plumbline.functions.text import contained_path
+
+    ready, kind = F.col("status") == "ready", F.col("type")
+    tile = F.regexp_extract(resource, "^tiles/(.+)$", 1)
+    model = F.when(resource == "glb", "model.glb").when(resource == "metadata", "metadata.json")
+    inside = contained_path(tile)
+    below = F.when((kind == "bim") & ready, model).when((kind == "pointcloud") & ready & (tile != "") & inside, F.concat(F.lit("tiles/"), tile))
+    code = F.when(below.isNotNull(), 200).when((kind == "pointcloud") & ready & (tile != "") & ~inside, 400).otherwise(404)
+    return assets.select("id", F.concat_ws("/", "dir", below).alias("path"), code.alias("code")).withColumn("path", F.when(F.col("code") == 200, F.col("path")))
+
+
+def colored_result(results: DataFrame, scan_id: int, bim_id: int, owner: int) -> DataFrame:
+    """The coloured mesh of a pair's result, none where its path is empty."""
+    return alignment_of(results, scan_id, bim_id, owner).filter("colored_ply_path <> ''").select("scan_id", "bim_id", "colored_ply_path")
+
+
+def latest_results(results: DataFrame) -> DataFrame:
+    """The newest result of each (scan, model, owner). A pre-aggregated greatest, no sort."""
+    rest = [c for c in results.columns if c not in ("scan_id", "bim_id", "owner_id")]
+    newest = results.groupBy("scan_id", "bim_id", "owner_id").agg(F.max(F.struct("created_at", "id", *[c for c in rest if c not in ("created_at", "id")])).alias("r"))
+    return newest.select("scan_id", "bim_id", "owner_id", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def fine_alignment_refusal(matrix: Column, distance: Column, rmse_ratio: Column, fitness_ratio: Column) -> Column:
+    """0, or 400 where a request for fine alignment has no 16 numbers or a limit that isn't above zero."""
+    return F.when(F.coalesce(F.size(matrix), F.lit(0)) != 16, 400).when((distance <= 0) | (rmse_ratio <= 0) | (fitness_ratio <= 0), 400).otherwise(0)
 
 
 def upload_view(uploads: DataFrame, assets: DataFrame) -> DataFrame:

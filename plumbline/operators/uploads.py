@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,15 +35,24 @@ def step(state: Upload, kind: str, at: int | None, n_bytes: int | None, size: in
 
 
 def fold(events: DataFrame, chunk_limit: int = 64 << 20) -> DataFrame:
-    """The last state of every upload; one upload's events are one session's and few."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = Upload()
-        for r in rows.sort_values(["ts", "event_id"]).itertuples():
-            state = step(state, r.kind, None if pd.isna(r.at) else int(r.at), None if pd.isna(r.n_bytes) else int(r.n_bytes), None if pd.isna(r.size) else int(r.size), chunk_limit)
-        return pd.DataFrame([[key[0], *state]], columns=["upload_id", *Upload._fields])
-
-    return events.groupBy("upload_id").applyInPandas(run, STATE)
+    """The last state of every upload: its events, one session's and few, as a sorted array that an expression folds."""
+    fields = ("kind", "at", "n_bytes", "size")
+    ordered = events.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", *fields))).alias("events"))
+    nothing = F.struct(F.lit("none").alias("status"), *[F.lit(0).cast("bigint").alias(n) for n in Upload._fields[1:]])
+
+    def after(s: Column, e: Column) -> Column:
+        n, size = F.coalesce(e["n_bytes"], F.lit(0)), F.coalesce(e["size"], F.lit(0))
+        sending = s["status"] == "uploading"
+        begins, stops = (e["kind"] == "create") & (s["status"] == "none"), (e["kind"] == "terminate") & sending
+        fits = (e["kind"] == "chunk") & sending & F.coalesce(e["at"] == s["offset"], F.lit(False)) & n.between(F.lit(0), F.least(F.lit(chunk_limit), s["size"] - s["offset"]))
+        offset = s["offset"] + F.when(fits, n).otherwise(0)
+        status = F.when(begins, F.when(size != 0, "uploading").otherwise("queued")).when(stops, "terminated").when(fits & (offset == s["size"]), "queued").otherwise(s["status"])
+        return F.struct(
+            status.alias("status"), offset.alias("offset"), F.when(begins, size).otherwise(s["size"]).cast("bigint").alias("size"),
+            (s["accepted"] + F.when(fits, 1).otherwise(0)).alias("accepted"), (s["refused"] + F.when(begins | stops | fits, 0).otherwise(1)).alias("refused"),
+        )
+
+    return ordered.select("upload_id", F.aggregate("events", nothing, after).alias("s")).select("upload_id", "s.*")
 
 
 def running_offsets(chunks: DataFrame) -> DataFrame:

@@ -34,16 +34,20 @@ def asset_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.filtered(C.owned(X.assets(spark, sf_dir), 3), type="bim", status="").agg(F.count("*").alias("total"))
 
 
-@query(with_views("select id, type, source_name, status, created_at, owner_id from v_assets where owner_id=(select owner_id from v_assets where id=4) and id=4"))
+@query(with_views("select id, type, source_name, status, created_at, owner_id from v_assets where owner_id=3 and id=(select min(id) from v_assets where owner_id=3)"))
 def asset_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.assets(spark, sf_dir)
-    owner = rows.filter("id = 4").select(F.col("owner_id").alias("o"))
-    return rows.filter("id = 4").join(F.broadcast(owner), F.col("owner_id") == F.col("o")).drop("o")
+    return C.by_id(rows, 3, rows.filter("owner_id = 3").agg(F.min("id")).first()[0])
 
 
-@query(with_views("""select cast(id as varchar) as "assetId", lower(trim(type)) as type, source_name as name, status, created_at as "createdAt" from v_assets"""))
+_STATE = "case when coalesce(remesh_status,'')='' then (case when has_file then 'succeeded' else 'idle' end) when remesh_status='succeeded' and not has_file then 'failed' else remesh_status end"
+
+
+@query(with_views(f"""select id, type, source_name as "sourceName", source_size as "sourceSize", status, error_message as "errorMessage", created_at as "createdAt", type='bim' as supported, case when type='bim' then s end as remesh, case when type='bim' then s in ('failed','idle') end as retry, case when type='bim' and s='succeeded' then id end as result, case when type='bim' and s='succeeded' and face_after>0 then face_after end as faces, case when type='pointcloud' then lower(trim(pointcloud_color)) end as color from (select *, {_STATE} as s from v_full_assets)"""))
 def asset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.summary(X.assets(spark, sf_dir))
+    rows = C.summary(X.full_assets(spark, sf_dir))
+    m = "meshRemesh"
+    return rows.select("id", "type", "sourceName", "sourceSize", "status", "errorMessage", "createdAt", f"{m}.supported", F.col(f"{m}.status").alias("remesh"), F.col(f"{m}.canRetry").alias("retry"), F.col(f"{m}.resultId").alias("result"), F.col(f"{m}.stats.face_after").alias("faces"), F.col("pointcloudColor").alias("color"))
 
 
 @query(with_views("select id, type, status, case when status='ready' and type='bim' then '/assets/'||id||'/model.glb' end as model_url, case when status='ready' and type='bim' then '/assets/'||id||'/metadata.json' end as metadata_url, case when status='ready' and type='pointcloud' then '/assets/'||id||'/tiles/tileset.json' end as tiles_url from v_assets"))
@@ -68,9 +72,15 @@ def alignment_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_model_name(X.alignments(spark, sf_dir), X.assets(spark, sf_dir)).select("id", "bim_id", "bim_name")
 
 
-@query(with_views("select concat(l.scan_id, ':', l.bim_id) as key, l.scan_id, l.bim_id, l.owner_id, s.source_name as scan_name, b.source_name as bim_name, s.created_at as scan_created from v_alignments l join v_assets s on l.scan_id=s.id and l.owner_id=s.owner_id join v_assets b on l.bim_id=b.id and l.owner_id=b.owner_id where s.status='ready' and s.type='pointcloud' and b.status='ready' and b.type='bim'"))
+_PAIRS = "select l.scan_id, l.owner_id, s.source_name as scan_name, s.created_at as scan_created, b.id as bim_id, b.source_name as bim_name, row_number() over (partition by l.scan_id, l.owner_id order by case when l.bim_id=f.first_bim then 0 else 1 end, b.created_at desc, b.id) as k from l join f on l.scan_id=f.scan_id and l.owner_id=f.owner_id join v_assets s on l.scan_id=s.id and l.owner_id=s.owner_id and s.status='ready' and s.type='pointcloud' join v_assets b on l.bim_id=b.id and l.owner_id=b.owner_id and b.status='ready' and b.type='bim'"
+_MORE = "select * from v_alignments union all select id+1, scan_id, scan_id+7, owner_id, rmse from v_alignments union all select id+2, scan_id, scan_id+15, owner_id, rmse from v_alignments"
+
+
+@query(with_views("select concat(scan_id, ':', bim_id) as key, scan_id, bim_id, owner_id, scan_name, bim_name, scan_created from p where k=1", l=_MORE, f="select scan_id, owner_id, min_by(bim_id, id) as first_bim from l group by 1, 2", p=_PAIRS))
 def calibrated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.calibrated_pairs(X.assets(spark, sf_dir), X.alignments(spark, sf_dir))
+    rows = X.alignments(spark, sf_dir)
+    more = [rows.withColumns({"id": F.col("id") + i, "bim_id": F.col("scan_id") + step}) for i, step in ((1, 7), (2, 15))]
+    return C.calibrated_pairs(X.assets(spark, sf_dir), rows.unionByName(more[0]).unionByName(more[1]))
 
 
 _UPLOADS = "select o_orderkey as id, case when o_orderkey%5=0 then null else o_orderkey+o_custkey%2*10000000 end as asset_id, case when o_orderkey%3=0 then 'uploading' else 'ready' end as status, o_orderdate as created_at from orders"
@@ -184,18 +194,25 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return create.unionByName(chunk).unionByName(wrong.withColumn("event_id", F.col("event_id") * 2 + 1000000))
 
 
-@query()
+_O = "select upload_id, event_id, ts, n_bytes, cast(sum(n_bytes) over w - n_bytes as bigint) as pos, cast(sum(n_bytes) over w as bigint) as after from v_chunks window w as (partition by upload_id order by ts, event_id rows unbounded preceding)"
+_E = "select upload_id, -1 as event_id, min(ts) as ts, 'create' as kind, null as pos, null as n_bytes, max(after) as size from o group by 1 union all select upload_id, event_id, ts, 'chunk', pos, n_bytes, null from o union all select upload_id, event_id*2+1000000, ts, 'chunk', pos+1, n_bytes, null from o where event_id%5=0"
+_N = "select *, row_number() over (partition by upload_id order by ts, event_id) as k from e"
+_F = """select upload_id, k, case when coalesce(size,0)>0 then 'uploading' else 'queued' end as status, cast(0 as bigint) as off, cast(coalesce(size,0) as bigint) as size, cast(0 as bigint) as accepted, cast(0 as bigint) as refused from n where k=1
+union all select f.upload_id, n.k, case when ok and f.off+n.n_bytes=f.size then 'queued' else f.status end, case when ok then f.off+n.n_bytes else f.off end, f.size, f.accepted+case when ok then 1 else 0 end, f.refused+case when ok then 0 else 1 end from (select f.*, n.k as nk, n.n_bytes as nb, (f.status='uploading' and n.pos=f.off and n.n_bytes between 0 and least(67108864, f.size-f.off)) as ok from f join n on n.upload_id=f.upload_id and n.k=f.k+1) f join n on n.upload_id=f.upload_id and n.k=f.nk"""
+
+
+@query(with_views('select upload_id, status, off as "offset", size, accepted, refused from (select *, row_number() over (partition by upload_id order by k desc) as last from f) where last=1', o=_O, e=_E, n=_N, f=_F))
 def upload_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.fold(_events(spark, sf_dir))
 
 
-@query(with_views("select id, lower(regexp_extract(source_name, '(\\.[^./]*)$', 1)) as ext, (type='bim' and lower(source_name) like '%.ifc') or (type='pointcloud' and lower(source_name) like '%.las') as valid, concat(type, ':', source_name, ':', cast(id as varchar)) as fingerprint, cast(ceil(id/cast(5242880 as double)) as bigint) as done, greatest(1, cast(ceil(id*1000/cast(5242880 as double)) as bigint)) as chunks, case status when 'ready' then 'Ready' when 'processing' then 'Processing' else 'Failed' end as label, strftime(to_timestamp(id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as created from v_assets"))
+@query(with_views("select id, lower(regexp_extract(source_name, '(\\.[^./]*)$', 1)) as ext, (type='bim' and lower(source_name) like '%.ifc') or (type='pointcloud' and lower(source_name) like '%.las') as valid, concat(type, ':', source_name, ':', cast(id as varchar)) as fingerprint, cast(ceil(id/cast(5242880 as double)) as bigint) as done, greatest(1, cast(ceil(id*1000/cast(5242880 as double)) as bigint)) as chunks, case status when 'ready' then '已解析' when 'processing' then '解析中' else '处理失败，请重新上传' end as label, case status when 'ready' then 'success' when 'processing' then 'warning' else 'danger' end as tag, strftime(to_timestamp(id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as created from v_assets"))
 def asset_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done, chunks = T.chunk_counts(F.col("id"), F.col("id") * 1000)
-    return X.assets(spark, sf_dir).select("id", T.extension(F.col("source_name")).alias("ext"), T.valid_extension(F.col("type"), F.col("source_name")).alias("valid"), T.fingerprint(F.col("type"), F.col("source_name"), F.col("id")).alias("fingerprint"), done.alias("done"), chunks.alias("chunks"), T.status_text(F.col("status"))[0].alias("label"), T.rfc3339(F.col("id")).alias("created"))
+    return X.assets(spark, sf_dir).select("id", T.extension(F.col("source_name")).alias("ext"), T.valid_extension(F.col("type"), F.col("source_name")).alias("valid"), T.fingerprint(F.col("type"), F.col("source_name"), F.col("id")).alias("fingerprint"), done.alias("done"), chunks.alias("chunks"), T.status_text(F.col("status"))[0].alias("label"), T.status_text(F.col("status"))[1].alias("tag"), T.rfc3339(F.col("id")).alias("created"))
 
 
-@query(with_views("select event_id, trim(coalesce(nullif(trim(json_extract_string(props, '$.msg')), ''), nullif(trim(json_extract_string(props, '$.message')), ''), props)) as message, left(trim(regexp_replace(props, '\\s+', ' ', 'g')), 300) as log, regexp_matches(event_type, '^#[0-9a-fA-F]{6}$') as is_color, nullif(event_type, '') as kind, format('{:.3f}', value) as shown from events"))
+@query(with_views("select event_id, left(trim(regexp_replace(coalesce(nullif(trim(json_extract_string(props, '$.msg')), ''), nullif(trim(json_extract_string(props, '$.message')), ''), props), '\\s+', ' ', 'g')), 300) as message, left(trim(regexp_replace(props, '\\s+', ' ', 'g')), 300) as log, regexp_matches(event_type, '^#[0-9a-fA-F]{6}$') as is_color, nullif(event_type, '') as kind, format('{:.3f}', value) as shown from events"))
 def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.read(spark, sf_dir, "events").select("event_id", T.error_message(F.col("props"), "msg", "message").alias("message"), T.bounded_log(F.col("props")).alias("log"), F.col("event_type").rlike(T.COLOR).alias("is_color"), T.empty_to_null(F.col("event_type")).alias("kind"), T.three_decimals(F.col("value")).alias("shown"))
 

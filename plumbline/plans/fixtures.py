@@ -63,6 +63,14 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """assets with all columns of the catalogue."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 6 == 0, None).when(k % 6 == 2, "").otherwise(F.element_at(F.array(*map(F.lit, ("queued", "processing", "succeeded", "failed"))), (k % 4 + 1).cast("int")))
+    more = read(spark, sf_dir, "orders").select(k.alias("id"), (F.col("o_custkey") * 1000).alias("source_size"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("").alias("error_message"), F.concat(F.lit(" #AB"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" ")).alias("pointcloud_color"), status.alias("remesh_status"), (k % 7 < 3).alias("has_file"), *[F.lit(0).alias(c) for c in ("vertex_before", "face_before", "vertex_after")], (k % 3).alias("face_after"), F.concat(F.lit("/data/"), k.cast("string")).alias("dir"))
+    return assets(spark, sf_dir).join(more, "id")
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 1 and o_orderkey % 3 <> 0")
     return rows.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("scan_id"), (F.col("o_orderkey") + 1 + 2 * (F.col("o_custkey") % 3)).alias("bim_id"), (F.col("o_custkey") % 7).alias("owner_id"), (F.col("o_totalprice") / 1000000.0).alias("rmse"))
@@ -87,11 +95,12 @@ VIEWS = {
     "v_pairs": f'select label as fit_id, vec_id as pair_id, {_E(1)} as sx, {_E(2)} as sy, {_E(3)} as sz, 10-{_E(2)}+cast(0.01 as double)*{_E(4)} as bx, {_E(1)}-2+cast(0.01 as double)*{_E(5)} as "by", {_E(3)}+3+cast(0.01 as double)*{_E(6)} as bz from embeddings',
     "v_cloud": "select o_orderkey as point_id, o_totalprice/1000 as x, cast(o_custkey%1000 as double)/10 as y, cast(o_orderkey%97 as double)/10 as z from orders",
     "v_assets": "select o_orderkey as id, case when o_orderkey%2=0 then 'bim' else 'pointcloud' end as type, concat(o_orderpriority, case when o_orderkey%2=0 then '.ifc' else '.las' end) as source_name, case o_orderstatus when 'O' then 'ready' when 'P' then 'processing' else 'failed' end as status, o_orderdate as created_at, o_custkey%7 as owner_id from orders",
+    "v_full_assets": "select a.*, o_custkey*1000 as source_size, case when o_orderstatus='F' then o_orderpriority else '' end as error_message, ' #AB'||lpad(cast(id%10000 as varchar), 4, '0')||' ' as pointcloud_color, case when id%6=0 then null when id%6=2 then '' else (['queued','processing','succeeded','failed'])[id%4+1] end as remesh_status, id%7<3 as has_file, id%3 as face_after, '/data/'||id as dir from v_assets a join orders on a.id=o_orderkey",
     "v_alignments": "select o_orderkey as id, o_orderkey as scan_id, o_orderkey+1+2*(o_custkey%3) as bim_id, o_custkey%7 as owner_id, o_totalprice/cast(1000000 as double) as rmse from orders where o_orderkey%2=1 and o_orderkey%3<>0",
     "v_chunks": "select user_id as upload_id, event_id, ts, cast(floor(value*1000) as bigint) as n_bytes, event_type from events",
     "v_elements": "select cast(p_partkey as varchar) as element_id, p_size as step_id, p_name as name, p_type as type from part",
 }
-_NEEDS = {"v_triangles": ("v_vertices",)}
+_NEEDS = {"v_triangles": ("v_vertices",), "v_full_assets": ("v_assets",)}
 
 
 def with_views(body: str, **more: str) -> str:

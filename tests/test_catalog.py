@@ -36,14 +36,14 @@ def test_texts(spark):
     meta = "name " + base64.b64encode("wänd.ifc".encode()).decode() + ",bad !!,lone"
     r = one(
         spark, m=T.upload_metadata(F.lit(meta)), e=T.encoded_metadata(F.create_map(F.lit("k"), F.lit("v"))), path=T.rebase(F.lit("/app/data/x/y"), "/app/data", "/mnt/b"), other=T.rebase(F.lit("/app/database"), "/app/data", "/mnt/b"),
-        err=T.error_message(F.lit('{"msg":" ","detail":"no"}')), raw=T.error_message(F.lit(" plain ")), size=T.file_size(F.lit(1536)), small=T.file_size(F.lit(0)), dur=T.duration_seconds(F.lit("7d1h30m")), nodur=T.duration_seconds(F.lit("x7d")),
-        i=T.header_int(F.lit("x")), s=T.setting(F.lit("40"), 1, 32, 2), l=T.listed(F.lit(" a,, b ")), when=T.rfc3339(F.lit(0)), id=F.length(T.random_id()), guid=T.element_id(F.lit("0123456789abcdefghij_$"), F.lit("m"), F.lit("p")), pre=T.element_id(F.lit("w1_x"), F.lit("m"), F.lit("p")), up=T.element_id(F.lit("none"), F.lit(None), F.lit("p")),
+        err=T.error_message(F.lit('{"msg":" ","detail":"no"}')), raw=T.error_message(F.lit(" plain ")), size=T.file_size(F.lit(1536)), small=T.file_size(F.lit(0)), dur=T.duration_seconds(F.lit("1h30m500ms")), nodur=T.duration_seconds(F.lit("x7d")),
+        i=T.header_int(F.lit("x")), s=T.setting(F.lit("40"), 1, 32, 2), l=T.listed(F.lit(" a,, b ")), when=T.rfc3339(F.lit(0)), id=F.length(T.random_id()), guid=T.element_id(F.lit("0123456789abcdefghij_$"), F.lit("m"), F.lit("p")), pre=T.element_id(F.lit("w1_x"), F.lit("m"), F.lit("p")), up=T.element_id(F.lit(" "), F.lit(None), F.lit("p")),
         refused=T.upload_refusal(F.lit("uploading"), F.lit(5), F.lit(10), F.lit(4), F.lit(1), 100), env=T.envelope(F.lit(0), F.lit("ok"), F.struct(F.lit(1).alias("a"))), cell=T.matrix_cell(F.lit(1e-7)), bad=T.parameters(F.lit("null"))[1], text=T.upload_error(F.lit(413), F.lit("")),
     )
     assert r["m"] == {"name": "wänd.ifc"} and r["e"] == "k dg==" and r["path"] == "/mnt/b/x/y" and r["other"] == "/app/database"
-    assert r["err"] == "no" and r["raw"] == "plain" and r["size"] == "1.5 KB" and r["small"] == "0 B" and r["dur"] == 608400 + 1800 and r["nodur"] is None
-    assert r["i"] == 0 and r["s"] == 2 and r["l"] == ["a", "b"] and r["when"] == "1970-01-01T00:00:00Z" and r["id"] == 32
-    assert r["guid"] == "0123456789abcdefghij_$" and r["pre"] == "w1" and r["up"] == "p" and r["refused"] == 409 and r["env"] == '{"code":0,"msg":"ok","data":{"a":1}}' and r["cell"] == "1.000e-07" and r["bad"] is True and r["text"] == "too large"
+    assert r["err"] == "no" and r["raw"] == "plain" and r["size"] == "1.5 KB" and r["small"] == "0 B" and r["dur"] == 5400.5 and r["nodur"] is None
+    assert r["i"] == 0 and r["s"] == 2 and r["l"] == ["a", "b"] and r["when"] == "1970-01-01T00:00:00Z" and r["id"] == 24
+    assert r["guid"] == "0123456789abcdefghij_$" and r["pre"] == "w1" and r["up"] == "p" and r["refused"] == 409 and r["env"] == '{"code":0,"msg":"ok","data":{"a":1}}' and r["cell"] == "1.000000e-7" and r["bad"] is True and r["text"] == T.UPLOAD_ERRORS[413]
 
 
 def test_pages_are_bounded(spark):
@@ -110,3 +110,29 @@ def test_comparison_pipeline(spark):
     got = c2m.compute(M.points_in_box(spark, (5, 0, 0), (0.5, 0.5, 0.5), 2000), mesh, faces, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, -5, 0, 0, 1.0])
     assert got.statistics.first()["n"] == 8 and abs(got.statistics.first()["mean"]) < 0.2 and got.overlap.first()["iou"] > 0.8
     assert got.histogram.count() == 50 and {"r", "g", "b"} <= set(got.colors.columns) and got.colors.count() == 8
+
+
+def test_fixed_texts(spark):
+    """Values read by hand."""
+    labels = {s: tuple(one(spark, a=T.status_text(F.lit(s))[0], b=T.status_text(F.lit(s))[1])) for s in ("uploading", "terminated", "odd")}
+    assert labels == {"uploading": ("文件上传中", "warning"), "terminated": ("上传已终止", "danger"), "odd": ("状态待更新", "info")}
+    sizes = {n: one(spark, v=T.file_size(F.lit(n)))["v"] for n in (0, 1023, 1024, 1536, 102400, 153600, 5 << 30, 3 << 50)}
+    assert sizes == {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1536: "1.5 KB", 102400: "100 KB", 153600: "150 KB", 5 << 30: "5.0 GB", 3 << 50: "3072 TB"}
+    errors = [one(spark, v=T.upload_error(F.lit(c), F.lit("server says")))["v"] for c in (400, 401, 404, 409, 413, 415, 502, 418)]
+    assert errors == ["server says", "登录状态已失效，请重新登录", "上传会话不存在，请重新上传", "server says", "文件过大，超出服务端限制", "server says", "服务器暂时不可用，请稍后重试", "上传失败，请稍后重试"]
+    spent = [one(spark, v=T.duration_seconds(F.lit(d)))["v"] for d in ("7d", "7D", "168h", "1.5h", "-2m", "100", "1d2h", "d")]
+    assert spent == [604800.0, 604800.0, 604800.0, 5400.0, -120.0, None, None, None]
+    assert len(one(spark, v=T.error_message(F.lit('{"msg": "' + "ä" * 400 + '"}')))["v"].encode()) == 300
+    assert one(spark, v=T.client_error(F.lit('{"msg":" ","message":" m "}')))["v"] == " m "
+    keys = F.create_map(F.lit("guid"), F.lit("g"), F.lit("expressId"), F.lit(" 7 "), F.lit("id"), F.lit("9"))
+    assert one(spark, v=T.ifc_id(keys))["v"] == "7"
+
+
+def test_utc_whatever_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        got = one(spark, utc=T.rfc3339(F.lit(1700000000)), local=T.minute_text(F.lit(1700000000)), none=T.minute_text(F.lit(0)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert tuple(got) == ("2023-11-14T22:13:20Z", "2023-11-15 06:13", "时间未记录")
