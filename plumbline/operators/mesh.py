@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as G
+from plumbline.operators.pyramid import Pyramid
 from plumbline.store import stored
 
 CORNERS = ("v0", "v1", "v2")
@@ -103,36 +104,23 @@ def centroids(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return t.select("face_id", *[m.alias(c) for m, c in zip(mid, "xyz", strict=True)], *[(v / size).alias(f"n{c}") for v, c in zip(n, "xyz", strict=True)])
 
 
-def closest_faces(queries: DataFrame, triangles: DataFrame, vertices: DataFrame, side: float) -> DataFrame:
-    """face_id of each query (face_id, x, y, z, nx, ny, nz), hit, and the nearest surface point hx, hy, hz, by cells.
+def closest_faces(queries: DataFrame, triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """face_id of each query (face_id, x, y, z, nx, ny, nz), hit, and the nearest surface point hx, hy, hz.
 
-    A triangle lies in every cell its box covers; a query whose nearest candidate is within the side is settled, the rest
-    go on with cells of four times the side.
+    Triangles are items of a pyramid, each with its box in the one cell its middle lies in, so a large triangle is one row.
     """
     t = corners(triangles.withColumnRenamed("face_id", "hit"), vertices, ("x", "y", "z", "nx", "ny", "nz"))
-    left, out = queries, None
-    span = vertices.select("x", "y", "z").unionAll(queries.select("x", "y", "z")).agg(*[(F.max(c) - F.min(c)) for c in "xyz"]).first()
-    whole = max((s or 0.0) for s in span)
-    while True:
-        last, placed, asked = side > whole, t, left
-        for c in "xyz":
-            low, high = F.least(*[F.col(f"{n}_{c}") for n in "abc"]), F.greatest(*[F.col(f"{n}_{c}") for n in "abc"])
-            placed = placed.withColumn(f"c{c}", F.explode(F.sequence(F.floor(low / side), F.floor(high / side))))
-            asked = asked.withColumn(f"c{c}", F.explode(F.array(*[F.floor(F.col(c) / side) + s for s in (-1, 0, 1)])))
-        pairs = asked.join(placed.select("hit", "cx", "cy", "cz", *[f"{n}_{p}" for n in "abc" for p in ("x", "y", "z", "nx", "ny", "nz")]), ["cx", "cy", "cz"])
-        p = tuple(F.col(c) for c in "xyz")
-        h = G.closest_on_triangle(p, corner("a"), corner("b"), corner("c"))
-        pairs = pairs.select("*", *[v.alias(f"h{c}") for v, c in zip(h, "xyz", strict=True)])
-        d2 = sum(((F.col(f"h{c}") - F.col(c)) * (F.col(f"h{c}") - F.col(c)) for c in "yz"), (F.col("hx") - F.col("x")) * (F.col("hx") - F.col("x")))
-        u = G.barycentric(tuple(F.col(f"h{c}") for c in "xyz"), corner("a"), corner("b"), corner("c"))
-        n = [sum((w * F.col(f"{k}_n{c}") for w, k in zip(u[1:], "bc", strict=True)), u[0] * F.col(f"a_n{c}")) for c in "xyz"]
-        best = pairs.select(*queries.columns, F.struct(d2.alias("d2"), "hit", "hx", "hy", "hz", *[v.alias(f"m{c}") for v, c in zip(n, "xyz", strict=True)]).alias("b")).groupBy(*queries.columns).agg(F.min("b").alias("b"))
-        done = stored(best.filter(F.lit(last) | (F.sqrt("b.d2") <= side * (1 - 1e-9))).select(*queries.columns, "b.*"), "closest")
-        out = done if out is None else out.unionAll(done)
-        left = left.join(done.select("face_id"), "face_id", "left_anti")
-        if last or left.isEmpty():
-            return out
-        side *= 4
+    edge = lambda f, c: f(*[F.col(f"{n}_{c}") for n in "abc"])
+    placed = t.select("hit", *[f"{n}_{p}" for n in "abc" for p in ("x", "y", "z", "nx", "ny", "nz")], *[edge(f, c).alias(f"{e}{c}") for e, f in (("lo_", F.least), ("hi_", F.greatest)) for c in "xyz"])
+    pairs = Pyramid(stored(placed, "boxed-faces")).pairs(queries, "face_id")
+    p = tuple(F.col(c) for c in "xyz")
+    h = G.closest_on_triangle(p, corner("a"), corner("b"), corner("c"))
+    pairs = pairs.select("*", *[v.alias(f"h{c}") for v, c in zip(h, "xyz", strict=True)])
+    d2 = sum(((F.col(f"h{c}") - F.col(c)) * (F.col(f"h{c}") - F.col(c)) for c in "yz"), (F.col("hx") - F.col("x")) * (F.col("hx") - F.col("x")))
+    u = G.barycentric(tuple(F.col(f"h{c}") for c in "xyz"), corner("a"), corner("b"), corner("c"))
+    n = [sum((w * F.col(f"{k}_n{c}") for w, k in zip(u[1:], "bc", strict=True)), u[0] * F.col(f"a_n{c}")) for c in "xyz"]
+    best = pairs.select(*queries.columns, F.struct(d2.alias("d2"), "hit", "hx", "hy", "hz", *[v.alias(f"m{c}") for v, c in zip(n, "xyz", strict=True)]).alias("b")).groupBy(*queries.columns).agg(F.min("b").alias("b"))
+    return best.select(*queries.columns, "b.*")
 
 
 def normal_deviation(hits: DataFrame) -> DataFrame:

@@ -1,118 +1,69 @@
-"""Exact nearest-neighbour joins by cells.
-
-A distance predicate alone would make a nested-loop join. Points get the integer cell they lie in and vertices look into
-27 cells, so the join is on equal keys. A point outside these cells is farther than the cell's side, hence a vertex whose
-nearest candidate is within the side is settled, ties included; the others go on with cells of four times the side. What is
-left after ROUNDS rounds, or when a cell is as large as all points together, has no other points to find.
-"""
+"""Exact nearest-neighbour joins, by a pyramid of cells: no nested loop, however far the points are."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as G
-from plumbline.store import stored
-
-SAFE = 1 - 1e-9
-ROUNDS = 24
+from plumbline.operators.pyramid import Pyramid, boxed
 
 
-def _cells(x, y, z, h: float) -> list:
-    return [F.floor(c / h).cast("bigint") for c in (x, y, z)]
+def index(points: DataFrame, *more: str) -> Pyramid:
+    """Points (point_id, x, y, z, more) as a pyramid, for several searches."""
+    return Pyramid(boxed(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), *more), "px", "py", "pz"))
 
 
-def candidate_pairs(vertices: DataFrame, points: DataFrame, h: float) -> DataFrame:
-    """vertices' columns, point_id, d2 and dx, dy, dz of every point in the 27 cells around each vertex."""
-    v = vertices
-    for axis, cell in zip("xyz", _cells(F.col("x"), F.col("y"), F.col("z"), h), strict=True):
-        v = v.withColumn(f"c{axis}", F.explode(F.array(cell - 1, cell, cell + 1)))
-    p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    p = p.select("*", *[c.alias(f"c{a}") for a, c in zip("xyz", _cells(F.col("px"), F.col("py"), F.col("pz"), h), strict=True)])
-    joined = v.join(p, ["cx", "cy", "cz"])
+def candidate_pairs(vertices: DataFrame, points: DataFrame | Pyramid, k: int = 1, reach: float | None = None) -> DataFrame:
+    """vertices' columns, point_id (and the index's further columns), d2 and dx, dy, dz of every point that may be among a vertex's k nearest."""
+    found = points if isinstance(points, Pyramid) else index(points)
+    joined = found.pairs(vertices, "vertex_id", k, reach)
     dx, dy, dz = F.col("px") - F.col("x"), F.col("py") - F.col("y"), F.col("pz") - F.col("z")
-    return joined.select(*vertices.columns, "point_id", dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), (dx * dx + dy * dy + dz * dz).alias("d2"))
-
-
-def first_side(points: DataFrame) -> tuple[float, float]:
-    """(side for about one point a cell, extent) from one pass of sums."""
-    box = points.agg(F.count("*"), *[f(c) for c in ("x", "y", "z") for f in (F.min, F.max)]).first()
-    if not box[0]:
-        return 1.0, 0.0
-    sides = [box[2 + 2 * i] - box[1 + 2 * i] for i in range(3)]
-    extent = max(*sides, 1e-9)
-    return max(extent / max(1.0, box[0] ** (1 / 3)), extent * 1e-6), extent
-
-
-def _grown(vertices: DataFrame, points: DataFrame, settle: Callable[[DataFrame, float], DataFrame], h: float | None) -> DataFrame:
-    """Rounds of cells: settle(candidates, side) gives the results that are settled."""
-    side, _ = first_side(points)
-    side = h or side
-    spread = points.select("x", "y", "z").unionAll(vertices.select("x", "y", "z"))
-    _, whole = first_side(spread)
-    left, out = vertices, None
-    for _ in range(ROUNDS):
-        last = side > whole
-        done = settle(candidate_pairs(left, points, side), math.inf if last else side * SAFE)
-        done = stored(done, "nearest")
-        out = done if out is None else out.unionAll(done)
-        if last:
-            break
-        left = left.join(done.select("vertex_id"), "vertex_id", "left_anti")
-        if left.isEmpty():
-            break
-        side *= 4
-    return out
-
-
-def nearest(vertices: DataFrame, points: DataFrame, h: float | None = None) -> DataFrame:
+    return joined.select(*[c for c in joined.columns if c not in ("px", "py", "pz")], dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), (dx * dx + dy * dy + dz * dz).alias("d2"))
+
+
+def _side():
+    return G.dot((F.col("nx"), F.col("ny"), F.col("nz")), (F.col("dx"), F.col("dy"), F.col("dz")))
+
+
+def _signed(best: str):
+    return F.when(F.col(f"{best}.side") >= 0, 1.0).otherwise(-1.0) * F.sqrt(f"{best}.d2")
+
+
+def nearest(vertices: DataFrame, points: DataFrame | Pyramid) -> DataFrame:
     """vertex_id, point_id, d: the nearest point, signed by the side of the normal it lies on (zero counts as outside).
 
     Ties go to the least point_id. Without points every vertex has null.
     """
-
-    def settle(pairs: DataFrame, reach: float) -> DataFrame:
-        side = G.dot((F.col("nx"), F.col("ny"), F.col("nz")), (F.col("dx"), F.col("dy"), F.col("dz")))
-        best = pairs.groupBy("vertex_id").agg(F.min(F.struct("d2", "point_id", side.alias("side"))).alias("b"))
-        return best.filter(F.col("b.d2") <= reach * reach).select("vertex_id", "b.point_id", (F.when(F.col("b.side") >= 0, 1.0).otherwise(-1.0) * F.sqrt("b.d2")).alias("d"))
-
-    found = _grown(vertices, points, settle, h)
-    return vertices.select("vertex_id").join(found, "vertex_id", "left")
+    best = candidate_pairs(vertices, points).groupBy("vertex_id").agg(F.min(F.struct("d2", "point_id", _side().alias("side"))).alias("b"))
+    return vertices.select("vertex_id").join(best.select("vertex_id", "b.point_id", _signed("b").alias("d")), "vertex_id", "left")
 
 
-def nearest_constrained(vertices: DataFrame, points: DataFrame, k: int = 8, max_angle: float = 75.0, half_space: bool = True, enabled: bool = True, h: float | None = None) -> DataFrame:
+def nearest_constrained(vertices: DataFrame, points: DataFrame | Pyramid, k: int = 8, max_angle: float = 75.0, half_space: bool = True, enabled: bool = True) -> DataFrame:
     """vertex_id, point_id, d, valid: of the k nearest points the nearest that lies along the normal, else the nearest.
 
     With k <= 1 or the constraint off this is `nearest`, valid being null.
     """
     if k <= 1 or not enabled:
-        return nearest(vertices, points, h).withColumn("valid", F.lit(None).cast("boolean"))
-
-    def settle(pairs: DataFrame, reach: float) -> DataFrame:
-        side = G.dot((F.col("nx"), F.col("ny"), F.col("nz")), (F.col("dx"), F.col("dy"), F.col("dz")))
-        fine = side / F.greatest(F.sqrt("d2"), F.lit(1e-12)) >= math.cos(math.radians(max_angle))
-        fine = fine & (side >= 0) if half_space else fine
-        ranked = pairs.select("vertex_id", "d2", "point_id", fine.alias("fine"), F.struct("d2", "point_id", side.alias("side")).alias("c"))
-        rank = F.row_number().over(Window.partitionBy("vertex_id").orderBy("d2", "point_id"))
-        kept = ranked.withColumn("rank", rank).filter(F.col("rank") <= k)
-        best = kept.groupBy("vertex_id").agg(F.min("c").alias("any"), F.min(F.when(F.col("fine"), F.col("c"))).alias("good"), F.max("d2").alias("far"), F.count("*").alias("n"))
-        best = best.withColumn("b", F.coalesce("good", "any"))
-        full = (F.col("n") >= k) & (F.col("far") <= reach * reach)
-        best = best.filter(full | F.lit(math.isinf(reach)))
-        return best.select("vertex_id", "b.point_id", (F.when(F.col("b.side") >= 0, 1.0).otherwise(-1.0) * F.sqrt("b.d2")).alias("d"), F.col("good").isNotNull().alias("valid"))
-
-    found = _grown(vertices, points, settle, h)
-    return vertices.select("vertex_id").join(found, "vertex_id", "left")
-
-
-def within_radius(sources: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """vertex_id, point_id, d2 of the nearest target within radius of each source; one round, cells as large as the radius."""
-    pairs = candidate_pairs(sources, targets, radius * (1 + 1e-9)).filter(F.col("d2") <= radius * radius)
-    return pairs.groupBy("vertex_id").agg(F.min(F.struct("d2", "point_id")).alias("b")).select("vertex_id", "b.point_id", "b.d2")
+        return nearest(vertices, points).withColumn("valid", F.lit(None).cast("boolean"))
+    fine = _side() / F.greatest(F.sqrt("d2"), F.lit(1e-12)) >= math.cos(math.radians(max_angle))
+    fine = fine & (_side() >= 0) if half_space else fine
+    ranked = candidate_pairs(vertices, points, k).select("vertex_id", "d2", "point_id", fine.alias("fine"), F.struct("d2", "point_id", _side().alias("side")).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("vertex_id").orderBy("d2", "point_id"))
+    kept = ranked.withColumn("rank", rank).filter(F.col("rank") <= k)
+    best = kept.groupBy("vertex_id").agg(F.min("c").alias("any"), F.min(F.when(F.col("fine"), F.col("c"))).alias("good"))
+    best = best.withColumn("b", F.coalesce("good", "any"))
+    return vertices.select("vertex_id").join(best.select("vertex_id", "b.point_id", _signed("b").alias("d"), F.col("good").isNotNull().alias("valid")), "vertex_id", "left")
+
+
+def within_radius(sources: DataFrame, targets: DataFrame | Pyramid, radius: float, *more: str) -> DataFrame:
+    """vertex_id, point_id, d2 (and more of the targets' columns) of the nearest target within radius of each source."""
+    pairs = candidate_pairs(sources.select("vertex_id", "x", "y", "z"), targets, 1, radius).filter(F.col("d2") <= radius * radius)
+    best = pairs.groupBy("vertex_id").agg(F.min(F.struct("d2", "point_id", *more)).alias("b"))
+    return best.select("vertex_id", "b.point_id", "b.d2", *[f"b.{c}" for c in more])
 
 
 def registration_quality(sources: DataFrame, matches: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as G
-from plumbline.operators.neighbours import within_radius
+from plumbline.operators.neighbours import index, within_radius
 
 SIDES = ("sx", "sy", "sz", "bx", "by", "bz")
 
@@ -112,15 +112,19 @@ def rigid_fit(pairs: DataFrame) -> Fit:
     return Fit(column_major(matrix), quaternion_of(matrix), tuple(float(v) for v in matrix[:3, 3]), rmse, most, n, inliers)
 
 
-def _plane_step(matched: DataFrame) -> np.ndarray | None:
-    """The small motion that best brings sources onto their targets' planes, from 27 sums over all matches."""
+def _plane_sums() -> list:
+    """Columns of the 27 sums over all matches from which a step follows."""
     cross = G.cross((F.col("x"), F.col("y"), F.col("z")), (F.col("nx"), F.col("ny"), F.col("nz")))
     row = [*cross, F.col("nx"), F.col("ny"), F.col("nz")]
     gap = (F.col("tx") - F.col("x")) * F.col("nx") + (F.col("ty") - F.col("y")) * F.col("ny") + (F.col("tz") - F.col("z")) * F.col("nz")
-    sums = matched.agg(F.count("*"), *[F.sum(row[i] * row[j]) for i in range(6) for j in range(i, 6)], *[F.sum(row[i] * gap) for i in range(6)]).first()
-    if sums[0] < 6:
+    return [*[F.sum(row[i] * row[j]) for i in range(6) for j in range(i, 6)], *[F.sum(row[i] * gap) for i in range(6)]]
+
+
+def _plane_step(hits: int, sums: list[float]) -> np.ndarray | None:
+    """The small motion that best brings sources onto their targets' planes."""
+    if hits < 6:
         return None
-    a, at = np.zeros((6, 6)), 1
+    a, at = np.zeros((6, 6)), 0
     for i in range(6):
         for j in range(i, 6):
             a[i, j] = a[j, i] = sums[at]
@@ -142,24 +146,21 @@ def _moved(sources: DataFrame, m: np.ndarray) -> DataFrame:
 def refine(sources: DataFrame, targets: DataFrame, matrix: list[float], radius: float = 0.3, rounds: int = 30, tolerance: float = 1e-6, max_rmse_ratio: float = 1.05, min_fitness_ratio: float = 0.95, force: bool = False) -> dict:
     """Point-to-plane refinement of a first matrix, and whether to take it.
 
-    sources: vertex_id, x, y, z; targets: point_id, x, y, z, nx, ny, nz. Only sums reach the driver in each round.
+    sources: vertex_id, x, y, z; targets: point_id, x, y, z, nx, ny, nz. One pyramid of the targets serves all rounds; only sums reach the driver, once a round.
     """
     start = np.array(matrix, dtype=float).reshape(4, 4).T
-    now, first, before = start, None, None
+    now, first, before, n = start, None, None, max(1, sources.count())
+    normals = targets.select("*", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+    found = index(normals, "tx", "ty", "tz", "nx", "ny", "nz")
     for _ in range(rounds + 1):
         placed = _moved(sources, now)
-        matches = within_radius(placed, targets.select("point_id", "x", "y", "z"), radius)
-        t = targets.select("point_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), "nx", "ny", "nz")
-        matched = placed.join(matches, "vertex_id").join(t, "point_id").cache()
-        hits, rmse = matched.agg(F.count("*"), F.sqrt(F.avg("d2"))).first()
-        fitness, rmse = hits / max(1, sources.count()), rmse or 0.0
+        matched = placed.join(within_radius(placed, found, radius, "tx", "ty", "tz", "nx", "ny", "nz"), "vertex_id")
+        hits, rmse, *sums = matched.agg(F.count("*"), F.sqrt(F.avg("d2")), *_plane_sums()).first()
+        fitness, rmse = hits / n, rmse or 0.0
         first = first or (fitness, rmse)
         if before and abs(before[0] - fitness) < tolerance and abs(before[1] - rmse) < tolerance:
-            matched.unpersist()
             break
-        step = _plane_step(matched)
-        matched.unpersist()
-        before = (fitness, rmse)
+        before, step = (fitness, rmse), _plane_step(hits, sums)
         if step is None:
             break
         now = step @ now

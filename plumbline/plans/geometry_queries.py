@@ -51,6 +51,12 @@ def c2m_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.distance_statistics(nearest(spark, sf_dir)))
 
 
+@query(with_views(f"select vertex_id, point_id, {R('d')} as d from n", n=_NEAREST.replace("p.x", "(p.x+19)")))
+def c2m_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan 19 m beside the model, as with a wrong alignment."""
+    return rounded(neighbours.nearest(X.vertices(spark, sf_dir), X.points(spark, sf_dir).withColumn("x", F.col("x") + 19)))
+
+
 _BINS, _REACH = 20, 0.05
 
 
@@ -228,7 +234,7 @@ def remesh_isotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normal_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, t = X.vertices(spark, sf_dir), X.triangles(spark, sf_dir)
     asked = mesh.centroids(t, v).withColumn("x", F.col("x") + 0.001)
-    return rounded(mesh.normal_deviation(mesh.closest_faces(asked, t, v, 0.1)), 4)
+    return rounded(mesh.normal_deviation(mesh.closest_faces(asked, t, v)), 4)
 
 
 _COV = ", ".join(f"{R(f's{a}{b}', 4)} as s{a}{b}" for a in "xyz" for b in "xyz")
@@ -266,7 +272,7 @@ def rigid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def icp_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = X.vertices(spark, sf_dir).withColumnRenamed("vertex_id", "point_id").drop("r")
     moved = target.select(F.col("point_id").alias("vertex_id"), (F.col("x") + 0.01).alias("x"), "y", "z")
-    got = registration.refine(moved, target, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1.0], rounds=8)
+    got = registration.refine(moved, target, [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1.0])
     return rounded(spark.createDataFrame([(got["init_rmse"], got["rmse"], got["fitness"], got["applied"])], "init_rmse double, rmse double, fitness double, applied boolean"), 4)
 
 

@@ -26,10 +26,9 @@ def cloud(spark):
     return xyz, vertices, frame(spark, [(i, *p) for i, p in enumerate(xyz)], "point_id bigint, x double, y double, z double"), frame(spark, [(i, *v) for i, v in enumerate(vertices)], "vertex_id bigint, x double, y double, z double, nx double, ny double, nz double")
 
 
-@pytest.mark.parametrize("side", [None, 5.0])
-def test_nearest_against_brute_force(cloud, side):
+def test_nearest_against_brute_force(cloud):
     xyz, vertices, points, mesh = cloud
-    for r in N.nearest(mesh, points, side).collect():
+    for r in N.nearest(mesh, points).collect():
         v = vertices[r["vertex_id"]]
         d = np.linalg.norm(xyz - v[:3], axis=1)
         best = int(np.argmin(d))
@@ -48,6 +47,24 @@ def test_constrained_against_brute_force(cloud):
         assert r["point_id"] == (good[0] if len(good) else order[0]) and r["valid"] == bool(len(good))
 
 
+def test_far_vertices_meet_few_candidates(spark):
+    """A scan 19 m away, a flat one, and one with a third of its points in one place: exact, and never all with all."""
+    rng = np.random.default_rng(5)
+    vertices = np.column_stack([rng.uniform(0, 1, size=(200, 3)), np.tile([1.0, 0, 0], (200, 1))])
+    mesh = frame(spark, [(i, *v) for i, v in enumerate(vertices)], "vertex_id bigint, x double, y double, z double, nx double, ny double, nz double")
+    box = rng.uniform(0, 1, size=(2000, 3)) + [19, 0, 0]
+    wall = np.column_stack([np.full(2000, 19.0), rng.uniform(-5, 5, size=(2000, 2))])
+    heap = np.vstack([rng.uniform(0, 1, size=(1400, 3)), np.tile([3.0, 3, 3], (600, 1))])
+    for xyz, most in ((box, 50), (wall, 60), (heap, 50)):
+        points = frame(spark, [(i, *p) for i, p in enumerate(xyz)], "point_id bigint, x double, y double, z double")
+        tried = N.candidate_pairs(mesh, points).count()
+        assert tried < most * len(vertices), tried / len(vertices)
+        got = {r["vertex_id"]: r["point_id"] for r in N.nearest(mesh, points).collect()}
+        assert got == {i: int(np.argmin(((xyz - v[:3]) ** 2).sum(axis=1))) for i, v in enumerate(vertices)}
+        near = {r["vertex_id"]: r["point_id"] for r in N.within_radius(mesh, points, 0.2).collect()}
+        assert near == {i: p for i, p in got.items() if np.linalg.norm(xyz[p] - vertices[i, :3]) <= 0.2}
+
+
 def test_no_points_give_nulls(spark, cloud):
     none = spark.createDataFrame([], "point_id bigint, x double, y double, z double")
     assert {r["d"] for r in N.nearest(cloud[3], none).collect()} == {None}
@@ -162,7 +179,7 @@ def test_closest_surface_points(spark):
     vertices, faces = M.unit_box(spark)
     mesh = vertices.join(M.vertex_normals(faces, vertices), "vertex_id")
     asked = [(i, *p, 0.0, 0.0, 1.0) for i, p in enumerate(RNG.normal(size=(12, 3)) * 1.5)]
-    hits = M.closest_faces(frame(spark, asked, "face_id bigint, x double, y double, z double, nx double, ny double, nz double"), faces, mesh, 0.5)
+    hits = M.closest_faces(frame(spark, asked, "face_id bigint, x double, y double, z double, nx double, ny double, nz double"), faces, mesh)
     for r in hits.collect():
         p = np.array([r["x"], r["y"], r["z"]])
         foot = np.clip(p, -0.5, 0.5)
