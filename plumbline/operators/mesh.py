@@ -189,9 +189,7 @@ def decimated_to(vertices: DataFrame, triangles: DataFrame, ratio: float) -> tup
     """Clustered until at most max(1000, ratio of the faces) are left."""
     wanted = max(1000, int(triangles.count() * ratio))
     side = (edge_lengths(triangles, vertices).agg(F.avg("length")).first()[0] or 1.0) / 2
-    for _ in range(12):
-        if triangles.count() <= wanted:
-            break
+    while triangles.count() > wanted:  # cells grow, so there is an end
         vertices, triangles = (stored(x, "decimated") for x in cluster_decimated(vertices, triangles, side))
         side *= 1.3
     return vertices, triangles
@@ -233,10 +231,11 @@ def subdivided(vertices: DataFrame, triangles: DataFrame, longest: float, rounds
     return vertices, triangles
 
 
-def isotropic_step(vertices: DataFrame, triangles: DataFrame, target: float, relax: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """One round towards equal edges: long edges split, short ones clustered, vertices drawn to their neighbours' mean."""
+def isotropic_step(vertices: DataFrame, triangles: DataFrame, target: float, merge: bool = True, relax: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """One round towards equal edges: long edges split, short ones clustered if merge is set, vertices drawn to their neighbours' mean."""
     vertices, triangles = subdivided(vertices, triangles, 4 / 3 * target)
-    vertices, triangles = (stored(x, "collapsed") for x in cluster_decimated(vertices, triangles, 0.6 * target))
+    if merge:
+        vertices, triangles = (stored(x, "collapsed") for x in cluster_decimated(vertices, triangles, 0.6 * target))
     e = edges(triangles).join(vertices.select(F.col("vertex_id").alias("dst"), "x", "y", "z"), "dst").groupBy(F.col("src").alias("vertex_id")).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
     drawn = vertices.join(e, "vertex_id", "left").select("vertex_id", *[((1 - relax) * F.col(c) + relax * F.coalesce(f"m{c}", c)).alias(c) for c in "xyz"])
     return stored(drawn, "relaxed"), triangles

@@ -22,6 +22,41 @@ class Parameter:
     visible_when: str | None = None
 
 
+# Key, label, type, default, least, most and the switch that shows a parameter, as clients send and list them.
+SHARED = """
+target_edge_length | 目标边长 (m) | float | 0.1 | 0.001 | |
+clean_tolerance | 清理容差 (m) | float | 0.005 | 0.0001 | |
+use_decimation | 智能瘦身 | bool | 1 | | |
+decimation_ratio | 瘦身保留比例 | float | 0.5 | 0.05 | 0.95 | use_decimation
+"""
+SUBDIVISION = """
+subdivision_iterations | 细分迭代次数 | int | 2 | 0 | 10 |
+subdivision_threshold_ratio | 细分阈值系数 | float | 2.0 | 1.0 | 4.0 |
+use_isotropic | Isotropic 重网格化 | bool | 1 | | |
+isotropic_collapse | Isotropic 边合并 | bool | 1 | | | use_isotropic
+isotropic_iterations | Isotropic 迭代次数 | int | 5 | 1 | 20 | use_isotropic
+surface_dist_ratio | 表面偏差系数 | float | 0.5 | 0.01 | 2.0 | use_isotropic
+sliver_merge_ratio | 薄片合并系数 | float | 0.03 | 0.0 | 0.1 | use_isotropic
+sliver_relax_checksurfdist | 薄片后处理放宽保形 | bool | 1 | | | use_isotropic
+adaptive | 自适应采样 | bool | 1 | | | use_isotropic
+crease_angle | 折角保护阈值 (°) | float | 60.0 | 0.0 | 90.0 | use_isotropic
+"""
+ISOTROPIC = """
+isotropic_iterations | Isotropic 迭代次数 | int | 15 | 1 | 20 |
+surface_dist_ratio | 表面偏差系数 | float | 0.5 | 0.01 | 2.0 |
+sliver_merge_ratio | 薄片合并系数 | float | 0.03 | 0.0 | 0.1 |
+sliver_relax_checksurfdist | 薄片后处理放宽保形 | bool | 1 | | |
+adaptive | 自适应采样 | bool | 1 | | |
+crease_angle | 折角保护阈值 (°) | float | 60.0 | 0.0 | 90.0 |
+"""
+
+
+def listed(*tables: str) -> list[Parameter]:
+    rows = [[c.strip() for c in line.split("|")] for t in tables for line in t.strip().splitlines()]
+    number = lambda c: float(c) if c else None
+    return [Parameter(key, label, kind, float(default), number(low), number(high), shown or None) for key, label, kind, default, low, high, shown in rows]
+
+
 @dataclass
 class RemeshResult:
     vertices: DataFrame
@@ -54,14 +89,26 @@ def register(cls: type) -> type:
 
 
 def value(params: dict, p: Parameter):
-    """A parameter within its bounds; what is missing or no number is the default."""
+    """A parameter within its bounds; what is missing or no number is the default. Whole numbers are cut, switches are by truth."""
+    given = params.get(p.name, p.default)
+    if p.kind == "bool":
+        return bool(given)
     try:
-        v = float(params.get(p.name, p.default))
+        v = float(given)
     except (TypeError, ValueError):
         v = p.default
+    v = int(v) if p.kind == "int" else v
     return min(max(v, p.low if p.low is not None else v), p.high if p.high is not None else v)
 
 
+def values(params: dict | None, known: list[Parameter]) -> dict:
+    """All parameters' values; names that the algorithm doesn't know are an error rather than silently left out."""
+    odd = set(params or {}) - {p.name for p in known}
+    if odd:
+        raise ValueError(f"unknown parameters: {', '.join(sorted(odd))}")
+    return {p.name: value(params or {}, p) for p in known}
+
+
 def _measured(before: tuple[int, int], vertices: DataFrame, triangles: DataFrame, **extra) -> RemeshResult:
     return RemeshResult(vertices, triangles, *before, vertices.count(), triangles.count(), extra)
 
@@ -74,25 +121,18 @@ class SubdivideThenIsotropic:
     MANY_FACES = 30_000
 
     def parameters(self) -> list[Parameter]:
-        return [
-            Parameter("target_edge_length", "Target edge length", "float", 0.1, 0.001, 10),
-            Parameter("merge_tolerance", "Merge tolerance", "float", 0.005, 0.0001, 0.1),
-            Parameter("decimate_ratio", "Share of faces kept", "float", 0.5, 0.01, 1),
-            Parameter("subdivide_ratio", "Longest edge in targets before splitting", "float", 2.0, 1, 10),
-            Parameter("subdivide_rounds", "Rounds of splitting", "int", 2, 0, 5),
-            Parameter("iterations", "Isotropic rounds", "int", 5, 1, 30),
-            Parameter("sliver_ratio", "Sliver threshold in targets", "float", 0.03, 0.001, 0.5),
-        ]
+        return listed(SHARED, SUBDIVISION)
 
     def run(self, vertices: DataFrame, triangles: DataFrame, params: dict | None) -> RemeshResult:
-        p = {x.name: value(params or {}, x) for x in self.parameters()}
+        p = values(params, self.parameters())
         before, target = (vertices.count(), triangles.count()), p["target_edge_length"]
-        vertices, triangles = M.merged_close(vertices, triangles, p["merge_tolerance"])
-        triangles = M.without_non_manifold(triangles, vertices)
-        if before[1] > self.MANY_FACES:
-            vertices, triangles = M.decimated_to(vertices, triangles, p["decimate_ratio"])
-        vertices, triangles = M.subdivided(vertices, triangles, target * p["subdivide_ratio"], int(p["subdivide_rounds"]))
-        return finished(before, vertices, triangles, target, int(p["iterations"]), min(target * p["sliver_ratio"], p["merge_tolerance"]))
+        vertices, triangles = cleaned(vertices, triangles, p)
+        if p["use_decimation"] and before[1] > self.MANY_FACES:
+            vertices, triangles = M.decimated_to(vertices, triangles, p["decimation_ratio"])
+        vertices, triangles = M.subdivided(vertices, triangles, target * p["subdivision_threshold_ratio"], p["subdivision_iterations"])
+        # Splitting below twice the target and merging would undo each other.
+        merge = p["isotropic_collapse"] and p["subdivision_threshold_ratio"] >= 2
+        return finished(before, vertices, triangles, p, p["isotropic_iterations"] if p["use_isotropic"] else 0, merge)
 
 
 @register
@@ -102,30 +142,32 @@ class IsotropicOnly:
     name, label = "bim_isotropic_only", "Isotropic only"
 
     def parameters(self) -> list[Parameter]:
-        return [
-            Parameter("target_edge_length", "Target edge length", "float", 0.1, 0.001, 10),
-            Parameter("merge_tolerance", "Merge tolerance", "float", 0.005, 0.0001, 0.1),
-            Parameter("decimate_ratio", "Share of faces kept", "float", 1.0, 0.01, 1),
-            Parameter("iterations", "Isotropic rounds", "int", 15, 1, 30),
-            Parameter("sliver_ratio", "Sliver threshold in targets", "float", 0.03, 0.001, 0.5),
-        ]
+        return listed(SHARED, ISOTROPIC)
 
     def run(self, vertices: DataFrame, triangles: DataFrame, params: dict | None) -> RemeshResult:
-        p = {x.name: value(params or {}, x) for x in self.parameters()}
-        before, target = (vertices.count(), triangles.count()), p["target_edge_length"]
-        vertices, triangles = M.merged_close(vertices, triangles, p["merge_tolerance"])
-        triangles = M.without_non_manifold(triangles, vertices)
-        if p["decimate_ratio"] < 1:
-            vertices, triangles = M.decimated_to(vertices, triangles, p["decimate_ratio"])
-        return finished(before, vertices, triangles, target, int(p["iterations"]), min(target * p["sliver_ratio"], p["merge_tolerance"]))
+        p = values(params, self.parameters())
+        before = (vertices.count(), triangles.count())
+        vertices, triangles = cleaned(vertices, triangles, p)
+        if p["use_decimation"]:
+            vertices, triangles = M.decimated_to(vertices, triangles, p["decimation_ratio"])
+        return finished(before, vertices, triangles, p, p["isotropic_iterations"], True)
+
+
+def cleaned(vertices: DataFrame, triangles: DataFrame, p: dict) -> tuple[DataFrame, DataFrame]:
+    vertices, triangles = M.merged_close(vertices, triangles, p["clean_tolerance"])
+    return vertices, M.without_non_manifold(triangles, vertices)
 
 
-def finished(before: tuple[int, int], vertices: DataFrame, triangles: DataFrame, target: float, rounds: int, sliver: float) -> RemeshResult:
+def finished(before: tuple[int, int], vertices: DataFrame, triangles: DataFrame, p: dict, rounds: int, merge: bool) -> RemeshResult:
+    """Isotropic rounds and the sliver pass. surface_dist_ratio, adaptive, crease_angle and sliver_relax_checksurfdist steer kernels that this approximation lacks; they are checked and reported."""
+    target = p["target_edge_length"]
     for _ in range(rounds):
-        vertices, triangles = M.isotropic_step(vertices, triangles, target)
-    vertices, triangles = M.merged_close(vertices, triangles, max(sliver, 1e-9))
+        vertices, triangles = M.isotropic_step(vertices, triangles, target, merge)
+    sliver = min(target * p["sliver_merge_ratio"], p["clean_tolerance"]) if rounds else 0.0
+    if sliver > 0:
+        vertices, triangles = M.merged_close(vertices, triangles, sliver)
     vertices = vertices.join(M.vertex_normals(triangles, vertices), "vertex_id", "left")
-    return _measured(before, vertices, triangles, target=target)
+    return _measured(before, vertices, triangles, **p, collapse=merge)
 
 
 def describe(spark: SparkSession) -> DataFrame:

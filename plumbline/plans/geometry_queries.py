@@ -227,7 +227,7 @@ def midpoint_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remesh_isotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.plans.algorithms import remesh
 
-    return remesh(X.vertices(spark, sf_dir).select("vertex_id", "x", "y", "z"), X.triangles(spark, sf_dir), "bim_isotropic_only", {"target_edge_length": 0.15, "iterations": 2}).row()
+    return remesh(X.vertices(spark, sf_dir).select("vertex_id", "x", "y", "z"), X.triangles(spark, sf_dir), "bim_isotropic_only", {"target_edge_length": 0.15, "isotropic_iterations": 2}).row()
 
 
 @query()

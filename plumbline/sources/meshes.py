@@ -1,18 +1,23 @@
-"""Mesh files: PLY, OBJ, STL, OFF and GLB to vertices and triangles; PLY out.
+"""Mesh files: PLY, OBJ, STL, OFF, GLB and glTF to vertices and triangles; PLY out.
 
 A file is one mesh and is parsed by one task; many files are parsed side by side. Ids are unique within a file.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.files import opened
+
+# PLY's names of number types.
 _PLY = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
@@ -109,16 +114,42 @@ def parse_glb(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if magic != b"glTF" or version != 2:
         raise ValueError("not a GLB file of version 2")
     size = struct.unpack_from("<I", data, 12)[0]
-    scene, blob = json.loads(data[20 : 20 + size]), data[28 + size :]
+    return _scene(json.loads(data[20 : 20 + size]), lambda _: data[28 + size :])
+
+
+def parse_gltf(data: bytes, name: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """A glTF file; its buffers are data addresses or files beside it."""
+    scene = json.loads(data)
+
+    def buffer(i: int) -> bytes:
+        uri = scene["buffers"][i]["uri"]
+        if uri.startswith("data:"):
+            return base64.b64decode(uri.partition(",")[2])
+        with opened(f"{quote(_uri(name).rsplit('/', 1)[0], safe=':/%')}/{uri}") as f:
+            return f.read()
+
+    return _scene(scene, buffer)
+
+
+def _uri(path: str) -> str:
+    """Spark writes file:/x, others read file:///x."""
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _scene(scene: dict, buffer) -> tuple[np.ndarray, np.ndarray]:
+    blobs: dict[int, bytes] = {}
 
     def accessor(i: int) -> np.ndarray:
         a = scene["accessors"][i]
         view = scene["bufferViews"][a["bufferView"]]
+        blob = blobs.get(view.get("buffer", 0)) or blobs.setdefault(view.get("buffer", 0), buffer(view.get("buffer", 0)))
         kind = np.dtype({5120: "i1", 5121: "u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}[a["componentType"]])
         width = {"SCALAR": 1, "VEC2": 2, "VEC3": 3, "VEC4": 4}[a["type"]]
         start, stride = view.get("byteOffset", 0) + a.get("byteOffset", 0), view.get("byteStride") or width * kind.itemsize
         rows = np.lib.stride_tricks.as_strided(np.frombuffer(blob, np.uint8, offset=start), (a["count"], width * kind.itemsize), (stride, 1))
-        return np.ascontiguousarray(rows).view(kind).reshape(a["count"], width)
+        out = np.ascontiguousarray(rows).view(kind).reshape(a["count"], width)
+        # Whole numbers that stand for fractions.
+        return out / np.iinfo(kind).max if a.get("normalized") and kind.kind in "iu" else out
 
     def local(node: dict) -> np.ndarray:
         if "matrix" in node:
@@ -147,31 +178,37 @@ def parse_glb(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places or [np.empty((0, 3))]), np.concatenate(faces or [np.empty((0, 3), np.int64)])
 
 
-def _parsed(name: str, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _parsed(name: str, data: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(places, faces, further columns: normals and colours from 0 to 1, where the file has them)."""
     kind = name.lower().rsplit(".", 1)[-1]
     if kind == "ply":
         columns, faces = parse_ply(data)
-        normals = np.stack([columns[c] for c in ("nx", "ny", "nz")], axis=1) if "nx" in columns else None
-        return np.stack([columns[c] for c in "xyz"], axis=1).astype(float), faces, normals
-    places, faces = {"obj": parse_obj, "stl": parse_stl, "off": parse_off, "glb": parse_glb}[kind](data)
-    return places, faces, None
+        more = {c: columns[c].astype(float) for c in ("nx", "ny", "nz") if c in columns}
+        for c, field in (("r", "red"), ("g", "green"), ("b", "blue")):
+            if field in columns:
+                v = columns[field]
+                more[c] = v / 255 if v.dtype.kind in "iu" or v.max(initial=0) > 1 else v.astype(float)
+        return np.stack([columns[c] for c in "xyz"], axis=1).astype(float), faces, more
+    if kind == "gltf":
+        return *parse_gltf(data, name), {}
+    return *{"obj": parse_obj, "stl": parse_stl, "off": parse_off, "glb": parse_glb}[kind](data), {}
 
 
 def read_mesh(spark: SparkSession, path: str, require_faces: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(vertices, triangles) of the mesh files at path; normals are null where a file has none."""
+    """(vertices, triangles) of the mesh files at path; normals and colours (0 to 1) are null where a file has none."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def vertices(batches):
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                places, faces, normals = _parsed(name, data)
+                places, faces, more = _parsed(name, data)
                 if require_faces and not len(faces):
                     raise ValueError(f"{name} has no faces")
                 out = pd.DataFrame(places, columns=["x", "y", "z"])
                 out.insert(0, "vertex_id", np.arange(len(out)))
                 out.insert(0, "file", name)
-                for k, c in enumerate(("nx", "ny", "nz")):
-                    out[c] = normals[:, k].astype(float) if normals is not None else None
+                for c in ("nx", "ny", "nz", "r", "g", "b"):
+                    out[c] = more.get(c)
                 yield out
 
     def triangles(batches):
@@ -182,7 +219,16 @@ def read_mesh(spark: SparkSession, path: str, require_faces: bool = True) -> tup
                 out.insert(0, "file", name)
                 yield out
 
-    return files.mapInPandas(vertices, "file string, vertex_id bigint, x double, y double, z double, nx double, ny double, nz double"), files.mapInPandas(triangles, "file string, face_id bigint, v0 bigint, v1 bigint, v2 bigint")
+    return files.mapInPandas(vertices, "file string, vertex_id bigint, x double, y double, z double, nx double, ny double, nz double, r double, g double, b double"), files.mapInPandas(triangles, "file string, face_id bigint, v0 bigint, v1 bigint, v2 bigint")
+
+
+def with_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """One model's vertices with normals from its faces where the file has none."""
+    from plumbline.operators.mesh import vertex_normals
+
+    made = vertex_normals(triangles, vertices.select("vertex_id", "x", "y", "z")).toDF("vertex_id", "mx", "my", "mz")
+    joined = vertices.join(made, "vertex_id", "left")
+    return joined.withColumns({f"n{c}": F.coalesce(f"n{c}", f"m{c}") for c in "xyz"}).select(vertices.columns)
 
 
 def ply_bytes(places: np.ndarray, faces: np.ndarray, colors: np.ndarray | None = None) -> bytes:

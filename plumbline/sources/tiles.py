@@ -22,8 +22,7 @@ def uint32(content: Column, at: int) -> Column:
 def valid_pnts(content: Column) -> Column:
     """Magic and version, sections that add up to the file, and a positive whole number of points."""
     sections = uint32(content, 12) + uint32(content, 16) + uint32(content, 20) + uint32(content, 24)
-    head = F.substring(content, 29, 1 << 20).cast("string")
-    head = F.substring(head, F.lit(1), uint32(content, 12).cast("int"))
+    head = F.substring(content, F.lit(29), uint32(content, 12).cast("int")).cast("string")
     n = F.get_json_object(head, "$.POINTS_LENGTH").try_cast("double")
     ok = (F.length(content) >= 28) & (F.substring(content, 1, 4) == F.lit(b"pnts")) & (uint32(content, 4) == 1) & (uint32(content, 8) == F.length(content)) & (sections + 28 == F.length(content)) & (n > 0) & (n == F.floor(n))
     return F.coalesce(ok, F.lit(False))

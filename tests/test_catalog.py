@@ -94,11 +94,14 @@ def test_bytes_per_window(spark):
 
 def test_algorithms(spark):
     rows = {r["name"]: r for r in A.describe(spark).collect()}
+    assert [len(rows[n]["params"]) for n in ("bim_preprocessor", "bim_isotropic_only")] == [14, 10]
+    with pytest.raises(ValueError, match="unknown parameters: iterations"):
+        A.remesh(*M.unit_box(spark), "bim_isotropic_only", {"iterations": 3})
     assert set(rows) == {"bim_preprocessor", "bim_isotropic_only"} and all(p["default"] is not None for r in rows.values() for p in r["params"])
     with pytest.raises(ValueError, match="no algorithm"):
         A.remesh(None, None, "none")
     v, t = M.unit_box(spark)
-    got = A.remesh(v, t, "bim_isotropic_only", {"target_edge_length": 0.5, "iterations": 1, "merge_tolerance": "x"}).row().first()
+    got = A.remesh(v, t, "bim_isotropic_only", {"target_edge_length": 0.5, "isotropic_iterations": 1, "clean_tolerance": "x", "use_decimation": False}).row().first()
     assert got["faces_before"] == 12 and got["faces_after"] > 12
     metrics = spark.createDataFrame([("a", 1.0, 2.0), ("b", 0.5, 3.0)], "pipeline string, err double, quality double")
     assert {(r["metric"], r["pipeline"]) for r in A.best_pipeline(metrics, ["err"], ["quality"]).collect()} == {("err", "b"), ("quality", "b")}

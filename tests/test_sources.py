@@ -91,3 +91,80 @@ def test_scene_transforms(spark):
     move = lambda x: [1.0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, x, 0, 0, 1.0]
     nodes = spark.createDataFrame([(1, None, [float(v) for v in move(1)]), (2, 1, [float(v) for v in move(2)]), (3, 2, [float(v) for v in move(4)])], "node_id int, parent_id int, matrix array<double>")
     assert {r["node_id"]: r["matrix"][12] for r in tiles.world_matrices(nodes).collect()} == {1: 1.0, 2: 3.0, 3: 7.0}
+
+
+def test_gltf_with_embedded_and_separate_buffers(spark, tmp_path):
+    import base64
+    import json
+
+    import numpy as np
+
+    from plumbline.sources import meshes
+
+    places = np.array([[0, 0, 0], [32767, 0, 0], [0, 32767, 0]], dtype="<i2")
+    padded = np.zeros((3, 4), dtype="<i2")
+    padded[:, :3] = places
+    blob = padded.tobytes() + np.array([0, 1, 2], dtype="<u2").tobytes()
+    scene = {
+        "asset": {"version": "2.0"}, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0, "translation": [1, 2, 3]}], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}, "indices": 1}]}],
+        "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": 24, "byteStride": 8}, {"buffer": 0, "byteOffset": 24, "byteLength": 6}],
+        "accessors": [{"bufferView": 0, "componentType": 5122, "count": 3, "type": "VEC3", "normalized": True}, {"bufferView": 1, "componentType": 5123, "count": 3, "type": "SCALAR"}],
+    }
+    (tmp_path / "a b.bin").write_bytes(blob)
+    (tmp_path / "in.gltf").write_text(json.dumps(scene | {"buffers": [{"uri": "data:application/octet-stream;base64," + base64.b64encode(blob).decode(), "byteLength": 30}]}))
+    (tmp_path / "out.gltf").write_text(json.dumps(scene | {"buffers": [{"uri": "a%20b.bin", "byteLength": 30}]}))
+    for name in ("in.gltf", "out.gltf"):
+        v, t = meshes.read_mesh(spark, f"{tmp_path}/{name}")
+        assert [(r["x"], r["y"], r["z"]) for r in v.orderBy("vertex_id").collect()] == [(1, 2, 3), (2, 2, 3), (1, 3, 3)] and t.count() == 1
+
+
+def test_colours_and_missing_normals(spark, tmp_path):
+    from plumbline.operators import mesh as M
+    from plumbline.sources import meshes
+    from pyspark.sql import functions as F
+
+    vertices, faces = M.unit_box(spark)
+    meshes.write_ply(vertices.withColumns({"r": F.lit(1.0), "g": F.lit(0.5), "b": F.lit(0.0)}), faces, f"{tmp_path}/c.ply")
+    v, t = meshes.read_mesh(spark, f"{tmp_path}/c.ply")
+    row = v.first()
+    assert (row["r"], round(row["g"], 2), row["b"], row["nx"]) == (1.0, 0.5, 0.0, None)
+    made = meshes.with_normals(v, t).collect()
+    assert len(made) == 8 and all(abs(r["nx"] ** 2 + r["ny"] ** 2 + r["nz"] ** 2 - 1) < 1e-9 for r in made)
+
+
+def test_database_tables(spark, tmp_path):
+    from plumbline.sources.database import read_table, write_table
+
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(100).selectExpr("id", "id % 3 as owner_id")
+    write_table(rows, url, "assets", **driver)
+    got = read_table(spark, url, "assets", "ID", (0, 100), 4, **driver)
+    assert got.rdd.getNumPartitions() == 4
+    assert got.count() == 100
+    wanted = got.filter("OWNER_ID = 2")
+    assert wanted.count() == 33
+    assert "*equalto(owner_id,2)" in wanted._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_long_feature_table_is_valid(spark):
+    import json
+    import struct
+
+    from plumbline.sources.tiles import valid_pnts
+    from pyspark.sql import functions as F
+
+    table = json.dumps({"note": "x" * 1_200_000, "POINTS_LENGTH": 2}).encode()
+    tile = struct.pack("<4sIIIIII", b"pnts", 1, 28 + len(table), len(table), 0, 0, 0) + table
+    assert spark.createDataFrame([(bytearray(tile),)], "content binary").select(valid_pnts(F.col("content"))).first()[0]
+
+
+def test_benchmarks(spark):
+    from plumbline.operators import mesh as M
+    from plumbline.plans import benchmarks
+
+    vertices, faces = M.unit_box(spark)
+    model = vertices.join(M.vertex_normals(faces, vertices), "vertex_id")
+    got = benchmarks.constrained_cases(model, M.points_in_box(spark, (0, 0, 0), (0.5, 0.5, 0.5), 300)).orderBy("position").collect()
+    assert len(got) == 5 and got[0]["ratio"] == 1.0 and sum(r["is_fastest"] for r in got) == 1
+    rows = benchmarks.remesh_cases(vertices, faces, 0.5, {"few": ("bim_isotropic_only", {"isotropic_iterations": 1, "use_decimation": False})}).collect()
+    assert rows[0]["pipeline"] == "few" and rows[0]["faces_before"] == 12 and rows[0]["in_zone"] >= 0
