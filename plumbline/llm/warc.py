@@ -3,10 +3,13 @@
 An ARC file begins with a version block, "filedesc://" and a line that gives the version and names the fields of its
 header lines. Version 1 lines hold URL, IP address, date, content type and length; version 2 lines also hold result code,
 checksum, location, offset and file name. The converter reads the fields by the names that the block gives, takes the
-declared length of content and goes on after it. Of each record it makes a WARC record: an identifier from the digest of
-its URL, date and payload (so reruns agree), a timestamp from the 14-digit date, a type, and payload digests. Equal
-payloads become revisits of the one whose page comes first. IP address, result code, checksum, location and the other
-fields go into headers of their own; each version block of a file, if it says something new, into a warcinfo record.
+declared length of content and goes on after it. What a server answered begins with the lines of its HTTP headers; they
+are parted from the payload, which alone is digested and compared. Of each record it makes a WARC record: an identifier from
+the digest of its URL, date and payload (so reruns agree), a timestamp from the 14-digit date, a type by scheme and content
+(response with application/http where there are HTTP headers, else resource with the archive's own content type), and digests
+of payload and block. Equal payloads become revisits of the one whose page comes first, with its identifier, URL and date,
+and keep their HTTP headers. IP address, result code, checksum, location and the other fields go into headers of their own;
+each version block of a file, if it says something new, into a warcinfo record.
 
 ARC files may be plain or gzip files of any number of members. Only where a version block names this module as the
 origin does a URL end in a page number; other records have no page.
@@ -43,6 +46,8 @@ FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 EPOCH_DATE = "19960101000000"
+#: HTTP headers of pages, which come without.
+ANSWER = "HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ORIGIN = "plumbline"
 
 
@@ -98,6 +103,15 @@ def arc_records(data: bytes, blocks: bool = False) -> Iterator[ArcRecord]:
         at = end + 1 + length
 
 
+def parted(content: bytes) -> tuple[bytes, bytes]:
+    """(HTTP headers with their blank line, payload); no headers where the content isn't an answer of a server."""
+    if not content.startswith(b"HTTP/"):
+        return b"", content
+    ends = [i + len(e) for e in (b"\r\n\r\n", b"\n\n") if (i := content.find(e)) >= 0]
+    at = min(ends, default=len(content))
+    return content[:at], content[at:]
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -173,13 +187,14 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
     url = F.regexp_replace(F.coalesce("url", F.lit("dns:null")), r"[\s\x00-\x1F]", "%20")
     html = F.coalesce("html", F.lit(""))
     middle = " 0.0.0.0 19960101000000 text/html " if version == 1 else " 0.0.0.0 19960101000000 text/html 200 - - 0 archive "
-    line = F.concat(url, F.lit("#page="), number, F.lit(middle), F.octet_length(html).cast("string"), F.lit("\n"), html)
+    size = F.octet_length(html) + len(ANSWER)
+    line = F.concat(url, F.lit("#page="), number, F.lit(middle), size.cast("string"), F.lit("\n" + ANSWER), html)
     block = arc_version_block(version).decode()
     _write(pages.select(F.concat(F.lit(block), F.lit("\n"), line).cast("binary").alias("record")), path, "\n")
 
 
 OWN_PAGE = re.compile(r"#page=(null|-?\d+)\Z")
-CONVERTED = "file string, at bigint, page_id bigint, url string, date string, content_type string, payload_bytes bigint, payload_digest string, payload binary, kind string, ip string, more string"
+CONVERTED = "file string, at bigint, page_id bigint, url string, date string, content_type string, payload_bytes bigint, payload_digest string, payload binary, kind string, ip string, more string, head binary"
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -201,8 +216,9 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 elif r.origin == ORIGIN and (m := OWN_PAGE.search(r.url)):
                     kind, url = "page", r.url[: m.start()]
                     page, url = None if m[1] == "null" else int(m[1]), None if url == "dns:null" else url
+                head, payload = parted(r.content) if kind != "info" else (b"", r.content)
                 more = "\r\n".join(f"X-Arc-{k}: {v}" for k, v in r.more)
-                out.append((name, r.offset, page, url, r.date, r.content_type, len(r.content), payload_digest(r.content), r.content, kind, r.ip, more))
+                out.append((name, r.offset, page, url, r.date, r.content_type, len(payload), payload_digest(payload), payload, kind, r.ip, more, head))
                 size += len(r.content)
                 if size > 1 << 22:
                     yield _batch(out, CONVERTED)
@@ -221,28 +237,42 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _number(file: str, at: int, kind: str, page_id: int | None) -> int | str:
+    """What tells records of one URL, date and payload apart."""
+    return f"{file} {at}" if kind != "page" else page_id if page_id is not None else -1
+
+
 def converted(r: dict, payload: pa.Scalar) -> bytes:
-    """The WARC record of an ARC record: a response, a revisit without the payload, or a version block's warcinfo."""
-    number = f"{r['file']} {r['at']}" if r["kind"] != "page" else r["page_id"] if r["page_id"] is not None else -1
+    """The WARC record of an ARC record: a response, a resource, a revisit without the payload, or a version block's warcinfo."""
+    number = _number(r["file"], r["at"], r["kind"], r["page_id"])
     headers = [("WARC-Record-ID", record_id(r["url"] or "", r["date"], r["payload_digest"], number)), ("WARC-Date", warc_date(r["date"]))]
     if r["kind"] == "info":
         return warc_record("warcinfo", [*headers, ("WARC-Filename", r["url"].removeprefix("filedesc://")), ("Content-Type", r["content_type"])], payload.as_py())
+    block = r["head"] if r["again"] else r["head"] + payload.as_py()
     headers += [
         ("WARC-Target-URI", r["url"] if r["url"] is not None else "dns:null"),
         ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"),
-        ("X-Page-Id", str(r["page_id"])),
+        ("WARC-Block-Digest", f"sha1:{payload_digest(block) if r['head'] or r['again'] else r['payload_digest']}"),
+        ("Content-Type", "application/http; msgtype=response" if r["head"] else r["content_type"]),
         ("X-Payload-Length", str(r["payload_bytes"])),
-        ("Content-Type", r["content_type"]),
     ]
+    if r["kind"] == "page":
+        headers.append(("X-Page-Id", str(r["page_id"])))
     if r["ip"] not in ("", "-", "0.0.0.0"):
         headers.append(("WARC-IP-Address", r["ip"]))
     headers += [(k, v) for k, _, v in (x.partition(": ") for x in r["more"].split("\r\n")) if k]
     if not r["again"]:
-        return warc_record("response", headers, payload.as_py())
-    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(r["refers_to"]))]
-    if r["first_url"] is not None:
-        headers += [("WARC-Refers-To-Target-URI", r["first_url"]), ("WARC-Refers-To-Date", warc_date(r["first_date"]))]
-    return warc_record("revisit", headers, b"")
+        return warc_record("response" if r["head"] else "resource", headers, block)
+    first = _number(r["first_file"], r["first_at"], r["first_kind"], r["refers_to"])
+    headers += [
+        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+        ("WARC-Refers-To", record_id(r["first_url"] or "", r["first_date"], r["payload_digest"], first)),
+        ("WARC-Refers-To-Target-URI", r["first_url"] if r["first_url"] is not None else "dns:null"),
+        ("WARC-Refers-To-Date", warc_date(r["first_date"])),
+    ]
+    if r["kind"] == "page":
+        headers.append(("X-Refers-To-Page-Id", str(r["refers_to"])))
+    return warc_record("revisit", headers, block)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
@@ -251,12 +281,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     Which record of equal payloads is the response is a pre-aggregated least over digests; only records that revisit
     another carry that over, by their own place, so a payload that a third of all records share makes no hot group.
     """
-    foreign = lambda c: F.when(F.col("kind") == "record", F.col(c)).alias(f"first_{c}")
-    index = stored(read_arc(spark, arc_path).filter("kind != 'info'").select("file", "at", "page_id", "payload_digest", foreign("url"), foreign("date")), "arc-index")
-    last = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "file", "at", "first_url", "first_date")
+    index = stored(read_arc(spark, arc_path).filter("kind != 'info'").select("file", "at", "page_id", "payload_digest", "url", "date", "kind"), "arc-index")
+    last = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "file", "at", "url", "date", "kind")
     firsts = index.select("payload_digest", last.alias("here")).groupBy("payload_digest").agg(F.min("here").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     revisits = index.select("file", "at", "payload_digest").join(firsts, "payload_digest").filter((F.col("file") != F.col("first.file")) | (F.col("at") != F.col("first.at")))
-    revisits = revisits.select("file", "at", F.col("first.page_id").alias("refers_to"), "first.first_url", "first.first_date", F.lit(True).alias("again"))
+    revisits = revisits.select("file", "at", F.col("first.page_id").alias("refers_to"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("file", "at", "url", "date", "kind")], F.lit(True).alias("again"))
     marked = read_arc(spark, arc_path).join(revisits, ["file", "at"], "left")
 
     def rows(batch: pa.RecordBatch):
@@ -278,7 +307,7 @@ READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string,
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """What the WARC files say of each page; a response's digest is checked against its payload."""
+    """What the WARC files say of each record; digests are checked against payloads."""
 
     def number(text: str | None) -> int | None:
         return None if text in (None, "None") else int(text)
@@ -291,10 +320,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 kind = headers["warc-type"]
-                if kind == "response" and (payload_digest(block) != digest or len(block) != int(headers["x-payload-length"])):
+                payload = parted(block)[1] if headers["content-type"].startswith("application/http") else block
+                if kind != "revisit" and (payload_digest(payload) != digest or len(payload) != int(headers["x-payload-length"])):
                     raise ValueError(f"{headers['warc-record-id']}: payload and digest differ")
                 url = headers["warc-target-uri"]
-                out.append((number(headers["x-page-id"]), None if url == "dns:null" else url, int(headers["x-payload-length"]), digest, kind, number(headers.get("x-refers-to-page-id"))))
+                out.append((number(headers.get("x-page-id")), None if url == "dns:null" else url, int(headers["x-payload-length"]), digest, kind, number(headers.get("x-refers-to-page-id"))))
             if out:
                 yield _batch(out, READ)
 

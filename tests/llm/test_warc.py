@@ -97,9 +97,44 @@ def test_archives_of_others(spark, tmp_path, how):
     assert by["IA-1.arc"][0]["warc-type"] == by["IA-2.arc"][0]["warc-type"] == "warcinfo" and by["IA-1.arc"][1].startswith(b"1 0 Alexa Internet\n")
     h, block = by["http://www.dryswamp.edu:80/index.html#page=two"]
     assert h["warc-type"] == "response" and block == b"HTTP/1.0 200 OK\r\n\r\n<b>Hi</b>\n" and h["warc-ip-address"] == "127.10.100.2" and h["warc-date"] == "1996-11-04T14:21:03Z"
-    assert by["http://a.example/x.pdf#page=3"][0]["content-type"] == "text/html; charset=x"
+    assert h["content-type"] == "application/http; msgtype=response" and h["warc-payload-digest"] == "sha1:" + W.payload_digest(b"<b>Hi</b>\n") and h["warc-block-digest"] == "sha1:" + W.payload_digest(block)
+    assert by["http://a.example/x.pdf#page=3"][0]["content-type"] == "text/html; charset=x" and by["http://a.example/x.pdf#page=3"][0]["warc-type"] == "resource"
     h, block = by["http://b.example/old"]
     assert h["warc-type"] == "revisit" and block == b"" and h["warc-refers-to-target-uri"] == "http://a.example/x.pdf#page=3"
+    assert h["warc-refers-to"] == by["http://a.example/x.pdf#page=3"][0]["warc-record-id"] and h["warc-refers-to-date"] == "1996-11-04T14:21:04Z"
     assert (h["x-arc-result-code"], h["x-arc-checksum"], h["x-arc-location"], h["x-arc-offset"], h["x-arc-filename"]) == ("302", "fac069150613fe55599cc7fa88aa089d", "http://b.example/new", "209", "IA-2.arc")
     got = W.read_warc(spark, f"file://{tmp_path}/warc").collect()
-    assert sorted(r["record_type"] for r in got) == ["response", "response", "revisit"] and {r["page_id"] for r in got} == {None}
+    assert sorted(r["record_type"] for r in got) == ["resource", "response", "revisit"] and {r["page_id"] for r in got} == {None}
+
+
+def test_http_headers_dns_and_metadata(spark, tmp_path):
+    """Equal bodies behind different headers are one payload; dns and metadata records are resources of their own type; a cut header block is no payload."""
+    import gzip
+
+    def record(url, kind, content):
+        return f"{url} 9.9.9.9 20010203040506 {kind} {len(content)}\n".encode() + content + b"\n"
+
+    body = b"<html>same\n\nbody</html>"
+    data = W.arc_version_block(1) + b"\n" + b"".join([
+        record("http://x/1", "text/html", b"HTTP/1.1 200 OK\r\nServer: a\r\n\r\n" + body),
+        record("https://x/2", "text/html", b"HTTP/1.0 203 Odd\nServer: b\n\n" + body),
+        record("dns:x", "text/dns", b"20010203040506\nx. 60 IN A 9.9.9.9\n"),
+        record("metadata://x/m", "application/xml", b"<m/>"),
+        record("http://x/3", "no-type", b"HTTP/1.1 304 Not Modified\r\nServer: a\r\n"),
+    ])
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc").write_bytes(data)
+    W.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    found = [x for p in sorted((tmp_path / "warc").glob("part-*")) for x in W.warc_records(gzip.decompress(p.read_bytes()))]
+    by = {h.get("warc-target-uri"): (h, b) for h, b in found}
+    kinds = {u: (h["warc-type"], h["content-type"], b) for u, (h, b) in by.items() if u}
+    http = "application/http; msgtype=response"
+    assert kinds == {
+        "http://x/1": ("response", http, b"HTTP/1.1 200 OK\r\nServer: a\r\n\r\n" + body),
+        "https://x/2": ("revisit", http, b"HTTP/1.0 203 Odd\nServer: b\n\n"),
+        "dns:x": ("resource", "text/dns", b"20010203040506\nx. 60 IN A 9.9.9.9\n"),
+        "metadata://x/m": ("resource", "application/xml", b"<m/>"),
+        "http://x/3": ("response", http, b"HTTP/1.1 304 Not Modified\r\nServer: a\r\n"),
+    }
+    got = {r["url"]: r for r in W.read_warc(spark, f"file://{tmp_path}/warc").collect()}
+    assert got["https://x/2"]["payload_digest"] == got["http://x/1"]["payload_digest"] == W.payload_digest(body) and got["http://x/3"]["payload_bytes"] == 0
