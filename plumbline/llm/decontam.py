@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_map, fresh, table, text_bytes
+from plumbline.llm.common import arrow_map, fresh, stored, table, text_bytes
 from plumbline.llm.words import ALNUM, doc_hashes, hashes
 
 WINDOW = 10
@@ -238,8 +238,13 @@ SPANS = ("bigint", "array<struct<start:int,end:int>>", "array<string>")
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, into: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
-    """docs with n_words, the spans of words that benchmark (item_id, text) phrases cover, and the items found; into: their columns' names."""
+def find_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, into: tuple[str, str, str] = ("n_words", "spans", "items"), then=None) -> DataFrame:
+    """docs with n_words, the spans of words that benchmark (item_id, text) phrases cover, and the items found; into: their columns' names.
+
+    Phrases come in blocks of bounded size, one after another: the result of each block but the last is written, so that
+    one block at a time is on driver and executors. then: what the last block's pass makes of its batches, docs' own
+    columns being left; a pass of its own would take a second Python worker for each task.
+    """
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (block_words * 4)))
@@ -249,7 +254,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
         rows_here = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in rows_here.select("item_id", "text").collect()]))
 
-        def rows(batch: pa.RecordBatch, phrases=phrases, again=block > 0):
+        def rows(batch: pa.RecordBatch, phrases=phrases, again=block > 0, last=block == blocks - 1):
             n_words, spans, items = search_texts(list(text_bytes(batch.column("text"))), phrases.value)
             if again:
                 for i, (old_spans, old_items) in enumerate(zip(batch.column(into[1]).to_pylist(), batch.column(into[2]).to_pylist(), strict=True)):
@@ -259,9 +264,16 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
             every = range(batch.num_rows)
             found = pa.array([[{"start": a, "end": b} for a, b in merged(spans[i])] if i in spans else [] for i in every], _SPAN_TYPE)
             listed = pa.array([sorted(items.get(i, ())) for i in every], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(n_words, pa.int64()), found, listed], names=[*names, *into])
+            done = pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(n_words, pa.int64()), found, listed], names=[*names, *into])
+            yield then(done) if last and then else done
 
+        last = block == blocks - 1
+        if last and then:
+            return arrow_map(out, rows, docs.schema)
         out = arrow_map(out, rows, f"{columns}, {', '.join(f'`{n}` {t}' for n, t in zip(into, SPANS, strict=True))}")
+        if not last:
+            out = stored(out, "spans")
+            phrases.unpersist()
     return out
 
 
@@ -279,7 +291,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with benchmark passages cut out of the text (and n_chars set anew); all rows stay."""
     names, into = docs.columns, fresh(docs.columns, "n_words", "spans", "items")
 
-    def rows(batch: pa.RecordBatch):
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         hit = [i for i, s in enumerate(batch.column(into[1])) if len(s)]
         out = batch.select(names)
         if hit:
@@ -293,9 +305,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for i in hit:
                     chars[i] = len(texts[i])
                 out = out.set_column(at, out.schema.field(at), pa.array(chars, out.schema.field(at).type))
-        yield out
+        return out
 
-    return arrow_map(find_spans(docs, benchmark, into=into), rows, docs.schema)
+    return find_spans(docs, benchmark, into=into, then=cut)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

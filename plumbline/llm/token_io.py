@@ -33,7 +33,7 @@ from plumbline.llm.common import arrow_map, new_path, table
 
 END_ID = 2
 #: Text bytes a record file is made of; a file is read back as a whole.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 #: Words whose ids a worker remembers before it starts afresh.
 CACHE_WORDS = 300_000
 MASK_DELTA = 0xA282EAD8
@@ -167,7 +167,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record, by the index that was read from the files: start counts the ids of all documents before.
 
-    Totals of files give each file's start; a file stands for FILE_BYTES of text (100 TB are three million), so their
+    Totals of files give each file's start; a file stands for FILE_BYTES of text (100 TB are six million), so their
     running sum is small.
     """
     found = spark.read.parquet(f"{path}/index")
