@@ -67,14 +67,14 @@ def planned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.chunk_plan(rows).select("fingerprint", "number", F.col("at").alias("at_byte"), "n_bytes")
 
 
-_POLLS = "select l_orderkey as upload_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey)-1+case when l_orderkey%50=0 then 400 else 0 end as number, case when l_quantity>45 then 'ready' when l_quantity>42 then 'failed' when l_quantity>40 then 'terminated' when l_quantity>39 then 'odd' else 'processing' end as status from lineitem"
+_POLLS = "select l_orderkey as upload_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)-1+case when l_orderkey%50=0 then 400 else 0 end as number, case when l_quantity>45 then 'ready' when l_quantity>42 then 'failed' when l_quantity>40 then 'terminated' when l_quantity>39 then 'odd' else 'processing' end as status from lineitem"
 
 
 @query(with_views("select upload_id, coalesce(e, 'waiting') as outcome, cast(coalesce(k, last+1) as bigint) as n_polls, cast(case when e='ready' then 100 else least(99, 90+coalesce(k, last+1)) end as bigint) as progress from (select upload_id, min(number) filter (e is not null) as k, arg_min(e, number) filter (e is not null) as e, max(number) as last from (select *, case when status in ('ready','failed','terminated') then status when status='odd' then 'unknown' when number>300 then 'timeout' end as e from p) group by 1)", p=_POLLS))
 def poll_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1 + F.when(F.col("l_orderkey") % 50 == 0, 400).otherwise(0)
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1 + F.when(F.col("l_orderkey") % 50 == 0, 400).otherwise(0)
     status = F.expr("case when l_quantity>45 then 'ready' when l_quantity>42 then 'failed' when l_quantity>40 then 'terminated' when l_quantity>39 then 'odd' else 'processing' end")
     return J.polled(X.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload_id"), number.alias("number"), status.alias("status")))
 
@@ -85,14 +85,14 @@ def next_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.next_for_workers(rows, 32).select("id", "status")
 
 
-_CALLS = "select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey)-1 as number, l_quantity>25 as fine, case when l_quantity>35 then 200 else 500 end as code from lineitem"
+_CALLS = "select l_orderkey as id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)-1 as number, l_quantity>25 as fine, case when l_quantity>35 then 200 else 500 end as code from lineitem"
 
 
 @query(with_views("select id, case when c=200 then 'done' when c is not null then 'refused' when n>=3 then 'unreachable' else 'retry' end as outcome, cast(coalesce(k+1, n) as bigint) as n_calls, cast((coalesce(k+1, n)-1)*3 as bigint) as waited from (select id, min(number) filter (fine) as k, arg_min(code, number) filter (fine) as c, count(*) as n from c where number<3 group by 1)", c=_CALLS))
 def call_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
     return J.attempts(X.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), number.alias("number"), (F.col("l_quantity") > 25).alias("transport_ok"), F.when(F.col("l_quantity") > 35, 200).otherwise(500).alias("code")))
 
 
