@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (single machine, tests)."""
+    """spark.checkpoint.dir, or, on a local master, a folder of our own where it is unset (single machine, tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = got.get() if got.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -22,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df computed once and read back from Parquet, so lineage ends and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/plumbline/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    """What was stored goes when the driver ends."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may have ended first
+        pass
