@@ -89,9 +89,6 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
     The session's own batch size is lowered to BATCH_ROWS where it is larger, as workers and executors hold a batch of
     texts as a whole; Spark reads it when the plan runs, so it can't be put back here.
     """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
-        conf.set(BATCH_CONF, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +96,15 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
                 yield from rows(batch)
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session holding Arrow batches to BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return df
 
 
 def give_back() -> None:

@@ -42,3 +42,74 @@ win as (select doc_id, i, array_to_string(list_slice(w, i, i+19), ' ') as k from
 rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from win) where r > 1),
 g as (select doc_id, list(p) as ps, count(*) as n from (select distinct doc_id, unnest(range(i, i+20)) as p from rep) group by doc_id)
 select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(array_to_string(case when ps is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' ')) as kept_sha256 from d left join g on d.doc_id = g.doc_id"""
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ascii(c)::bigint)), lambda c, x: list_reduce([xor(c,x),0::bigint,0,0,0,0,0,0,0], lambda a, b: xor(a>>1, 3988292384*(a&1)))), 4294967295::bigint)"
+_SPACE = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way(state: str, cost: str, letter: str, line: str) -> str:
+    """A state's cheapest edits so far, and one more: cost and audit as sortable text, and the repaired lines."""
+    return f"{{'k': lpad(((left({state}.k,12)::bigint)+{cost})::varchar,12,'0')||substr({state}.k,13)||'{letter}', 't': {state}.t||{line}}}"
+
+
+_NL = "case when t.{0}.t='' then '' else chr(10) end"
+
+
+def _keep(state: str, letter: str) -> str:
+    return _way("t." + state, f"case when r='{letter}' and not gone then late else 100000 end", "K", f"{_NL.format(state)}||role||':'||text")
+
+
+def _rerole(state: str, role: str) -> str:
+    return _way("t." + state, "case when gone then 100000 else late+1 end", "R", f"{_NL.format(state)}||'{role}:'||text")
+
+
+#: Inserts are left out: deleting the row that an insert stands beside never costs more than inserting (2 against 5), and it ends the same way.
+REPAIR = f"""
+with recursive k as (select *, coalesce(conv_id::varchar,' ')||':'||coalesce(turn::varchar,' ') as k from conversations),
+c as (select conv_id, turn, coalesce(role,' ') as role, coalesce(text,' ') as text, {_CRC} % 20 as f from k),
+d as (select conv_id, turn, case when f=4 then 'user' else role end as role, case when f=1 then '' when f=2 then translate(text,'.!?','') else text end as text, unnest(range(case when f=3 then 2 else 1 end)) as copy from c where f<>0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i, rtrim(text, {_SPACE}) as bare from d),
+s as (select *, row_number() over (partition by conv_id, role, text order by i) as seen from o),
+g as (select *, left(role,1) as r, case when bare='' then 1 when seen>1 then 2 when right(bare,1) not in ('.','!','?') then 3 else 0 end as fault from s),
+h as (select *, fault in (1,2) as gone, case when fault=3 then 5 else 0 end as late, lag(r) over (partition by conv_id order by i) as p from g),
+t(conv_id, i, q0, q1, q2, q3) as (
+ select conv_id, 0::bigint, {{'k': '000000000000', 't': ''}}, {{'k': '000000100000', 't': ''}}, {{'k': '000000100000', 't': ''}}, {{'k': '000000100000', 't': ''}} from (select distinct conv_id from h)
+ union all
+ select t.conv_id, h.i, {_way("t.q0", "2", "D", "''")},
+  {_least(_way("t.q1", "2", "D", "''"), _keep("q0", "s"))},
+  {_least(_way("t.q2", "2", "D", "''"), _keep("q0", "u"), _keep("q1", "u"), _keep("q3", "u"), _rerole("q0", "user"), _rerole("q1", "user"), _rerole("q3", "user"))},
+  {_least(_way("t.q3", "2", "D", "''"), _keep("q2", "a"), _rerole("q2", "assistant"))}
+ from t join h on h.conv_id is not distinct from t.conv_id and h.i = t.i + 1),
+e as (select t.conv_id, {_least("q0", "q3")} as w from t join (select conv_id, max(i) as i from h group by conv_id) m on t.conv_id is not distinct from m.conv_id and t.i = m.i),
+n as (select conv_id, coalesce(max(turn)-min(turn)+1-count(distinct turn), 0) as gaps, sum((fault=1)::int) as blank, sum((fault=2)::int) as duplicate, sum((fault=3)::int) as truncated, sum((p is not null and p||r not in ('su','ua','au'))::int) as illegal from h group by conv_id)
+select a.conv_id, coalesce(gaps,0)::bigint as gaps, coalesce(blank,0)::bigint as blank, coalesce(duplicate,0)::bigint as duplicate, coalesce(truncated,0)::bigint as truncated, coalesce(illegal,0)::bigint as illegal, coalesce(left(w.k,12)::bigint,0) as cost, coalesce(substr(w.k,13),'') as audit, sha256(coalesce(w.t,'')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join n on a.conv_id is not distinct from n.conv_id left join e on a.conv_id is not distinct from e.conv_id"""
+
+#: All pairs, so what the passes may miss would show.
+NEAR_VECTORS = """
+with recursive f as (select vec_id, cast(embedding as double[]) as v from embeddings),
+u as (select vec_id, list_transform(v, lambda x: x/sqrt(list_dot_product(v, v))) as v from f where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+e as (select a.vec_id as x, b.vec_id as y from u a join u b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) >= 0.9),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, e.y from r join e on r.b = e.x),
+m as (select a, min(b) as component_id from r group by a)
+select d.vec_id, (select count(*) from e where e.x = d.vec_id) as n_links, component_id, d.vec_id = component_id as kept from embeddings d join m on d.vec_id = m.a"""
+
+PHRASES = rf"""
+with d as (select coalesce(lang,'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from d),
+s as (select lang, w, unnest(range(1, len(w)+1)) as i from w),
+g as (select lang, list_slice(w, i, i+n-1) as g, count(*) as a from s, (select unnest(range(1,6)) as n) where i+n-1 <= len(w) group by 1, 2),
+f as (select * from g where a >= 100),
+t as (select lang, sum(len(w))::hugeint as n from w group by 1),
+c as (select f.*, n, unnest(range(1, len(g))) as k from f join t using (lang) where len(g) > 1),
+j as (select c.lang, c.g, c.a, c.n, k, l.a as l, r.a as r, (1000*c.a::hugeint*c.n) // (l.a::hugeint*r.a) as score from c join f l on l.lang = c.lang and l.g = list_slice(c.g, 1, k) join f r on r.lang = c.lang and r.g = list_slice(c.g, k+1, len(c.g))),
+b as (select *, row_number() over (partition by lang, g order by score, k) as z from j),
+x as (select distinct lang, h as g, a from (select lang, a, unnest([list_slice(g, 1, len(g)-1), list_slice(g, 2, len(g))]) as h from f where len(g) > 2)),
+o as (select b.* from b where z = 1 and not exists (select 1 from x where x.lang = b.lang and x.g = b.g and x.a >= b.a)),
+q as (select *, array_to_string(g, ' ') as phrase from o),
+v as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from q)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from v where rank <= 2000"""

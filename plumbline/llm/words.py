@@ -73,6 +73,12 @@ def _raw(buf: np.ndarray, is_word: np.ndarray, lower: bool) -> tuple[np.ndarray,
     return starts, ends, (total[ends] - total[starts]) * down[starts]
 
 
+def word_spans(buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts, ends and hashes of the words of buf."""
+    starts, ends, raw = _raw(buf, is_word, False)
+    return starts, ends, mix(raw)
+
+
 def doc_hashes(text: bytes, is_word: np.ndarray = BLANK_SPLIT, lower: bool = False) -> np.ndarray:
     """The word hashes of one text of any length, by segments; a word may cross segments."""
     parts, open_raw, open_len = [], None, 0
