@@ -104,23 +104,56 @@ def centroids(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return t.select("face_id", *[m.alias(c) for m, c in zip(mid, "xyz", strict=True)], *[(v / size).alias(f"n{c}") for v, c in zip(n, "xyz", strict=True)])
 
 
-def closest_faces(queries: DataFrame, triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """face_id of each query (face_id, x, y, z, nx, ny, nz), hit, and the nearest surface point hx, hy, hz.
+def _with_closest_point(pairs: DataFrame) -> DataFrame:
+    """pairs (x, y, z, and a triangle's corners) with hx, hy, hz: the triangle's point that is nearest: the foot if inside, else the best foot on an edge.
 
-    Triangles are items of a pyramid, each with its box in the one cell its middle lies in, so a large triangle is one row.
+    In steps, each a column of its own: spelt out as one expression, it is too long to be compiled.
     """
-    t = corners(triangles.withColumnRenamed("face_id", "hit"), vertices, ("x", "y", "z", "nx", "ny", "nz"))
-    edge = lambda f, c: f(*[F.col(f"{n}_{c}") for n in "abc"])
-    placed = t.select("hit", *[f"{n}_{p}" for n in "abc" for p in ("x", "y", "z", "nx", "ny", "nz")], *[edge(f, c).alias(f"{e}{c}") for e, f in (("lo_", F.least), ("hi_", F.greatest)) for c in "xyz"])
-    pairs = Pyramid(stored(placed, "boxed-faces")).pairs(queries, "face_id")
-    p = tuple(F.col(c) for c in "xyz")
-    h = G.closest_on_triangle(p, corner("a"), corner("b"), corner("c"))
-    pairs = pairs.select("*", *[v.alias(f"h{c}") for v, c in zip(h, "xyz", strict=True)])
-    d2 = sum(((F.col(f"h{c}") - F.col(c)) * (F.col(f"h{c}") - F.col(c)) for c in "yz"), (F.col("hx") - F.col("x")) * (F.col("hx") - F.col("x")))
-    u = G.barycentric(tuple(F.col(f"h{c}") for c in "xyz"), corner("a"), corner("b"), corner("c"))
-    n = [sum((w * F.col(f"{k}_n{c}") for w, k in zip(u[1:], "bc", strict=True)), u[0] * F.col(f"a_n{c}")) for c in "xyz"]
-    best = pairs.select(*queries.columns, F.struct(d2.alias("d2"), "hit", "hx", "hy", "hz", *[v.alias(f"m{c}") for v, c in zip(n, "xyz", strict=True)]).alias("b")).groupBy(*queries.columns).agg(F.min("b").alias("b"))
-    return best.select(*queries.columns, "b.*")
+    p, a, b, c = tuple(F.col(k) for k in "xyz"), corner("a"), corner("b"), corner("c")
+    sides = {"ab": (a, b), "bc": (b, c), "ca": (c, a)}
+    at = {f"t_{k}": G.clamp(F.coalesce(G.dot(G.minus(p, s), G.minus(e, s)) / F.nullif(G.dot(G.minus(e, s), G.minus(e, s)), F.lit(0.0)), F.lit(0.0)), 0.0, 1.0) for k, (s, e) in sides.items()}
+    normal = {f"w_{k}": v for k, v in zip("xyz", G.cross(G.minus(b, a), G.minus(c, a)), strict=True)}
+    pairs = pairs.withColumns(at | normal)
+    w = tuple(F.col(f"w_{k}") for k in "xyz")
+    feet = {f"e_{k}{axis}": s[i] + F.col(f"t_{k}") * (e[i] - s[i]) for k, (s, e) in sides.items() for i, axis in enumerate("xyz")}
+    pairs = pairs.withColumns(feet | {"ww": G.dot(w, w)})
+    pairs = pairs.withColumn("lift", F.coalesce(G.dot(G.minus(p, a), w) / F.nullif("ww", F.lit(0.0)), F.lit(0.0)))
+    foot = {f"f_{k}": p[i] - F.col("lift") * w[i] for i, k in enumerate("xyz")}
+    on = {k: tuple(F.col(f"e_{k}{axis}") for axis in "xyz") for k in sides}
+    best = F.least(*[F.struct(G.dot(G.minus(p, e), G.minus(p, e)).alias("d"), *[v.alias(k) for v, k in zip(e, "xyz", strict=True)]) for e in on.values()])
+    pairs = pairs.withColumns(foot | {"edge": best})
+    f = tuple(F.col(f"f_{k}") for k in "xyz")
+    inside = F.col("ww") > 0
+    for s, e in sides.values():
+        inside = inside & (G.dot(G.cross(G.minus(e, s), G.minus(f, s)), w) >= 0)
+    return pairs.withColumn("inside", inside).withColumns({f"h{k}": F.when(F.col("inside"), F.col(f"f_{k}")).otherwise(F.col(f"edge.{k}")) for k in "xyz"})
+
+
+class Surface:
+    """A mesh to find nearest points on: its triangles are items of a pyramid, each with its box in the one cell its middle lies in, so a large triangle is one row."""
+
+    def __init__(self, triangles: DataFrame, vertices: DataFrame) -> None:
+        """vertices: vertex_id, x, y, z, nx, ny, nz."""
+        t = corners(triangles.withColumnRenamed("face_id", "hit"), vertices, ("x", "y", "z", "nx", "ny", "nz"))
+        edge = lambda f, c: f(*[F.col(f"{n}_{c}") for n in "abc"])
+        placed = t.select("hit", *[f"{n}_{p}" for n in "abc" for p in ("x", "y", "z", "nx", "ny", "nz")], *[edge(f, c).alias(f"{e}{c}") for e, f in (("lo_", F.least), ("hi_", F.greatest)) for c in "xyz"])
+        self.pyramid = Pyramid(stored(placed, "boxed-faces"))
+
+    def closest(self, queries: DataFrame) -> DataFrame:
+        """queries (face_id, x, y, z, nx, ny, nz) with hit, the nearest surface point hx, hy, hz and the normal mx, my, mz there."""
+        pairs = self.pyramid.pairs(queries, "face_id")
+        pairs = _with_closest_point(pairs)
+        d2 = sum(((F.col(f"h{c}") - F.col(c)) * (F.col(f"h{c}") - F.col(c)) for c in "yz"), (F.col("hx") - F.col("x")) * (F.col("hx") - F.col("x")))
+        u = G.barycentric(tuple(F.col(f"h{c}") for c in "xyz"), corner("a"), corner("b"), corner("c"))
+        pairs = pairs.withColumns({f"u{k}": w for k, w in zip("abc", u, strict=True)})
+        n = [sum((F.col(f"u{k}") * F.col(f"{k}_n{c}") for k in "bc"), F.col("ua") * F.col(f"a_n{c}")) for c in "xyz"]
+        best = pairs.select(*queries.columns, F.struct(d2.alias("d2"), "hit", "hx", "hy", "hz", *[v.alias(f"m{c}") for v, c in zip(n, "xyz", strict=True)]).alias("b")).groupBy(*queries.columns).agg(F.min("b").alias("b"))
+        return best.select(*queries.columns, "b.*")
+
+
+def closest_faces(queries: DataFrame, triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """face_id of each query (face_id, x, y, z, nx, ny, nz), hit, and the nearest surface point hx, hy, hz."""
+    return Surface(triangles, vertices).closest(queries)
 
 
 def normal_deviation(hits: DataFrame) -> DataFrame:
@@ -132,7 +165,7 @@ def normal_deviation(hits: DataFrame) -> DataFrame:
     return out.select("mean_dot", "std_dot", "mean_angle", "std_angle", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))], "max_angle", "negative_percent", "degenerate", "n")
 
 
-def _relabelled(triangles: DataFrame, mapping: DataFrame) -> DataFrame:
+def relabelled(triangles: DataFrame, mapping: DataFrame) -> DataFrame:
     out = triangles
     for c in CORNERS:
         out = out.join(mapping.select(F.col("vertex_id").alias(c), F.col("to").alias(f"n{c}")), c).drop(c)
@@ -152,19 +185,7 @@ def without_unreferenced(vertices: DataFrame, triangles: DataFrame) -> DataFrame
 def deduplicated(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Equal coordinates as one vertex (the least id), repeated and null faces gone, unused vertices gone."""
     same = vertices.withColumn("to", F.min("vertex_id").over(Window.partitionBy("x", "y", "z")))
-    faces = without_degenerate(_relabelled(triangles, same))
-    return without_unreferenced(vertices, faces), faces
-
-
-def merged_close(vertices: DataFrame, triangles: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """Vertices of one cell of the tolerance's side become the one of least id; then faces and vertices are cleaned.
-
-    A pair that a cell border parts stays apart although it is close: merging chains across borders would let a vertex
-    wander farther than the tolerance.
-    """
-    cell = [F.floor(F.col(c) / tolerance) for c in "xyz"]
-    mapping = vertices.withColumn("to", F.min("vertex_id").over(Window.partitionBy(*cell)))
-    faces = without_degenerate(_relabelled(triangles, mapping))
+    faces = without_degenerate(relabelled(triangles, same))
     return without_unreferenced(vertices, faces), faces
 
 
@@ -176,71 +197,47 @@ def without_non_manifold(triangles: DataFrame, vertices: DataFrame) -> DataFrame
     return triangles.join(sides.withColumn("rank", rank).filter("rank > 2").select("face_id").distinct(), "face_id", "left_anti")
 
 
-def cluster_decimated(vertices: DataFrame, triangles: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
-    """Vertex clustering: one vertex a cell, at the mean of the cell's vertices. Stands in for edge collapse by quadrics."""
-    cell = [F.floor(F.col(c) / side) for c in "xyz"]
-    w = Window.partitionBy(*cell)
-    mapping = vertices.select("vertex_id", F.min("vertex_id").over(w).alias("to"), *[F.avg(c).over(w).alias(c) for c in "xyz"])
-    faces = without_degenerate(_relabelled(triangles, mapping))
-    return without_unreferenced(mapping.filter("vertex_id = to").select("vertex_id", "x", "y", "z"), faces), faces
-
-
-def decimated_to(vertices: DataFrame, triangles: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """Clustered until at most max(1000, ratio of the faces) are left."""
-    wanted = max(1000, int(triangles.count() * ratio))
-    side = (edge_lengths(triangles, vertices).agg(F.avg("length")).first()[0] or 1.0) / 2
-    while triangles.count() > wanted:  # cells grow, so there is an end
-        vertices, triangles = (stored(x, "decimated") for x in cluster_decimated(vertices, triangles, side))
-        side *= 1.3
-    return vertices, triangles
+def split_edges(vertices: DataFrame, triangles: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges long (lo, hi) get a midpoint, shared by both faces; a face splits into 2, 3 or 4 by how many of its edges do."""
+    first = (vertices.agg(F.max("vertex_id")).first()[0] or 0) + 1
+    # Ids of midpoints and new faces: unique and fixed once written; they need not be dense.
+    mids = stored(long.select("lo", "hi", (F.monotonically_increasing_id() + first).alias("mid")), "midpoints")
+    if mids.isEmpty():
+        return vertices, triangles
+    marked = triangles.select("face_id", *CORNERS, *[F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).alias(f"e{i}") for i, (a, b) in enumerate((("v0", "v1"), ("v1", "v2"), ("v2", "v0")))])
+    for i in range(3):
+        marked = marked.join(mids.select(F.struct("lo", "hi").alias(f"e{i}"), F.col("mid").alias(f"m{i}")), f"e{i}", "left")
+    v0, v1, v2, m0, m1, m2 = (F.col(c) for c in ("v0", "v1", "v2", "m0", "m1", "m2"))
+    tri = lambda a, b, c: F.struct(a.alias("v0"), b.alias("v1"), c.alias("v2"))
+    h0, h1, h2 = (m.isNotNull() for m in (m0, m1, m2))
+    faces = (
+        F.when(h0 & h1 & h2, F.array(tri(v0, m0, m2), tri(m0, v1, m1), tri(m2, m1, v2), tri(m0, m1, m2)))
+        .when(h0 & h1, F.array(tri(v0, m0, m1), tri(m0, v1, m1), tri(v0, m1, v2)))
+        .when(h1 & h2, F.array(tri(v1, m1, m2), tri(m1, v2, m2), tri(v1, m2, v0)))
+        .when(h2 & h0, F.array(tri(v2, m2, m0), tri(m2, v0, m0), tri(v2, m0, v1)))
+        .when(h0, F.array(tri(v0, m0, v2), tri(m0, v1, v2)))
+        .when(h1, F.array(tri(v1, m1, v0), tri(m1, v2, v0)))
+        .when(h2, F.array(tri(v2, m2, v1), tri(m2, v0, v1)))
+        .otherwise(F.array(tri(v0, v1, v2)))
+    )
+    past = (triangles.agg(F.max("face_id")).first()[0] or 0) + 1
+    parts = marked.select("face_id", F.posexplode(faces).alias("part", "f"))
+    triangles = stored(parts.select(F.when(F.col("part") == 0, F.col("face_id")).otherwise(F.monotonically_increasing_id() + past).alias("face_id"), "f.*"), "faces")
+    place = vertices.select("vertex_id", "x", "y", "z")
+    ends = mids.join(place.toDF("lo", *[f"a_{c}" for c in "xyz"]), "lo").join(place.toDF("hi", *[f"b_{c}" for c in "xyz"]), "hi")
+    return stored(place.unionAll(ends.select("mid", *[((F.col(f"a_{c}") + F.col(f"b_{c}")) / 2).alias(c) for c in "xyz"])), "vertices"), triangles
 
 
 def subdivided(vertices: DataFrame, triangles: DataFrame, longest: float, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Edges over longest get a midpoint, shared by both faces; a face splits into 2, 3 or 4 by how many of its edges do."""
+    """Rounds of edges over longest halved."""
     for _ in range(rounds):
         t = corners(triangles, vertices)
-        sides = [(a, b, G.distance(corner(m), corner(n))) for a, b, m, n in (("v0", "v1", "a", "b"), ("v1", "v2", "b", "c"), ("v2", "v0", "c", "a"))]
-        marked = t.select("face_id", *CORNERS, *[F.when(d > longest, F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))).alias(f"e{i}") for i, (a, b, d) in enumerate(sides)])
-        split = marked.select(F.explode(F.array("e0", "e1", "e2")).alias("e")).filter("e is not null").distinct()
-        first = (vertices.agg(F.max("vertex_id")).first()[0] or 0) + 1
-        # Ids of midpoints: unique and fixed once written; they need not be dense.
-        mids = stored(split.select("e.lo", "e.hi", (F.monotonically_increasing_id() + first).alias("mid")), "midpoints")
-        if mids.isEmpty():
-            break
-        for i in range(3):
-            e = mids.select(F.struct("lo", "hi").alias(f"e{i}"), F.col("mid").alias(f"m{i}"))
-            marked = marked.join(e, f"e{i}", "left")
-        v0, v1, v2, m0, m1, m2 = (F.col(c) for c in ("v0", "v1", "v2", "m0", "m1", "m2"))
-        tri = lambda a, b, c: F.struct(a.alias("v0"), b.alias("v1"), c.alias("v2"))
-        h0, h1, h2 = (m.isNotNull() for m in (m0, m1, m2))
-        faces = (
-            F.when(h0 & h1 & h2, F.array(tri(v0, m0, m2), tri(m0, v1, m1), tri(m2, m1, v2), tri(m0, m1, m2)))
-            .when(h0 & h1, F.array(tri(v0, m0, m1), tri(m0, v1, m1), tri(v0, m1, v2)))
-            .when(h1 & h2, F.array(tri(v1, m1, m2), tri(m1, v2, m2), tri(v1, m2, v0)))
-            .when(h2 & h0, F.array(tri(v2, m2, m0), tri(m2, v0, m0), tri(v2, m0, v1)))
-            .when(h0, F.array(tri(v0, m0, v2), tri(m0, v1, v2)))
-            .when(h1, F.array(tri(v1, m1, v0), tri(m1, v2, v0)))
-            .when(h2, F.array(tri(v2, m2, v1), tri(m2, v0, v1)))
-            .otherwise(F.array(tri(v0, v1, v2)))
-        )
-        parts = marked.select("face_id", F.posexplode(faces).alias("part", "f"))
-        triangles = stored(parts.select((F.col("face_id") * 4 + F.col("part")).alias("face_id"), "f.*"), "faces")
-        place = vertices.select("vertex_id", "x", "y", "z")
-        ends = mids.join(place.toDF("lo", *[f"a_{c}" for c in "xyz"]), "lo").join(place.toDF("hi", *[f"b_{c}" for c in "xyz"]), "hi")
-        vertices = stored(place.unionAll(ends.select("mid", *[((F.col(f"a_{c}") + F.col(f"b_{c}")) / 2).alias(c) for c in "xyz"])), "vertices")
+        sides = [F.when(G.distance(corner(m), corner(n)) > longest, F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))) for a, b, m, n in (("v0", "v1", "a", "b"), ("v1", "v2", "b", "c"), ("v2", "v0", "c", "a"))]
+        long = t.select(F.explode(F.array(*sides)).alias("e")).filter("e is not null").select("e.*").distinct()
+        vertices, triangles = split_edges(vertices, triangles, long)
     return vertices, triangles
 
 
-def isotropic_step(vertices: DataFrame, triangles: DataFrame, target: float, merge: bool = True, relax: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """One round towards equal edges: long edges split, short ones clustered if merge is set, vertices drawn to their neighbours' mean."""
-    vertices, triangles = subdivided(vertices, triangles, 4 / 3 * target)
-    if merge:
-        vertices, triangles = (stored(x, "collapsed") for x in cluster_decimated(vertices, triangles, 0.6 * target))
-    e = edges(triangles).join(vertices.select(F.col("vertex_id").alias("dst"), "x", "y", "z"), "dst").groupBy(F.col("src").alias("vertex_id")).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    drawn = vertices.join(e, "vertex_id", "left").select("vertex_id", *[((1 - relax) * F.col(c) + relax * F.coalesce(f"m{c}", c)).alias(c) for c in "xyz"])
-    return stored(drawn, "relaxed"), triangles
-
-
 def joined_scene(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """All geometries as one mesh, ids moved past those of the parts before."""
     vertices = triangles = None

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import mesh as M
+from plumbline.operators import remesh as R
 
 
 @dataclass
@@ -128,11 +129,11 @@ class SubdivideThenIsotropic:
         before, target = (vertices.count(), triangles.count()), p["target_edge_length"]
         vertices, triangles = cleaned(vertices, triangles, p)
         if p["use_decimation"] and before[1] > self.MANY_FACES:
-            vertices, triangles = M.decimated_to(vertices, triangles, p["decimation_ratio"])
+            vertices, triangles = thinned(vertices, triangles, before[1], 1000, p)
         vertices, triangles = M.subdivided(vertices, triangles, target * p["subdivision_threshold_ratio"], p["subdivision_iterations"])
         # Splitting below twice the target and merging would undo each other.
         merge = p["isotropic_collapse"] and p["subdivision_threshold_ratio"] >= 2
-        return finished(before, vertices, triangles, p, p["isotropic_iterations"] if p["use_isotropic"] else 0, merge)
+        return finished(before, vertices, triangles, p, p["isotropic_iterations"] if p["use_isotropic"] else 0, merge, 1)
 
 
 @register
@@ -149,23 +150,35 @@ class IsotropicOnly:
         before = (vertices.count(), triangles.count())
         vertices, triangles = cleaned(vertices, triangles, p)
         if p["use_decimation"]:
-            vertices, triangles = M.decimated_to(vertices, triangles, p["decimation_ratio"])
-        return finished(before, vertices, triangles, p, p["isotropic_iterations"], True)
+            vertices, triangles = thinned(vertices, triangles, before[1], 100, p)
+        return finished(before, vertices, triangles, p, p["isotropic_iterations"], True, 3)
 
 
 def cleaned(vertices: DataFrame, triangles: DataFrame, p: dict) -> tuple[DataFrame, DataFrame]:
-    vertices, triangles = M.merged_close(vertices, triangles, p["clean_tolerance"])
-    return vertices, M.without_non_manifold(triangles, vertices)
-
-
-def finished(before: tuple[int, int], vertices: DataFrame, triangles: DataFrame, p: dict, rounds: int, merge: bool) -> RemeshResult:
-    """Isotropic rounds and the sliver pass. surface_dist_ratio, adaptive, crease_angle and sliver_relax_checksurfdist steer kernels that this approximation lacks; they are checked and reported."""
-    target = p["target_edge_length"]
-    for _ in range(rounds):
-        vertices, triangles = M.isotropic_step(vertices, triangles, target, merge)
-    sliver = min(target * p["sliver_merge_ratio"], p["clean_tolerance"]) if rounds else 0.0
-    if sliver > 0:
-        vertices, triangles = M.merged_close(vertices, triangles, sliver)
+    """Close vertices merged, faces beyond two on an edge removed, vertices of several fans parted."""
+    vertices, triangles = R.merged_within(vertices, triangles, p["clean_tolerance"])
+    return repaired(vertices, triangles)
+
+
+def repaired(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return R.split_fans(vertices, M.without_non_manifold(triangles, vertices))
+
+
+def thinned(vertices: DataFrame, triangles: DataFrame, faces: int, least: int, p: dict) -> tuple[DataFrame, DataFrame]:
+    """Edges collapsed by quadric error down to a ratio of the faces that came in, or `least` of them, and what that left repaired."""
+    wanted = max(least, int(faces * p["decimation_ratio"]))
+    return repaired(*R.decimated(vertices, triangles, wanted)) if wanted < faces else (vertices, triangles)
+
+
+def finished(before: tuple[int, int], vertices: DataFrame, triangles: DataFrame, p: dict, rounds: int, merge: bool, sliver_rounds: int) -> RemeshResult:
+    """Isotropic rounds over the surface as it came to them, then the sliver pass: very short edges merged, edges flipped and vertices relaxed without a surface to return to."""
+    target, angle = p["target_edge_length"], p["crease_angle"]
+    reach = target * p["surface_dist_ratio"]
+    if rounds:
+        normals = vertices.select("vertex_id", "x", "y", "z").join(M.vertex_normals(triangles, vertices), "vertex_id", "left").fillna(0.0)
+        vertices, triangles = R.isotropic(vertices, triangles, target, rounds, angle, reach, merge, adaptive=p["adaptive"], surface=M.Surface(triangles, normals))
+    vertices, triangles = R.merged_within(vertices, triangles, min(target * p["sliver_merge_ratio"], p["clean_tolerance"]))
+    vertices, triangles = R.isotropic(vertices, triangles, target, sliver_rounds, angle, reach if p["sliver_relax_checksurfdist"] else None, collapse=False, split=False)
     vertices = vertices.join(M.vertex_normals(triangles, vertices), "vertex_id", "left")
     return _measured(before, vertices, triangles, **p, collapse=merge)
 

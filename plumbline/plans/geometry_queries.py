@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import color
 from plumbline.functions import geometry as G
 from plumbline.operators import mesh, neighbours, points, registration
+from plumbline.operators import remesh as reshaped
 from plumbline.plans import fixtures as X
 from plumbline.plans.fixtures import with_views
 
@@ -207,16 +208,65 @@ def mesh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.vertices(spark, sf_dir).agg(F.count("*").alias("n_vertices")).join(X.triangles(spark, sf_dir).agg(F.count("*").alias("n_faces")))
 
 
-_MERGED = "select *, min(vertex_id) over (partition by floor(x/0.3), floor(y/0.3), floor(z/0.3)) as keep from v_vertices"
+_CLOSE = "select a.vertex_id as a, b.vertex_id as b from v_vertices a join v_vertices b on (a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2 <= cast(0.05 as double)**2"
+_REACHED = "select vertex_id as a, vertex_id as b from v_vertices union select r.a, p.b from reached r join close_pairs p on r.b = p.a"
+_MERGED = "select a as vertex_id, min(b) as keep from reached group by a"
 _FACES = "select distinct list_sort([a.keep,b.keep,c.keep]) as k from v_triangles t join m a on v0=a.vertex_id join m b on v1=b.vertex_id join m c on v2=c.vertex_id where a.keep<>b.keep and b.keep<>c.keep and a.keep<>c.keep"
 
 
-@query(with_views("select count(*) as n_faces, (select count(distinct v) from (select unnest(k) as v from f)) as n_vertices from f", m=_MERGED, f=_FACES))
+@query(with_views("select count(*) as n_faces, (select count(distinct v) from (select unnest(k) as v from f)) as n_vertices from f", close_pairs=_CLOSE, reached=_REACHED, m=_MERGED, f=_FACES))
 def merge_close_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, t = mesh.merged_close(X.vertices(spark, sf_dir), X.triangles(spark, sf_dir), 0.3)
+    v, t = reshaped.merged_within(X.vertices(spark, sf_dir), X.triangles(spark, sf_dir), 0.05)
     return t.agg(F.count("*").alias("n_faces")).join(v.agg(F.count("*").alias("n_vertices")))
 
 
+_SOME = "select * from v_triangles where face_id % 3 <> 1"
+_SIDED = "select v, w, face_id as f from some_faces, lateral (select unnest([v0,v0,v1,v1,v2,v2]) as v, unnest([v1,v2,v0,v2,v0,v1]) as w)"
+_FANS = "select v, f as a, f as b from sided union select r.v, r.a, t.f from fans r join sided s on s.v = r.v and s.f = r.b join sided t on t.v = s.v and t.w = s.w"
+
+
+@query(with_views("select (select count(*) from v_vertices) + (select count(*) from (select distinct v, fan from g)) - (select count(distinct v) from g) as n_vertices, (select count(*) from (select v from g group by v having count(distinct fan) > 1)) as n_split, (select count(*) from some_faces) as n_faces", some_faces=_SOME, sided=_SIDED, fans=_FANS, g="select v, a, min(b) as fan from fans group by v, a"))
+def split_vertex_fans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mesh with a third of its faces missing, so that many vertices hold fans that touch nowhere else."""
+    before, t = X.vertices(spark, sf_dir).select("vertex_id", "x", "y", "z"), X.triangles(spark, sf_dir).filter("face_id % 3 <> 1")
+    v, t = reshaped.split_fans(before, t)
+    places = v.groupBy("x", "y", "z").agg(F.count("*").alias("copies")).agg(F.sum("copies").alias("n_vertices"), F.count_if(F.col("copies") > 1).alias("n_split"))
+    return places.join(t.agg(F.count("*").alias("n_faces")))
+
+
+_PLANES = "select face_id, v0, v1, v2, ax, ay, az, bx, by_, bz, cx, cy, cz, wx/l as nx, wy/l as ny, wz/l as nz, l/2 as area from (select *, sqrt(wx*wx+wy*wy+wz*wz) as l from (select k.*, t.v0, t.v1, t.v2, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) wx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) wy, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) wz from k join v_triangles t using (face_id)))"
+_RIMS = "select least(v,w) as lo, greatest(v,w) as hi, any_value(nx) nx, any_value(ny) ny, any_value(nz) nz, any_value(px) px, any_value(py) py, any_value(pz) pz, any_value(lx) lx, any_value(ly) ly, any_value(lz) lz from (select nx, ny, nz, unnest([v0,v1,v2]) v, unnest([v1,v2,v0]) w, unnest([ax,bx,cx]) px, unnest([ay,by_,cy]) py, unnest([az,bz,cz]) pz, unnest([bx-ax,cx-bx,ax-cx]) lx, unnest([by_-ay,cy-by_,ay-cy]) ly, unnest([bz-az,cz-bz,az-cz]) lz from pl) group by 1, 2 having count(*) = 1"
+_UPRIGHT = "select lo, hi, ux/l nx, uy/l ny, uz/l nz, px, py, pz, 10*(lx*lx+ly*ly+lz*lz) as weight from (select *, sqrt(ux*ux+uy*uy+uz*uz) as l from (select *, ly*nz-lz*ny ux, lz*nx-lx*nz uy, lx*ny-ly*nx uz from rims))"
+_HELD = "select unnest([v0,v1,v2]) v, nx, ny, nz, -(nx*ax+ny*ay+nz*az) d, area as weight from pl union all select unnest([lo,hi]), nx, ny, nz, -(nx*px+ny*py+nz*pz), weight from upright"
+_QUADRICS = "select v, " + ", ".join(f"sum(weight*{a}*{b}) as q{i}" for i, (a, b) in enumerate((p, q) for j, p in enumerate(("nx", "ny", "nz", "d")) for q in ("nx", "ny", "nz", "d")[j:])) + " from held group by v"
+_PAIRED = "select distinct least(v,w) as lo, greatest(v,w) as hi from (select unnest([v0,v1,v2]) v, unnest([v1,v2,v0]) w from v_triangles)"
+_JOINT = "select e.lo, e.hi, u.x ux, u.y uy, u.z uz, v.x vx, v.y vy, v.z vz, " + ", ".join(f"a.q{i}+b.q{i} as q{i}" for i in range(10)) + " from paired e join qs a on a.v=e.lo join qs b on b.v=e.hi join v_vertices u on u.vertex_id=e.lo join v_vertices v on v.vertex_id=e.hi"
+_ERR_AT = lambda x, y, z: f"(q0*{x}*{x}+q4*{y}*{y}+q7*{z}*{z}+q9+2*(q1*{x}*{y}+q2*{x}*{z}+q5*{y}*{z}+q3*{x}+q6*{y}+q8*{z}))"
+_SOLVED = "select *, -((q4*q7-q5*q5)*q3+(q2*q5-q1*q7)*q6+(q1*q5-q2*q4)*q8)/det sx, -((q2*q5-q1*q7)*q3+(q0*q7-q2*q2)*q6+(q1*q2-q0*q5)*q8)/det sy, -((q1*q5-q2*q4)*q3+(q1*q2-q0*q5)*q6+(q0*q4-q1*q1)*q8)/det sz from (select *, q0*(q4*q7-q5*q5)+q1*(q2*q5-q1*q7)+q2*(q1*q5-q2*q4) as det, ((q0+q4+q7)/3)**3 as scale from joint)"
+
+
+@query(with_views(f"select lo, hi, {R(f'greatest(case when abs(det) > 1e-9*scale then {_ERR_AT("sx", "sy", "sz")} else least({_ERR_AT("((ux+vx)/2)", "((uy+vy)/2)", "((uz+vz)/2)")}, {_ERR_AT("ux", "uy", "uz")}, {_ERR_AT("vx", "vy", "vz")}) end, 0)')} as cost from solved", k=_CORNERS, pl=_PLANES, rims=_RIMS, upright=_UPRIGHT, held=_HELD, qs=_QUADRICS, paired=_PAIRED, joint=_JOINT, solved=_SOLVED))
+def quadric_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each edge's collapse costs at first."""
+    t = X.triangles(spark, sf_dir)
+    found = reshaped.collapse_costs(reshaped.quadrics(X.vertices(spark, sf_dir), t), reshaped.edge_faces(t).select("lo", "hi"))
+    return rounded(found.select("lo", "hi", "cost"))
+
+
+@query(with_views(f"select {', '.join(f'{R(f"sum(q{i})")} as q{i}' for i in range(10))} from qs", k=_CORNERS, pl=_PLANES, rims=_RIMS, upright=_UPRIGHT, held=_HELD, qs=_QUADRICS))
+def quadric_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reshaped.quadrics(X.vertices(spark, sf_dir), X.triangles(spark, sf_dir)).agg(*[F.sum(q).alias(q) for q in reshaped.QUADRIC]))
+
+
+@query()
+def decimated_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces and vertices left of a mesh of which edges collapse until three quarters of the faces are left."""
+    t = X.triangles(spark, sf_dir)
+    wanted = t.count() * 3 // 4
+    v, t = reshaped.decimated(X.vertices(spark, sf_dir), t, wanted)
+    return t.agg(F.count("*").alias("n_faces"), F.lit(wanted).cast("bigint").alias("wanted")).join(v.agg(F.count("*").alias("n_vertices")))
+
+
 @query()
 def midpoint_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, t = mesh.subdivided(X.vertices(spark, sf_dir).select("vertex_id", "x", "y", "z"), X.triangles(spark, sf_dir), 0.2)
