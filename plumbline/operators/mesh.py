@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as G
 from plumbline.operators.pyramid import Pyramid
+from plumbline.operators.quantiles import with_percentiles
 from plumbline.store import stored
 
 CORNERS = ("v0", "v1", "v2")
@@ -62,14 +63,14 @@ def edge_lengths(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def edge_statistics(triangles: DataFrame, vertices: DataFrame, target: float) -> DataFrame:
     """Moments and percentiles of edge lengths, and the shares within [0.8, 1.33], under 0.5 and over 2 targets, in percent."""
-    e, x = edge_lengths(triangles, vertices), F.col("length")
+    e, x = stored(edge_lengths(triangles, vertices).select("length"), "lengths"), F.col("length")
     share = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
     out = e.agg(
         F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("p"),
         share((x >= 0.8 * target) & (x <= 1.33 * target)).alias("in_zone"), share(x < 0.5 * target).alias("short"), share(x > 2 * target).alias("long"),
     )
-    return out.select("mean", "std", (F.col("std") / F.col("mean")).alias("cov"), "min", "max", *[F.col("p")[i].alias(f"p{n}") for i, n in enumerate((5, 25, 50, 75, 95))], "in_zone", "short", "long")
+    out = with_percentiles(out, e, "length", {f"p{n}": n / 100 for n in (5, 25, 50, 75, 95)})
+    return out.select("mean", "std", (F.col("std") / F.col("mean")).alias("cov"), "min", "max", *[f"p{n}" for n in (5, 25, 50, 75, 95)], "in_zone", "short", "long")
 
 
 def quality(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -81,6 +82,12 @@ def quality(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return t.select("face_id", "area", G.triangle_quality(*sides, F.col("area")).alias("quality"))
 
 
+def quality_statistics(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Mean and exact 10th percentile of the faces' quality."""
+    q = stored(quality(triangles, vertices).select("quality"), "quality")
+    return with_percentiles(q.agg(F.avg("quality").alias("mean_quality")), q, "quality", {"p10_quality": 0.1})
+
+
 def face_normals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     t = corners(triangles, vertices)
     n = G.cross(G.minus(corner("b"), corner("a")), G.minus(corner("c"), corner("a")))
@@ -160,9 +167,10 @@ def normal_deviation(hits: DataFrame) -> DataFrame:
     """Statistics of the angle between each query's normal and that of the surface where it is nearest."""
     size = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz"))
     dot = (F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz")) / F.greatest(size, F.lit(1e-30))
-    rows = hits.select(dot.alias("dot"), F.degrees(F.acos(F.least(F.abs(dot), F.lit(1.0)))).alias("angle"), (size < 1e-12).alias("flat"))
-    out = rows.agg(F.avg("dot").alias("mean_dot"), F.stddev_pop("dot").alias("std_dot"), F.avg("angle").alias("mean_angle"), F.stddev_pop("angle").alias("std_angle"), F.percentile("angle", F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)])).alias("p"), F.max("angle").alias("max_angle"), F.avg(F.when(F.col("dot") < 0, 100.0).otherwise(0.0)).alias("negative_percent"), F.count_if("flat").alias("degenerate"), F.count("*").alias("n"))
-    return out.select("mean_dot", "std_dot", "mean_angle", "std_angle", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))], "max_angle", "negative_percent", "degenerate", "n")
+    rows = stored(hits.select(dot.alias("dot"), F.degrees(F.acos(F.least(F.abs(dot), F.lit(1.0)))).alias("angle"), (size < 1e-12).alias("flat")), "angles")
+    out = rows.agg(F.avg("dot").alias("mean_dot"), F.stddev_pop("dot").alias("std_dot"), F.avg("angle").alias("mean_angle"), F.stddev_pop("angle").alias("std_angle"), F.max("angle").alias("max_angle"), F.avg(F.when(F.col("dot") < 0, 100.0).otherwise(0.0)).alias("negative_percent"), F.count_if("flat").alias("degenerate"), F.count("*").alias("n"))
+    out = with_percentiles(out, rows, "angle", {f"p{q}": q / 100 for q in (50, 90, 95, 99)})
+    return out.select("mean_dot", "std_dot", "mean_angle", "std_angle", "p50", "p90", "p95", "p99", "max_angle", "negative_percent", "degenerate", "n")
 
 
 def relabelled(triangles: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.operators.quantiles import with_percentiles
+from plumbline.store import stored
 
 XYZ = ("x", "y", "z")
 
@@ -75,11 +77,11 @@ def recentre(points: DataFrame) -> DataFrame:
     return centred.select(*[c for c in points.columns if c not in XYZ], *[(F.col(c) - (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(c) for c in XYZ])
 
 
-def distance_statistics(distances: DataFrame, d: str = "d", *keys: str) -> DataFrame:
+def distance_statistics(distances: DataFrame, d: str = "d") -> DataFrame:
     """min, max, mean, population deviation and the exact 50th, 90th, 95th and 99th percentiles."""
-    cuts = F.percentile(d, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)]))
-    out = distances.groupBy(*keys).agg(F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), cuts.alias("p"), F.count(d).alias("n"))
-    return out.select(*keys, "min", "max", "mean", "std", *[F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "n")
+    kept = stored(distances.select(d), "distances")
+    out = kept.agg(F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.count(d).alias("n"))
+    return with_percentiles(out, kept, d, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 def histogram(distances: DataFrame, reach: float, bins: int, d: str = "d") -> DataFrame:

@@ -191,8 +191,7 @@ def triangle_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_views(f"select {R('avg(q)')} as mean_quality, {R('quantile_cont(q, 0.1)')} as p10_quality from (select 2*(greatest(area,1e-12)/((ab+bc+ca)/2))/(ab*bc*ca/(4*greatest(area,1e-12))) as q from s)", k=_CORNERS, s=_SIDES))
 def quality_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = mesh.quality(X.triangles(spark, sf_dir), X.vertices(spark, sf_dir))
-    return rounded(q.agg(F.avg("quality").alias("mean_quality"), F.percentile("quality", F.lit(0.1)).alias("p10_quality")))
+    return rounded(mesh.quality_statistics(X.triangles(spark, sf_dir), X.vertices(spark, sf_dir)))
 
 
 _NORMALS = "select vertex_id, sum(nx) sx, sum(ny) sy, sum(nz) sz from (select unnest([v0,v1,v2]) as vertex_id, nx, ny, nz from (select t.v0, t.v1, t.v2, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) ny, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) nz from k join v_triangles t using (face_id))) group by vertex_id"
@@ -267,7 +266,10 @@ def decimated_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("n_faces"), F.lit(wanted).cast("bigint").alias("wanted")).join(v.agg(F.count("*").alias("n_vertices")))
 
 
-@query()
+_LONG = "select face_id, v, w from (select t.face_id, unnest([v0,v1,v2]) v, unnest([v1,v2,v0]) w, unnest([ab,bc,ca]) l from s join v_triangles t using (face_id)) where l > cast(0.2 as double)"
+
+
+@query(with_views(f"select (select count(*) from v_triangles) + (select count(*) from long_sides) as n_faces, (select count(*) from v_vertices) + (select count(distinct (least(v,w), greatest(v,w))) from long_sides) as n_vertices, (select {R('sum(area)')} from s) as area", k=_CORNERS, s=_SIDES, long_sides=_LONG))
 def midpoint_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, t = mesh.subdivided(X.vertices(spark, sf_dir).select("vertex_id", "x", "y", "z"), X.triangles(spark, sf_dir), 0.2)
     return rounded(t.agg(F.count("*").alias("n_faces")).join(v.agg(F.count("*").alias("n_vertices"))).join(mesh.quality(t, v).agg(F.sum("area").alias("area"))))
