@@ -12,7 +12,7 @@ def test_against_numpy(spark, kind, monkeypatch):
     monkeypatch.setattr(Q, "BINS", 16)
     rng = random.Random(2)
     values = {
-        "normal": [rng.gauss(0, 1) for _ in range(997)], "ties": [rng.choice([1.0, 1.0, 2.0, -0.0, 0.0]) for _ in range(300)], "huge": [rng.uniform(-1.7e308, 1.7e308) for _ in range(200)],
+        "normal": [rng.gauss(0, 1) for _ in range(997)], "ties": [rng.choice([1.0, 1.0, 2.0, -0.0, 0.0]) for _ in range(300)], "huge": [rng.choice([-1, 1]) * rng.uniform(0, 1.7e308) for _ in range(200)],
         "tiny": [1.0 + k * 2.0**-52 for k in range(40)], "one": [3.5], "skewed": [10.0 ** rng.uniform(-300, 300) for _ in range(300)],
     }[kind]
     shares = [0.0, 0.05, 0.1, 0.5, 0.9, 0.99, 1.0]
