@@ -9,7 +9,8 @@ is in it, on all levels. Branches of low importance are removed from each page,
 
 What HTML itself names is not left to statistics, so hosts of one page work too: navigation, headers, footers, asides,
 forms, scripts and elements named as what differs from page to page without being the page's text (adverts, comments,
-related links) always go, outside <article> and <main> also those named as menus, notices or the like. Inside, such names
+related links) always go, outside <article> and <main> also those named as menus, notices or the like; but a name, or a form, never takes away a
+branch that holds most of the page's paragraphs, unless it is readers' comments. Inside, such names
 are a prior: the element goes unless its place is known to carry something, and headings and sections, whose ids are
 made from their own words, are not judged by ids, nor is an article's own header by its name. A page with <article> or
 <main> has its text there (unless paragraphs outside outweigh it) and in places outside that are known to carry something.
@@ -60,11 +61,14 @@ VARIED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w
 OWN = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)
 #: Elements whose ids are made from their headings' words.
 SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of readers' comments, which may outweigh the page's own text.
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond)(?=$|[\s_-])", re.I)
 MAIN = frozenset(("article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "place", "label", "gone", "main", "named", "children", "depth")
+    __slots__ = ("tag", "parent", "place", "label", "gone", "never", "doubted", "main", "named", "children", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str) -> None:
         self.tag, self.parent, self.children = tag, parent, []
@@ -80,13 +84,43 @@ class Node:
         words = named.get("class", "") if inside and tag in SLUGGED else classes
         judged = bool(words) and tag not in ("html", "body", "article", "main")
         #: Named as no part of the text, if its place isn't known to carry something.
-        inner = OWN.sub(" ", words) if inside else words
+        inner = OWN.sub(" ", words) if inside or tag in HEADINGS else words
         self.named = judged and inside and bool(NAMED.search(inner)) and not VARIED.search(inner)
-        self.gone = bool(
-            parent and parent.gone or tag in NEVER or tag == "header" and not inside or role in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
-            or judged and not self.named and NAMED.search(inner)
-            or tag == "article" and classes and re.search(r"comment", classes, re.I)
+        #: What goes whatever it holds, and what goes by its name or as a form unless most of the page's text is in it.
+        self.never = bool(
+            tag in NEVER and tag != "form" or tag == "header" and not inside or role in ROLES and role != "form" or "hidden" in named or named.get("aria-hidden") == "true"
+            or judged and REMARKS.search(inner) or tag == "article" and classes and re.search(r"comment", classes, re.I)
         )
+        self.doubted = not self.never and bool(tag == "form" or role == "form" or judged and not self.named and NAMED.search(inner))
+        self.gone = False
+
+
+def settle(events: list[tuple[int, object]]) -> None:
+    """Decides what goes: elements that always do, and doubted ones that hold at most half of the page's paragraphs, or of its text where it has none; with them all inside."""
+    held: dict[int, list[int]] = {}
+    stack: list[Node] = []
+    never = paragraphs = 0
+    total = [0, 0]
+    for kind, x in events:
+        if kind == 1:
+            if not never and (size := len(x) - x.count(" ")):
+                for k in (0, 1) if paragraphs else (0,):
+                    total[k] += size
+                    for node in stack:
+                        held[id(node)][k] += size
+            continue
+        step = 1 - kind
+        never += step * x.never
+        paragraphs += step * (x.tag == "p")
+        if x.doubted and kind == 0:
+            stack.append(x)
+            held[id(x)] = [0, 0]
+        elif x.doubted:
+            stack.pop()
+    k = 1 if total[1] else 0
+    for kind, x in events:
+        if kind == 0:
+            x.gone = x.parent.gone or x.never or x.doubted and 2 * held[id(x)][k] <= total[k]
 
 
 def parse(html: str) -> list[tuple[int, object]]:
@@ -143,6 +177,7 @@ def parse(html: str) -> list[tuple[int, object]]:
             opened.setdefault(tag, []).append(len(stack))
             stack.append(node)
     close_to(1)
+    settle(events)
     return events
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from plumbline.llm import html_main as H
 
 SCHEMA = "page_id bigint, url string, html string, host string, low string, text string"
@@ -108,3 +110,30 @@ def test_long_deep_and_unclosed_pages():
     assert H.main_text("<p><button></button>" + "<ul><b>" * 30_000 + "y") == "y"
     assert len(H.main_text("<article>" + "z" * 3_000_000)) == 3_000_000
     assert time.time() - began < 30
+
+
+ARTICLE = "<p>First words of the story that is told here at length.</p><p>Second words, which end it.</p>"
+TOLD = "First words of the story that is told here at length.\nSecond words, which end it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content with-sidebar">{ARTICLE}</div>',
+        f'<div id="page" class="no-sidebar single">{ARTICLE}<div class="share">Share it</div></div>',
+        f'<div class="market share-price">{ARTICLE}</div><div class="footer">All rights</div>',
+        f'<form id="aspnetForm"><div class="menu"><a>Home</a></div>{ARTICLE}<input name="q"></form>',
+        f'<div class="no-header"><div class="page-with-banner">{ARTICLE}</div></div><aside><p>Aside of many more words than the text has, of many more words than the text has, of many more words.</p></aside>',
+    ],
+)
+def test_names_never_take_most_of_a_page(page):
+    assert H.main_text(f"<html><body>{page}</body></html>") == TOLD
+
+
+def test_headings_are_not_judged_as_headers():
+    assert H.main_text(f'<body><h1 class="page-header">Title</h1>{ARTICLE}</body>') == f"Title\n{TOLD}"
+
+
+def test_comments_and_real_forms_still_go():
+    more = "<p>A remark that is longer than all of the story.</p>" * 20
+    assert H.main_text(f'<body><div class="story">{ARTICLE}</div><div class="comments">{more}</div><form><p>Your name</p><label>Mail</label></form></body>') == TOLD
