@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import arrow_map, new_path, table
+from plumbline.llm.words import span_hashes
 
 END_ID = 2
 #: Text bytes a record file is made of; a file is read back as a whole.
 FILE_BYTES = 16 << 20
-#: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers before it starts afresh, at about 35 bytes a word.
+CACHE_WORDS = 2_000_000
+#: Bytes of text whose words are looked up at once.
+PART_BYTES = 1 << 20
 MASK_DELTA = 0xA282EAD8
 
 
@@ -72,6 +75,8 @@ class Encoder:
     In byte-level vocabularies a space or line feed between two characters that are no white space begins a pre-token, and
     a line feed there is one by itself. So the ids of a text whose only white space are such single characters are those
     of its words, each with the space or line feed before it. Any other text is encoded whole.
+
+    Words are looked up by 64-bit hashes, all of a part of text at once; a word's ids lie in one flat array, from which those of all words are taken together.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,44 +86,109 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.wide = size > 0xFFFF
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        #: Ids of words: "\n" before a word stands for itself, and no "\n" for a space.
-        self.known: dict[str, bytes] = {}
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.begins = {" ": np.array([n.startswith("\u0120") for n in names]), "\n": np.array([n.startswith("\u010a") for n in names])}
         #: Texts that hold a special token's string are encoded whole.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Ascending hashes of known words with what is before them, where their ids begin in flat, and how many they are.
+        self.keys, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, self.dtype)
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def learn(self, words: list[str], before: str) -> None:
-        """Remembers words that follow a space or line feed: one text of them all, cut where ids begin with that."""
-        width = self.dtype.itemsize
+    def _learnt(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of words that follow a space or line feed, which a line feed's words begin with: texts of many, cut where ids begin with that."""
+        data, counts = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
         for a in range(0, len(words), 20_000):
             part = words[a : a + 20_000]
-            data = self.ids("".join(part) if before == "\n" else " " + " ".join(part))
-            cuts = (np.flatnonzero(self.begins[before][np.frombuffer(data, dtype=self.dtype)]) * width).tolist()
+            ids = self.ids("".join(part))
+            cuts = np.flatnonzero(self.begins[before][ids])
             if len(cuts) != len(part):
                 raise ValueError("the vocabulary does not begin a token at each space")
-            self.known.update(zip(part, (data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)), strict=True))
+            data.append(ids)
+            counts.append(np.diff(np.append(cuts, len(ids))))
+        return np.concatenate(data), np.concatenate(counts)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Remembers words, each with the space or line feed before it, by their ascending hashes."""
+        for before in " \n":
+            chosen = np.array([i for i, w in enumerate(words) if w[0] == before], dtype=np.int64)
+            ids, n = self._learnt([words[i] for i in chosen.tolist()], before)
+            at = len(self.flat) + np.cumsum(n) - n
+            self.flat = np.concatenate([self.flat, ids])
+            place = np.searchsorted(self.keys, hashes[chosen])  # hashes ascend
+            self.keys, self.at, self.n = (np.insert(old, place, new) for old, new in ((self.keys, hashes[chosen]), (self.at, at), (self.n, n)))
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words one after another, where each word's begin, where each word begins in data) of text that starts with a space or line feed."""
+        buf = np.frombuffer(data, dtype=np.uint8)
+        starts = np.flatnonzero((buf == 0x20) | (buf == 0x0A))
+        ends = np.append(starts[1:], len(buf))
+        keys, first, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        while True:
+            place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), dtype=bool)
+            if not new.any():
+                break
+            if len(self.keys) > CACHE_WORDS:  # all words of this part are learnt anew
+                self._forget()
+                new[:] = True
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self.learn(keys[new], [data[a:b].decode() for a, b in spans])
+        n = self.n[place][back]
+        ends = np.cumsum(n)
+        begins = ends - n
+        ids = self.flat[np.repeat(self.at[place][back] - begins, n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, begins, starts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without the end id."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        split: list[list[str] | None] = []
-        for text in texts:
+        out: list[bytes] = [b""] * len(texts)
+        run, size = [], 0
+        for i, text in enumerate(texts):
             core = text.removesuffix("\n")
             # Equal only if single spaces and line feeds, each between two words, are all the white space there is.
-            plain = core != "" and " ".join(core.split()) == core.replace("\n", " ") and not any(s in text for s in self.special)
-            split.append(("\n" + text).replace("\n", " \n").split(" ")[1:] if plain else None)
-        new = set().union(*filter(None, split)).difference(self.known)
-        lines = [w for w in new if w[0] == "\n"]
-        self.learn(lines, "\n")
-        self.learn(list(new.difference(lines)), " ")
-        # A line feed was put before each text; its id goes again.
-        return [self.ids(t) if words is None else b"".join(map(self.known.__getitem__, words))[self.dtype.itemsize :] for t, words in zip(texts, split, strict=True)]
+            if not (core != "" and " ".join(core.split()) == core.replace("\n", " ") and not any(s in text for s in self.special)):
+                out[i] = self.ids(text).tobytes()
+                continue
+            # A line feed is put before each text; its id goes again.
+            data = b"\n" + text.encode()
+            if len(data) > PART_BYTES:
+                out[i] = b"".join(self._words(part)[0].tobytes() for part in _parts(data))[self.dtype.itemsize :]
+                continue
+            if run and size + len(data) > PART_BYTES:
+                self._encode_run(run, out)
+                run, size = [], 0
+            run.append((i, data))
+            size += len(data)
+        if run:
+            self._encode_run(run, out)
+        return out
+
+    def _encode_run(self, run: list[tuple[int, bytes]], out: list[bytes]) -> None:
+        ids, begins, starts = self._words(b"".join(data for _, data in run))
+        cuts = np.cumsum([0] + [len(data) for _, data in run])[:-1]
+        first = begins[np.searchsorted(starts, cuts)].tolist()
+        for (i, _), a, b in zip(run, first, [*first[1:], len(ids)], strict=True):
+            out[i] = ids[a + 1 : b].tobytes()
+
+
+def _parts(data: bytes) -> Iterator[bytes]:
+    """A long text in parts that begin with a space or line feed."""
+    at = 0
+    while len(data) - at > PART_BYTES:
+        end = max(data.rfind(c, at + 1, at + PART_BYTES) for c in (b" ", b"\n"))
+        if end < 0:
+            end = min((p for c in (b" ", b"\n") if (p := data.find(c, at + PART_BYTES)) >= 0), default=len(data))
+        yield data[at:end]
+        at = end
+    if at < len(data):
+        yield data[at:]
 
 
 @lru_cache(maxsize=1)

@@ -79,6 +79,14 @@ def word_spans(buf: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, mix(raw)
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of buf."""
+    up, down = _BYTE_POWERS.get(len(buf) + 1)
+    total = np.zeros(len(buf) + 1, dtype=U64)
+    np.cumsum((buf.astype(U64) + U64(1)) * up[: len(buf)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 def doc_hashes(text: bytes, is_word: np.ndarray = BLANK_SPLIT, lower: bool = False) -> np.ndarray:
     """The word hashes of one text of any length, by segments; a word may cross segments."""
     parts, open_raw, open_len = [], None, 0

@@ -98,3 +98,15 @@ def test_token_counts(docs, rows):
         words = (r[1] or "").encode().split()
         expected.add((r[0], len(words), sum(machine.count(b" " + w) for w in words)))
     assert got == expected
+
+
+def test_words_in_parts_and_after_forgetting(monkeypatch):
+    """Long texts are cut between words, and a full memory starts afresh."""
+    monkeypatch.setattr(T, "PART_BYTES", 200)
+    monkeypatch.setattr(T, "CACHE_WORDS", 40)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    texts = [rng.choice(["", "", "\n"]).join([" ".join(rng.choice(words) for _ in range(n)), ""]) for n in (3, 500, 40, 1, 0, 80, 7)] + ["x" * 900, "a\nb " * 100 + "c", "a " + "y" * 700 + " b\n"]
+    e = T.Encoder(PATH)
+    got = [np.frombuffer(b, e.dtype).tolist() for b in e.encode(texts)]
+    assert got == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
