@@ -365,24 +365,6 @@ def barycentric(p: tuple, a: tuple, b: tuple, c: tuple) -> tuple[Column, Column,
     return u / total, v / total, w / total
 
 
-def closest_on_triangle(p: tuple, a: tuple, b: tuple, c: tuple) -> tuple[Column, Column, Column]:
-    """The triangle's point that is nearest to p: the foot if inside, else the best foot on an edge."""
-
-    def on_edge(s: tuple, e: tuple) -> tuple:
-        d = minus(e, s)
-        t = clamp(F.coalesce(dot(minus(p, s), d) / F.nullif(dot(d, d), F.lit(0.0)), F.lit(0.0)), 0.0, 1.0)
-        return tuple(s[i] + t * d[i] for i in range(3))
-
-    n = cross(minus(b, a), minus(c, a))
-    nn = dot(n, n)
-    h = F.coalesce(dot(minus(p, a), n) / F.nullif(nn, F.lit(0.0)), F.lit(0.0))
-    foot = tuple(p[i] - h * n[i] for i in range(3))
-    inside = (nn > 0) & (dot(cross(minus(b, a), minus(foot, a)), n) >= 0) & (dot(cross(minus(c, b), minus(foot, b)), n) >= 0) & (dot(cross(minus(a, c), minus(foot, c)), n) >= 0)
-    edges = [on_edge(a, b), on_edge(b, c), on_edge(c, a)]
-    best = F.least(*[F.struct(dot(minus(p, e), minus(p, e)).alias("d"), e[0].alias("x"), e[1].alias("y"), e[2].alias("z")) for e in edges])
-    return tuple(F.when(inside, f).otherwise(best[k]) for f, k in zip(foot, "xyz", strict=True))
-
-
 def box_volume(lo: tuple, hi: tuple) -> Column:
     sides = [F.greatest(h - low, F.lit(0.0)) for low, h in zip(lo, hi, strict=True)]
     return sides[0] * sides[1] * sides[2]
