@@ -13,6 +13,7 @@ volumes.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ def boxed(points: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFr
     return points.select("*", *[F.col(c).alias(f"{e}{a}") for e in ("lo_", "hi_") for a, c in zip(AXES, (x, y, z), strict=True)])
 
 
+def _meets_box() -> Column:
+    """Whether the ray meets the box: what the three pairs of planes leave of it isn't empty. Boxes are widened by what rounding may take."""
+    inside, enters, leaves = F.lit(True), [F.lit(0.0)], []
+    for a in AXES:
+        o, d, low, high = F.col(f"o{a}"), F.col(f"d{a}"), F.col(f"lo_{a}"), F.col(f"hi_{a}")
+        slack = (F.abs(o) + F.abs(low) + F.abs(high)) * (SLACK - 1)
+        first, second = (low - slack - o) / F.nullif(d, F.lit(0.0)), (high + slack - o) / F.nullif(d, F.lit(0.0))
+        inside = inside & ((d != 0) | ((o >= low - slack) & (o <= high + slack)))
+        enters.append(F.least(first, second))
+        leaves.append(F.greatest(first, second))
+    return inside & (F.greatest(*enters) <= F.least(*leaves))
+
+
 class Pyramid:
     """items: any columns, and lo_x .. hi_z. Only a few numbers and the coarsest 64 cells reach the driver."""
 
@@ -71,15 +85,24 @@ class Pyramid:
 
         queries: key, x, y, z and more; none of the names that items have.
         """
+        return self._descended(queries, lambda left: self._kept(left, key, k, reach, queries.columns))
+
+    def met(self, rays: DataFrame) -> DataFrame:
+        """rays' columns with the columns of every item in a finest cell whose box a ray meets.
+
+        rays: ox, oy, oz (origin), dx, dy, dz (direction, not zero) and more, all finite; none of the names that items have.
+        """
+        return self._descended(rays, lambda left: left.filter(_meets_box()).select(*rays.columns, *_CELL))
+
+    def _descended(self, queries: DataFrame, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """queries with the items of the finest cells that are left; kept says which cells of a level are."""
         if not self.count:
             return queries.join(self.items.drop(*_BOX), F.lit(False))
         top = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in (*_CELL, "n", *_BOX)]) for r in self.top])
-        left = queries.select("*", F.explode(top).alias("cell")).select(*queries.columns, "cell.*")
-        left = self._kept(left, key, k, reach, queries.columns)
+        left = kept(queries.select("*", F.explode(top).alias("cell")).select(*queries.columns, "cell.*"))
         for cells in self.levels[1:]:
             children = cells.select(*[F.floor(F.col(c) / 4).cast("bigint").alias(f"up_{c}") for c in _CELL], *_CELL, "n", *_BOX)
-            left = left.select(*queries.columns, *[F.col(c).alias(f"up_{c}") for c in _CELL]).join(children, [f"up_{c}" for c in _CELL])
-            left = self._kept(left, key, k, reach, queries.columns)
+            left = kept(left.select(*queries.columns, *[F.col(c).alias(f"up_{c}") for c in _CELL]).join(children, [f"up_{c}" for c in _CELL]))
         return left.select(*queries.columns, *_CELL).join(self.items.drop(*_BOX), _CELL).drop(*_CELL)
 
     @staticmethod

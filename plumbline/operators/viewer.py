@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.operators.pyramid import Pyramid
 
 # Limits that results must equal.
 WIRE_FACES, SOFT_BYTES = 2_700_000, 256 * 1024 * 1024 - 8 * 1024 * 1024
@@ -35,17 +40,20 @@ def visible_box(objects: DataFrame) -> DataFrame:
 
 
 def hits(rays: DataFrame, corners: DataFrame) -> DataFrame:
-    """(ray_id, face_id, ignored, t) of every triangle that a ray meets.
+    """(ray_id, face_id, ignored, t) of every triangle that a ray meets, for any number of rays.
 
-    rays: ray_id, ox .. dz, few (a broadcast of checked size: a user's picks); corners: face_id, ignored, a_x .. c_z.
+    rays: ray_id, ox .. dz; corners: face_id, ignored, a_x .. c_z. Rays go down a pyramid of the triangles' boxes into those
+    cells only that they meet, so a ray is tried on the triangles along it. Rays and triangles with a null, infinite or NaN
+    coordinate and rays without a direction meet nothing; a ray on a triangle's plane doesn't meet it.
     """
-    few = rays.limit(1001)
-    if few.count() > 1000:
-        raise ValueError("more than 1,000 rays at once")
+    finite = lambda names: reduce(and_, [F.abs(F.col(c)) < math.inf for c in names])
+    ends, places = [f"{p}{c}" for p in "od" for c in XYZ], [f"{p}_{c}" for p in "abc" for c in XYZ]
+    lines = rays.select("ray_id", *[F.col(c).cast("double").alias(c) for c in ends]).filter(finite(ends) & (F.greatest(*[F.abs(F.col(c)) for c in ends[3:]]) > 0))
+    faces = corners.select("face_id", "ignored", *[F.col(c).cast("double").alias(c) for c in places]).filter(finite(places))
+    box = [f(*[f"{p}_{c}" for p in "abc"]).alias(f"{e}{c}") for e, f in (("lo_", F.least), ("hi_", F.greatest)) for c in XYZ]
     at = lambda p: tuple(F.col(f"{p}{c}") for c in XYZ)
     t = G.ray_triangle(at("o"), at("d"), at("a_"), at("b_"), at("c_"))
-    met = corners.join(F.broadcast(rays), F.greatest(F.abs(F.col("dx")), F.abs(F.col("dy")), F.abs(F.col("dz"))) > 0)
-    return met.select("ray_id", "face_id", "ignored", t.alias("t")).filter("t is not null")
+    return Pyramid(faces.select("*", *box)).met(lines).select("ray_id", "face_id", "ignored", t.alias("t")).filter("t is not null")
 
 
 def picked(hits: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from plumbline.operators import mesh as M
 from plumbline.operators import neighbours as N
 from plumbline.operators import points as P
 from plumbline.operators import registration as R
+from plumbline.operators import viewer as V
 
 RNG = np.random.default_rng(0)
 
@@ -204,3 +205,62 @@ def test_voxels_clips_and_centres(spark):
     box = P.bounding_box(P.recentre(p)).first()
     assert box["min_x"] == -box["max_x"] == -2.5
     assert P.effective_box((0, 0, 0), (1, 1, 1), {"x_min": 0.2, "x_max": 0.3}, inset=True)[1][0] == 0.7
+
+
+def _met(rays, corners):
+    """Brute force: every ray against every triangle."""
+    out = {}
+    for r, ray in enumerate(rays):
+        o, d = np.array(ray[:3]), np.array(ray[3:])
+        for f, corner in enumerate(corners):
+            a, b, c = np.array(corner).reshape(3, 3)
+            det = np.dot(b - a, np.cross(d, c - a))
+            if not det:
+                continue
+            u, v = np.dot(o - a, np.cross(d, c - a)) / det, np.dot(d, np.cross(o - a, b - a)) / det
+            t = np.dot(c - a, np.cross(o - a, b - a)) / det
+            if u >= 0 and v >= 0 and u + v <= 1 and t >= 0:
+                out[r, f] = t
+    return out
+
+
+_RAY, _CORNERS = "ray_id bigint, " + ", ".join(f"{p}{c} double" for p in "od" for c in "xyz"), "face_id bigint, ignored boolean, " + ", ".join(f"{p}_{c} double" for p in "abc" for c in "xyz")
+
+
+def test_rays_meet_what_brute_force_says(spark):
+    at = RNG.uniform(-3, 3, size=(400, 3))
+    corners = np.concatenate([at, at + RNG.normal(scale=0.8, size=(400, 3)), at + RNG.normal(scale=0.8, size=(400, 3))], axis=1)
+    corners[:4, 2::3] = 1.0  # flat across an axis
+    corners[4:7] = corners[3]  # repeated
+    corners[7] = np.tile(corners[7][:3], 3)  # no area
+    rays = np.concatenate([RNG.uniform(-5, 5, size=(60, 3)), RNG.normal(size=(60, 3))], axis=1)
+    rays[:20, 3:5] = 0.0  # along an axis, both ways
+    for k in range(4):
+        rays[k, :2] = corners[k].reshape(3, 3).mean(axis=0)[:2]
+        rays[k, 2] = 6.0 * (-1) ** k
+        rays[k, 5] = -rays[k, 2]
+    want = _met(rays, corners)
+    assert len(want) > 30
+    odd_rays = [(900, *[0.0] * 6), (901, None, 0.0, 0.0, 1.0, 0.0, 0.0), (902, float("nan"), 0.0, 0.0, 1.0, 0.0, 0.0), (903, 0.0, 0.0, 0.0, float("inf"), 0.0, 0.0)]
+    odd_faces = [(900, False, None, *[0.0] * 8), (901, False, float("nan"), *[1.0] * 8), (902, False, float("inf"), *[1.0] * 8)]
+    lines = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rays)] + odd_rays, _RAY)
+    faces = spark.createDataFrame([(k, k % 3 == 0, *map(float, c)) for k, c in enumerate(corners)] + odd_faces, _CORNERS)
+    got = V.hits(lines, faces)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    found = {(r.ray_id, r.face_id): r.t for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[k] - want[k]) < 1e-9 * max(1, want[k]) for k in want)
+    assert V.hits(lines, faces.limit(0)).count() == 0 and V.hits(lines.limit(0), faces).count() == 0
+
+
+def test_many_rays_try_few_triangles(spark):
+    """A plate of 5,000 triangles and 2,000 rays through it: more rays than a user picks, far fewer trials than pairs."""
+    cell = F.struct((F.col("id") % 50).alias("i"), F.floor(F.col("id") / 50).alias("j"))
+    plate = spark.range(2500).select("id", cell.alias("g")).select("id", F.col("g.i").cast("double").alias("x"), F.col("g.j").cast("double").alias("y"))
+    low = plate.selectExpr("2*id as face_id", "false as ignored", "x as a_x", "y as a_y", "0d as a_z", "x+1 as b_x", "y as b_y", "0d as b_z", "x as c_x", "y+1 as c_y", "0d as c_z")
+    high = plate.selectExpr("2*id+1 as face_id", "false as ignored", "x+1 as a_x", "y+1 as a_y", "0d as a_z", "x as b_x", "y+1 as b_y", "0d as b_z", "x+1 as c_x", "y as c_y", "0d as c_z")
+    rays = spark.range(2000).selectExpr("id as ray_id", "id % 50 + 0.3d as ox", "id % 47 + 0.3d as oy", "9d as oz", "0d as dx", "0d as dy", "-1d as dz")
+    faces = low.unionAll(high)
+    assert V.picked(V.hits(rays, faces)).filter("first = 2 * ((ray_id % 50) + 50 * (ray_id % 47)) and abs(first_t - 9) < 1e-9").count() == 2000
+    tried = V.Pyramid(faces.selectExpr("*", *[f"least(a_{c}, b_{c}, c_{c}) as lo_{c}" for c in "xyz"], *[f"greatest(a_{c}, b_{c}, c_{c}) as hi_{c}" for c in "xyz"])).met(rays)
+    assert tried.count() < 2000 * 60
