@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.mesh import CORNERS
+from plumbline.operators.ranks import in_order, ranked
 from plumbline.sources.files import opened
+from plumbline.sources.records import RecordSink, discard, staging_beside
 
 # PLY's names of number types.
 _PLY = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -231,6 +234,11 @@ def with_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     return joined.withColumns({f"n{c}": F.coalesce(f"n{c}", f"m{c}") for c in "xyz"}).select(vertices.columns)
 
 
+def ply_header(n_vertices: int | str, n_faces: int | str, colored: bool) -> str:
+    props = "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in (("red", "green", "blue") if colored else ()))
+    return f"ply\nformat binary_little_endian 1.0\nelement vertex {n_vertices}\n{props}element face {n_faces}\nproperty list uchar int vertex_indices\nend_header\n"
+
+
 def ply_bytes(places: np.ndarray, faces: np.ndarray, colors: np.ndarray | None = None) -> bytes:
     """Single-precision coordinates, faces, and colours (0 to 1) if given; no other attributes."""
     fields = [(c, "<f4") for c in "xyz"] + ([(c, "u1") for c in ("red", "green", "blue")] if colors is not None else [])
@@ -241,23 +249,43 @@ def ply_bytes(places: np.ndarray, faces: np.ndarray, colors: np.ndarray | None =
         table[c] = np.clip(np.round(colors[:, k] * 255), 0, 255)
     rows = np.zeros(len(faces), dtype=[("n", "u1"), ("v", "<i4", 3)])
     rows["n"], rows["v"] = 3, faces
-    props = "".join(f"property {'float' if t == '<f4' else 'uchar'} {c}\n" for c, t in fields)
-    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(places)}\n{props}element face {len(faces)}\nproperty list uchar int vertex_indices\nend_header\n"
+    head = ply_header(len(places), len(faces), colors is not None)
     return head.encode() + table.tobytes() + rows.tobytes()
 
 
 def write_ply(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
-    """One PLY file of one model, published by a rename; vertices may have r, g and b. For meshes that fit one viewer."""
-    import os
+    """One PLY file of one model, packed by tasks and published by a rename; vertices (vertex_id, x, y, z) may have r, g and b (0 to 1).
 
+    Vertices stand in the order of vertex_id, triangles of face_id; other columns are left out. A triangle of a vertex that
+    isn't there, a null coordinate or a vertex number beyond 32 bits is an error and leaves the file as it was; a null
+    colour is black.
+    """
     colored = {"r", "g", "b"} <= set(vertices.columns)
-    v = vertices.orderBy("vertex_id").select("vertex_id", "x", "y", "z", *(["r", "g", "b"] if colored else [])).toPandas()
-    t = triangles.orderBy("face_id").select("v0", "v1", "v2").toPandas().to_numpy(dtype=np.int64).reshape(-1, 3)
-    faces = np.searchsorted(v["vertex_id"].to_numpy(), t)
-    data = ply_bytes(v[["x", "y", "z"]].to_numpy(), faces, v[["r", "g", "b"]].to_numpy() if colored else None)
-    with open(f"{path}.part", "wb") as f:
-        f.write(data)
-    os.replace(f"{path}.part", path)
+    names = {"r": "red", "g": "green", "b": "blue"} if colored else {}
+    numbered = ranked(vertices.select("vertex_id", "x", "y", "z", *names), "vertex_id", "place")
+    faces = ranked(triangles.select("face_id", *CORNERS), "face_id", "place")
+    for c in CORNERS:
+        faces = faces.join(numbered.select(F.col("vertex_id").alias(c), F.col("place").alias(f"at_{c}")), c, "left")
+    shade = lambda c: F.least(F.greatest(F.rint(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * 255), F.lit(0.0)), F.lit(255.0)).cast("int")
+    first = in_order(numbered, "place").select(F.lit(0).alias("part"), "place", *[F.col(c).cast("double").alias(c) for c in "xyz"], *[shade(c).alias(n) for c, n in names.items()])
+    second = in_order(faces, "place").select(F.lit(1).alias("part"), "place", *[f"at_{c}" for c in CORNERS])
+    layout = [[[c, "<f4"] for c in "xyz"] + [[n, "u1"] for n in names.values()], [["corners", "u1", 3]] + [[f"at_{c}", "<i4"] for c in CORNERS]]
+    _write_records(first.unionByName(second, allowMissingColumns=True), path, layout, ply_header("{0}", "{1}", colored))
+
+
+def _write_records(rows: DataFrame, path: str, layout: list, header: str = "") -> None:
+    rows.sparkSession.dataSource.register(RecordSink)
+    staging = staging_beside(path)
+    try:
+        rows.write.format("records").options(path=path, layout=json.dumps(layout), header=header, staging=staging).mode("append").save()
+    finally:
+        discard(staging)  # Spark doesn't call abort where a stage before the writing one fails
+
+
+def write_distances(distances: DataFrame, path: str) -> None:
+    """A raw file of single-precision numbers in the order of vertex_id, packed by tasks and published by a rename; a null distance is NaN."""
+    rows = in_order(ranked(distances.select("vertex_id", "d"), "vertex_id", "place"), "place")
+    _write_records(rows.select(F.lit(0).alias("part"), "place", F.coalesce(F.col("d").cast("double"), F.lit(float("nan"))).alias("d")), path, [[["d", "<f4"]]])
 
 
 def read_distances(spark: SparkSession, path: str) -> DataFrame:
@@ -273,6 +301,7 @@ def read_distances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def distance_bytes(distances: DataFrame) -> bytes:
+    """The body of one viewer's answer; files of any size are written by `write_distances`."""
     return distances.orderBy("vertex_id").select(F.col("d").cast("double")).toPandas()["d"].to_numpy().astype("<f4").tobytes()
 
 

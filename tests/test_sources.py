@@ -2,11 +2,13 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import mesh as M
-from plumbline.sources import las, meshes, tiles
+from plumbline.operators import ranks
+from plumbline.sources import las, meshes, records, tiles
 
 
 def test_las_by_ranges(spark, tmp_path):
@@ -168,3 +170,68 @@ def test_benchmarks(spark):
     assert len(got) == 5 and got[0]["ratio"] == 1.0 and sum(r["is_fastest"] for r in got) == 1
     rows = benchmarks.remesh_cases(vertices, faces, 0.5, {"few": ("bim_isotropic_only", {"isotropic_iterations": 1, "use_decimation": False})}).collect()
     assert rows[0]["pipeline"] == "few" and rows[0]["faces_before"] == 12 and rows[0]["in_zone"] >= 0
+
+
+def _plate(spark, n):
+    """A plate of n x n vertices whose ids have gaps, in no order."""
+    vertices = spark.range(n * n).selectExpr("id * 3 + 7 as vertex_id", f"cast(id % {n} as double) as x", f"cast(floor(id / {n}) as double) as y", "id / 10d as z", "1d as r", "0.5d as g", f"id / {n * n - 1}d as b", "'more' as part").repartition(5)
+    at = lambda step: f"(id + {step}) * 3 + 7"
+    cells = spark.range(n * n).filter(f"id % {n} < {n - 1} and id < {n * (n - 1)}")
+    faces = cells.selectExpr("id * 2 as face_id", f"{at(0)} as v0", f"{at(1)} as v1", f"{at(n)} as v2").unionAll(cells.selectExpr("id * 2 + 1", at(1), at(n + 1), at(n)))
+    return vertices, faces.repartition(3)
+
+
+def test_ply_from_many_tasks_is_one_file(spark, tmp_path):
+    vertices, faces = _plate(spark, 30)
+    path = tmp_path / "plate.ply"
+    path.write_bytes(b"old")
+    meshes.write_ply(vertices, faces, str(path))
+    v, f = (t.toPandas() for t in (vertices.orderBy("vertex_id"), faces.orderBy("face_id")))
+    assert path.read_bytes() == meshes.ply_bytes(v[["x", "y", "z"]].to_numpy(), (f[["v0", "v1", "v2"]].to_numpy() - 7) // 3, v[["r", "g", "b"]].to_numpy())
+    assert [p.name for p in tmp_path.iterdir()] == ["plate.ply"]
+    meshes.write_ply(vertices.select("vertex_id", "x", "y", "z"), faces.limit(0), f"file://{tmp_path}/bare.ply")
+    columns, none = meshes.parse_ply((tmp_path / "bare.ply").read_bytes())
+    assert len(columns["x"]) == 900 and "red" not in columns and len(none) == 0
+    meshes.write_ply(vertices.limit(0), faces.limit(0), f"{tmp_path}/empty.ply")
+    assert (tmp_path / "empty.ply").read_bytes() == meshes.ply_bytes(np.zeros((0, 3)), np.zeros((0, 3)), np.zeros((0, 3)))
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    vertices, faces = _plate(spark, 6)
+    path = tmp_path / "plate.ply"
+    path.write_bytes(b"old")
+    for v, f in ((vertices.filter("vertex_id <> 40"), faces), (vertices.withColumn("y", F.when(F.col("vertex_id") < 40, F.col("y"))), faces), (vertices.unionAll(vertices.limit(1)), faces)):
+        with pytest.raises(Exception, match="has no|dense in place|missing or repeated"):
+            meshes.write_ply(v, f, str(path))
+        assert path.read_bytes() == b"old" and [p.name for p in tmp_path.iterdir()] == ["plate.ply"]
+
+
+def test_a_repeated_task_counts_once(tmp_path):
+    """Two attempts of one task leave two segments; what the commit is told of is in the file."""
+    writer = records.RecordWriter({"path": str(tmp_path / "d.bin"), "layout": '[[["d", "<f4"]]]'})
+    batch = lambda first, values: pa.RecordBatch.from_pydict({"part": pa.array([0] * len(values), pa.int32()), "place": pa.array(range(first, first + len(values)), pa.int64()), "d": pa.array(values, pa.float64())})
+    lost, last = writer.write(iter([batch(2, [9.0])])), writer.write(iter([batch(2, [3.0])]))
+    first = writer.write(iter([batch(0, [1.0]), batch(1, [2.0])]))
+    assert lost.name != last.name
+    writer.commit([last, None, writer.write(iter([])), first])
+    assert np.frombuffer((tmp_path / "d.bin").read_bytes(), "<f4").tolist() == [1.0, 2.0, 3.0]
+    other = records.RecordWriter({"path": str(tmp_path / "d.bin"), "layout": '[[["d", "<f4"]]]'})
+    with pytest.raises(ValueError, match="missing or repeated"):
+        other.commit([other.write(iter([batch(1, [2.0])]))])
+    other.abort([])
+    assert [p.name for p in tmp_path.iterdir()] == ["d.bin"]
+    with pytest.raises(ValueError, match="beyond what"):
+        records.packed(pa.RecordBatch.from_pydict({"n": [1 << 31]}), [["n", "<i4"]])
+
+
+def test_distances_from_many_tasks(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id * 2 as vertex_id", "case when id <> 17 then id / 4d end as d").repartition(7)
+    meshes.write_distances(rows, f"{tmp_path}/d.bin")
+    back = np.frombuffer((tmp_path / "d.bin").read_bytes(), "<f4")
+    assert np.isnan(back[17]) and np.array_equal(np.delete(back, 17), np.delete(np.arange(5000) / 4, 17).astype("<f4"))
+
+
+def test_dense_ranks_need_no_window_over_all(spark):
+    rows = spark.range(1000).selectExpr("id * 7 % 1009 as k").repartition(6)
+    got = ranks.ranked(rows, "k", "r").toPandas().sort_values("k")
+    assert got["r"].tolist() == list(range(1000)) and ranks.ranked(rows.limit(0), "k", "r").count() == 0
