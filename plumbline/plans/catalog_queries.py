@@ -10,6 +10,8 @@ from plumbline.operators import catalog as C
 from plumbline.operators import uploads as U
 from plumbline.plans import fixtures as X
 from plumbline.plans.fixtures import with_views
+from plumbline.sources.digests import read_digests
+from plumbline.store import fresh_path
 
 QUERIES, SQL = {}, {}
 
@@ -221,3 +223,18 @@ def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.floor("value").cast("string")
     return X.read(spark, sf_dir, "events").select("event_id", F.md5("props").alias("digest"), F.when(F.col("value") >= 1, F.when(F.col("value") <= 32, T.setting(whole, 1, 32, 2)).otherwise(F.lit(2))).otherwise(F.lit(2)).cast("bigint").alias("workers"))
+
+
+_BUNDLE = "coalesce(doc_id // 500, -1)"
+
+
+@query(f"select {_BUNDLE} as bundle, sum(octet_length(encode(coalesce(text, '')))+1)::bigint as n_bytes, cast(ceil(sum(octet_length(encode(coalesce(text, '')))+1)/524288.0) as bigint) as pieces, md5(string_agg(coalesce(text, '')||chr(10), '' order by doc_id, coalesce(text, ''))) as digest from documents group by 1")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as files of 500 documents each, then digested piece by piece."""
+    text = F.coalesce("text", F.lit(""))
+    rows = X.read(spark, sf_dir, "documents").select(F.coalesce(F.floor(F.col("doc_id") / 500), F.lit(-1)).cast("bigint").alias("bundle"), "doc_id", text.alias("value"))
+    path = fresh_path(spark, "files")
+    rows.repartition("bundle").sortWithinPartitions("bundle", "doc_id", "value").select("bundle", "value").write.partitionBy("bundle").text(path)
+    steps = read_digests(spark, path, piece=1)
+    got = steps.groupBy("file").agg(F.max("n_bytes").alias("n_bytes"), F.sum((F.col("state") == "progress").cast("bigint")).alias("pieces"), F.max("digest").alias("digest"))
+    return got.select(F.regexp_extract("file", "bundle=(-?[0-9]+)/", 1).cast("bigint").alias("bundle"), "n_bytes", "pieces", "digest")

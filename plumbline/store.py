@@ -23,11 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing is at; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """df computed once and read back from Parquet, so lineage ends and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete_quietly, spark, path)
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
+import hashlib
 import json
 import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import mesh as M
 from plumbline.operators import ranks
-from plumbline.sources import las, meshes, records, tiles
+from plumbline.sources import digests, las, meshes, records, tiles
 
 
 def test_las_by_ranges(spark, tmp_path):
@@ -235,3 +237,34 @@ def test_dense_ranks_need_no_window_over_all(spark):
     rows = spark.range(1000).selectExpr("id * 7 % 1009 as k").repartition(6)
     got = ranks.ranked(rows, "k", "r").toPandas().sort_values("k")
     assert got["r"].tolist() == list(range(1000)) and ranks.ranked(rows.limit(0), "k", "r").count() == 0
+
+
+def test_digests_by_pieces(spark, tmp_path):
+    data = np.random.default_rng(3).bytes((3 << 19) + 5)
+    for name, content in {"a/one.bin": data, "a/b/two.txt": b"x", "empty": b"", "_SUCCESS": b"no", ".one.crc": b"no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {}
+    for r in digests.read_digests(spark, str(tmp_path), piece=1).collect():
+        got.setdefault(r.file.rsplit("/", 1)[-1], []).append((r.state, r.piece, r.progress, r.digest, r.error))
+    assert got.keys() == {"one.bin", "two.txt", "empty"}
+    assert [r[2] for r in got["one.bin"]] == [25, 50, 75, 100, 100] and got["one.bin"][-1] == ("success", None, 100, hashlib.md5(data).hexdigest(), None)
+    assert got["two.txt"][-1][3] == hashlib.md5(b"x").hexdigest() and got["empty"] == [("error", None, None, None, "the file is empty")]
+    assert digests.piece_bytes(1) == 512 << 10 and digests.piece_bytes(1 << 40) == 10 << 20
+    assert digests.packs([("a", 5), ("b", 5), ("c", 90), ("d", 1)], 10) == [[("a", 5), ("b", 5)], [("c", 90)], [("d", 1)]]
+    (tmp_path / "none").mkdir()
+    assert digests.read_digests(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_digest_of_a_large_file_holds_one_piece(tmp_path):
+    path, size = tmp_path / "sparse", 256 << 20
+    with open(path, "wb") as f:
+        f.truncate(size)
+    want = hashlib.md5()
+    for _ in range(size >> 20):
+        want.update(bytes(1 << 20))
+    tracemalloc.start()
+    *_, last = digests.steps(str(path), size, digests.PIECE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert last[5] == want.hexdigest() and peak < 4 * digests.PIECE
