@@ -142,17 +142,31 @@ def _uri(path: str) -> str:
 def _scene(scene: dict, buffer) -> tuple[np.ndarray, np.ndarray]:
     blobs: dict[int, bytes] = {}
 
+    def elements(view_at: int | None, start: int, component: int, count: int, width: int) -> np.ndarray:
+        """count rows of width numbers in a view; zeros where there is no view."""
+        kind = np.dtype({5120: "i1", 5121: "u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}[component])
+        if view_at is None:
+            return np.zeros((count, width), kind)
+        view = scene["bufferViews"][view_at]
+        which = view.get("buffer", 0)
+        if which not in blobs:
+            blobs[which] = buffer(which)
+        start, stride, size = start + view.get("byteOffset", 0), view.get("byteStride") or width * kind.itemsize, width * kind.itemsize
+        if count and start + stride * (count - 1) + size > len(blobs[which]):
+            raise ValueError("an accessor reaches beyond its buffer")
+        rows = np.lib.stride_tricks.as_strided(np.frombuffer(blobs[which], np.uint8, offset=start if count else 0), (count, size), (stride, 1))
+        return np.array(rows).view(kind).reshape(count, width)
+
     def accessor(i: int) -> np.ndarray:
         a = scene["accessors"][i]
-        view = scene["bufferViews"][a["bufferView"]]
-        blob = blobs.get(view.get("buffer", 0)) or blobs.setdefault(view.get("buffer", 0), buffer(view.get("buffer", 0)))
-        kind = np.dtype({5120: "i1", 5121: "u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}[a["componentType"]])
         width = {"SCALAR": 1, "VEC2": 2, "VEC3": 3, "VEC4": 4}[a["type"]]
-        start, stride = view.get("byteOffset", 0) + a.get("byteOffset", 0), view.get("byteStride") or width * kind.itemsize
-        rows = np.lib.stride_tricks.as_strided(np.frombuffer(blob, np.uint8, offset=start), (a["count"], width * kind.itemsize), (stride, 1))
-        out = np.ascontiguousarray(rows).view(kind).reshape(a["count"], width)
+        out = elements(a.get("bufferView"), a.get("byteOffset", 0), a["componentType"], a["count"], width)
+        if few := a.get("sparse"):
+            at, new = few["indices"], few["values"]
+            places = elements(at["bufferView"], at.get("byteOffset", 0), at["componentType"], few["count"], 1).ravel()
+            out[places] = elements(new["bufferView"], new.get("byteOffset", 0), a["componentType"], few["count"], width)
         # Whole numbers that stand for fractions.
-        return out / np.iinfo(kind).max if a.get("normalized") and kind.kind in "iu" else out
+        return np.maximum(out / np.iinfo(out.dtype).max, -1) if a.get("normalized") and out.dtype.kind in "iu" else out
 
     def local(node: dict) -> np.ndarray:
         if "matrix" in node:
@@ -176,7 +190,9 @@ def _scene(scene: dict, buffer) -> tuple[np.ndarray, np.ndarray]:
             xyz = accessor(p["attributes"]["POSITION"]).astype(float)
             index = accessor(p["indices"]).ravel().astype(np.int64) if "indices" in p else np.arange(len(xyz))
             places.append(xyz @ world[:3, :3].T + world[:3, 3])
-            faces.append(index.reshape(-1, 3) + first)
+            corners = index.reshape(-1, 3) + first
+            # A mirrored node turns its triangles over.
+            faces.append(corners[:, [0, 2, 1]] if np.linalg.det(world[:3, :3]) < 0 else corners)
             first += len(xyz)
     return np.concatenate(places or [np.empty((0, 3))]), np.concatenate(faces or [np.empty((0, 3), np.int64)])
 

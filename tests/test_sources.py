@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import json
 import struct
@@ -268,3 +269,35 @@ def test_digest_of_a_large_file_holds_one_piece(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert last[5] == want.hexdigest() and peak < 4 * digests.PIECE
+
+
+def _gltf(blob, views, accessors, node=None):
+    scene = {
+        "asset": {"version": "2.0"}, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0} | (node or {})], "meshes": [{"primitives": [{"attributes": {"POSITION": 0}}]}],
+        "bufferViews": [{"buffer": 0, "byteOffset": a, "byteLength": n} for a, n in views], "accessors": accessors,
+        "buffers": [{"uri": "data:application/octet-stream;base64," + base64.b64encode(blob).decode(), "byteLength": len(blob)}],
+    }
+    return json.dumps(scene).encode()
+
+
+def test_sparse_accessors_and_accessors_without_a_view():
+    values = np.array([[2, 0, 0], [0, 3, 0]], dtype="<f4")
+    blob = np.array([1, 2], dtype="<u2").tobytes() + values.tobytes() + np.arange(9, dtype="<f4").tobytes()
+    sparse = {"count": 2, "indices": {"bufferView": 0, "componentType": 5123}, "values": {"bufferView": 1}}
+    views = [(0, 4), (4, 24), (28, 36)]
+    zeros = {"componentType": 5126, "count": 3, "type": "VEC3"}
+    assert meshes.parse_gltf(_gltf(blob, views, [zeros]))[0].tolist() == [[0, 0, 0]] * 3
+    assert meshes.parse_gltf(_gltf(blob, views, [zeros | {"sparse": sparse}]))[0].tolist() == [[0, 0, 0], [2, 0, 0], [0, 3, 0]]
+    places, faces = meshes.parse_gltf(_gltf(blob, views, [zeros | {"bufferView": 2, "sparse": sparse}]))
+    assert places.tolist() == [[0, 1, 2], [2, 0, 0], [0, 3, 0]] and faces.tolist() == [[0, 1, 2]]
+    with pytest.raises(ValueError, match="beyond its buffer"):
+        meshes.parse_gltf(_gltf(blob, views, [zeros | {"bufferView": 2, "count": 6}]))
+
+
+def test_mirrored_nodes_keep_their_outside():
+    blob = np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0]], dtype="<f4").tobytes()
+    plain = [{"bufferView": 0, "componentType": 5126, "count": 3, "type": "VEC3"}]
+    for scale, up in (([1, 1, 1], 1), ([-1, 1, 1], 1), ([-1, -1, 1], 1), ([1, 1, -1], -1), ([-1, -2, -1], -1)):
+        places, faces = meshes.parse_gltf(_gltf(blob, [(0, 36)], plain, {"scale": scale}))
+        a, b, c = places[faces[0]]
+        assert np.sign(np.cross(b - a, c - a)[2]) == up
