@@ -96,12 +96,15 @@ def result_code(status: Column, has_file: Column) -> Column:
     return F.when(status.isin("queued", "processing"), 409).when((status == "succeeded") & has_file, 200).otherwise(404)
 
 
+def claimable(job_id, expected: str, token: Column | None = None) -> Column:
+    """Whether a job is the one meant and still as expected (and was started when the token says)."""
+    fits = (F.col("id") == job_id) & (F.col("status") == expected)
+    return fits if token is None else fits & (F.col("started_at") == token)
+
+
 def claimed(jobs: DataFrame, job_id, expected: str, to: str, token: Column | None = None) -> DataFrame:
     """Compare and set: the row changes only if it still is as expected (and holds the token)."""
-    fits = (F.col("id") == job_id) & (F.col("status") == expected)
-    if token is not None:
-        fits = fits & (F.col("started_at") == token)
-    return jobs.withColumn("status", F.when(fits, F.lit(to)).otherwise(F.col("status")))
+    return jobs.withColumn("status", F.when(claimable(job_id, expected, token), F.lit(to)).otherwise(F.col("status")))
 
 
 def with_alignment(scans: DataFrame, alignments: DataFrame) -> DataFrame:
@@ -213,7 +216,7 @@ def unmatched_ready(assets: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def upserted(rows: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """rows with those of new put in place of rows with equal keys; written to a new place, then published."""
+    """rows with those of new put in place of rows with equal keys; `sources.versions` publishes it."""
     return rows.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True).select(*rows.columns)
 
 

@@ -10,6 +10,7 @@ from plumbline.operators import catalog as C
 from plumbline.operators import uploads as U
 from plumbline.plans import fixtures as X
 from plumbline.plans.fixtures import with_views
+from plumbline.sources import versions as V
 from plumbline.sources.digests import read_digests
 from plumbline.store import fresh_path
 
@@ -171,6 +172,21 @@ def remesh_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.claimed(rows, 8, "queued", "processing").withColumnRenamed("status", "claimed")
 
 
+_HELD = "case when id%10=1 then 'queued' when status='processing' and id%5<>0 then 'succeeded' else status end"
+
+
+@query(with_views(f"select id, {_HELD} as status from j", j=_JOBS))
+def published_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs published in versions: upserted, then finished by workers, of whom a fifth hold the token of an earlier start."""
+    jobs = _jobs(spark, sf_dir).select("id", "status", F.col("created_at").alias("started_at"))
+    table = V.Versions(spark, fresh_path(spark, "jobs"))
+    V.create(table, jobs)
+    V.upsert(table, jobs.filter("id % 10 = 1").withColumn("status", F.lit("queued")), "id")
+    held = F.when(F.col("id") % 5 == 0, F.col("started_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("started_at"))
+    V.claim(table, F.col("id"), "processing", "succeeded", held)
+    return table.read().select("id", "status")
+
+
 @query(with_views("select id, 'queued' as status, created_at from j where status in ('queued','processing')", j=_JOBS))
 def job_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recovered(_jobs(spark, sf_dir)).select("id", "status", "created_at")
