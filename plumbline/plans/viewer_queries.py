@@ -11,6 +11,7 @@ from plumbline.functions import geometry as G
 from plumbline.operators import viewer as V
 from plumbline.plans import fixtures as X
 from plumbline.plans.fixtures import with_views
+from plumbline.sources.tiles import world_matrices
 
 QUERIES, SQL = {}, {}
 
@@ -186,3 +187,23 @@ def picked_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rays = X.read(spark, sf_dir, "nation").select(k.alias("ray_id"), ((k - 12) / 20).alias("ox"), ((k % 5 - 2) / 10).alias("oy"), F.lit(-50.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"))
     corners = M.corners(X.triangles(spark, sf_dir), X.vertices(spark, sf_dir)).withColumn("ignored", F.col("face_id") % 4 == 0)
     return rounded(V.picked(V.hits(rays, corners)))
+
+
+_NODES = "select p_partkey as node, case when p_partkey%100=1 then null else p_partkey-1 end as parent, p_size%4 as q, p_size%7 as tx, p_partkey%5 as ty from part"
+_TURN = "([1,0,-1,0])[w.t+1]", "([0,1,0,-1])[w.t+1]"
+
+
+@query(
+    f"with recursive n as ({_NODES}), w as (select node, cast(q as bigint) as t, cast(tx as bigint) as x, cast(ty as bigint) as y, cast(1 as bigint) as z from n where parent is null"
+    f" union all select n.node, (w.t+n.q)%4, w.x+{_TURN[0]}*n.tx-{_TURN[1]}*n.ty, w.y+{_TURN[1]}*n.tx+{_TURN[0]}*n.ty, w.z+1 from n join w on n.parent=w.node)"
+    " select node as node_id, cast(([1,0,-1,0])[t+1] as bigint) as cosine, cast(([0,1,0,-1])[t+1] as bigint) as sine, cast(x as bigint) as x, cast(y as bigint) as y, cast(z as bigint) as z from w"
+)
+def scene_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to a hundred nodes, each turned by quarters about z and moved against the one above it."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    turn = lambda *v: F.element_at(F.array(*map(F.lit, v)), (size % 4 + 1).cast("int"))
+    cosine, sine = turn(1, 0, -1, 0), turn(0, 1, 0, -1)
+    places = (cosine, sine, F.lit(0), F.lit(0), -sine, cosine, F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(1), F.lit(0), size % 7, key % 5, F.lit(1), F.lit(1))
+    nodes = X.read(spark, sf_dir, "part").select(key.alias("node_id"), F.when(key % 100 != 1, key - 1).alias("parent_id"), F.array(*[p.cast("double") for p in places]).alias("matrix"))
+    at = {"cosine": 0, "sine": 1, "x": 12, "y": 13, "z": 14}
+    return world_matrices(nodes).select("node_id", *[F.col("matrix")[i].cast("bigint").alias(c) for c, i in at.items()])

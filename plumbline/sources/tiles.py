@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import posixpath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
+from plumbline.functions.geometry import multiply
+from plumbline.store import stored
+
 #: How deep tile sets may refer to further ones.
 DEPTH = 64
 
 
-
 def uint32(content: Column, at: int) -> Column:
     byte = lambda i: F.conv(F.hex(F.substring(content, at + 1 + i, 1)), 16, 10).cast("bigint")
     return byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
@@ -44,22 +47,25 @@ def tile_files(spark: SparkSession, folder: str, root: str = "tileset.json") ->
     """path, depth of all tile contents that a tile set leads to; external tile sets are followed level by level, each once."""
     texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder).select(F.regexp_replace("path", "^.*" + posixpath.basename(folder.rstrip("/")) + "/", "").alias("path"), F.col("content").cast("string").alias("text"))
 
-    @F.udf("array<string>")
-    def uris(path: str, text: str):
+    def leads_to(path: str, text: str) -> list[str]:
         try:
-            base = posixpath.dirname(path)
-            found = [posixpath.normpath(posixpath.join(base, u.split("?")[0])) for u in tile_uris(json.loads(text).get("root") or {})]
-            return [f for f in found if not f.startswith("..")]
-        except ValueError:
+            base, root = posixpath.dirname(path), json.loads(text).get("root") or {}
+        except (ValueError, AttributeError):
             return []
+        found = [posixpath.normpath(posixpath.join(base, u.split("?")[0])) for u in tile_uris(root)]
+        return [f for f in found if not f.startswith("..")]
+
+    @F.pandas_udf("array<string>")
+    def uris(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([leads_to(p, t) for p, t in zip(paths, texts, strict=True)])
 
-    links = texts.select("path", F.explode(uris("path", "text")).alias("to"))
+    links = stored(texts.select("path", F.explode(uris("path", "text")).alias("to")), "links")
     level, every, depth = spark.createDataFrame([(root,)], "path string"), None, 0
     while depth < DEPTH:
         found = links.join(level, "path", "left_semi").select(F.col("to").alias("path")).distinct()
         if every is not None:
             found = found.join(every.select("path"), "path", "left_anti")
-        found = found.withColumn("depth", F.lit(depth)).cache()
+        found = stored(found.withColumn("depth", F.lit(depth)), "tiles")
         if found.isEmpty():
             break
         every = found if every is None else every.unionAll(found)
@@ -97,14 +103,18 @@ def valid_artifact(name: Column, length: Column, content: Column) -> Column:
 
 
 def world_matrices(nodes: DataFrame) -> DataFrame:
-    """node_id, matrix in world coordinates of a scene's nodes (node_id, parent_id, matrix), level by level from the roots."""
-    from plumbline.functions.geometry import multiply
-
-    level = nodes.filter("parent_id is null").select("node_id", "matrix")
-    every, depth = level, 0
-    while depth < DEPTH:
-        level = nodes.alias("n").join(level.alias("p"), F.col("n.parent_id") == F.col("p.node_id")).select("n.node_id", multiply(F.col("p.matrix"), F.col("n.matrix")).alias("matrix")).cache()
-        if level.isEmpty():
-            break
-        every, depth = every.unionAll(level), depth + 1
-    return every
+    """node_id, matrix in world coordinates of a scene's nodes (node_id, unique; parent_id; matrix).
+
+    Each node points to a node above it and holds the product of the matrices from below there down to itself. A round lets it point
+    to where that one points, so that rounds follow the logarithm of the depth. Nodes below one that is missing are left out; a cycle is an error.
+    """
+    state = stored(nodes.select("node_id", F.col("parent_id").alias("up"), "matrix"), "nodes")
+    open_ = state.filter("up is not null").count()
+    while open_:
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("matrix").alias("above"))
+        moved = state.join(above, "up").select("node_id", F.col("next").alias("up"), multiply(F.col("above"), F.col("matrix")).alias("matrix"))
+        state, before = stored(state.filter("up is null").unionAll(moved), "nodes"), open_
+        open_ = state.filter("up is not null").count()
+        if open_ == before:  # in every round the nearest to a root, or to a gap, comes to its end
+            raise ValueError(f"{open_} nodes are in a cycle or below one")
+    return state.select("node_id", "matrix")

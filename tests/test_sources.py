@@ -301,3 +301,19 @@ def test_mirrored_nodes_keep_their_outside():
         places, faces = meshes.parse_gltf(_gltf(blob, [(0, 36)], plain, {"scale": scale}))
         a, b, c = places[faces[0]]
         assert np.sign(np.cross(b - a, c - a)[2]) == up
+
+
+def test_deep_scenes_cycles_and_gaps(spark):
+    shift = lambda x: [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, x, 0.0, 0.0, 1.0]
+    turn = [0.0, 1.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 2.0, 0.0, 0.0, 1.0]
+    scene = lambda rows: spark.createDataFrame(rows, "node_id int, parent_id int, matrix array<double>")
+    chain = [(i, i - 1 if i else None, shift(float(i))) for i in range(500)]
+    gap = [(601 + i, 600 + i, shift(1.0)) for i in range(5)]  # below 600, which isn't there
+    turned = [(700, None, turn), (701, 700, turn), (702, 701, shift(5.0))]
+    got = {r["node_id"]: r["matrix"] for r in tiles.world_matrices(scene(chain + gap + turned)).collect()}
+    assert {n: m[12] for n, m in got.items() if n < 500} == {i: i * (i + 1) / 2 for i in range(500)}
+    assert set(got) == {*range(500), 700, 701, 702}
+    assert got[702][:2] == [-1.0, 0.0] and got[702][12:14] == [-3.0, 2.0]  # 2, then 2 more along y, then 5 back along x
+    assert tiles.world_matrices(scene([])).count() == 0
+    with pytest.raises(ValueError, match="3 nodes are in a cycle"):
+        tiles.world_matrices(scene(chain[:9] + [(20, 21, turn), (21, 20, turn), (22, 21, turn)])).count()
