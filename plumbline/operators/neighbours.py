@@ -10,16 +10,33 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as G
 from plumbline.operators.pyramid import Pyramid, boxed
+from plumbline.store import stored
 
 
-def index(points: DataFrame, *more: str) -> Pyramid:
-    """Points (point_id, x, y, z, more) as a pyramid, for several searches."""
-    return Pyramid(boxed(points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), *more), "px", "py", "pz"))
+def _distinct(points: DataFrame, k: int) -> DataFrame:
+    """Of points at the same place the k of least id: no cell parts them, and ties go to these. Reduced before they are shuffled."""
+    place = ["px", "py", "pz"]
+    if k > 1:
+        rank = F.row_number().over(Window.partitionBy(*place).orderBy("point_id"))
+        return points.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+    least = points.groupBy(*place).agg(F.min(F.struct("point_id", *[c for c in points.columns if c not in (*place, "point_id")])).alias("p"))
+    return least.select(*[c if c in place else F.col(f"p.{c}").alias(c) for c in points.columns])
+
+
+def index(points: DataFrame, *more: str, k: int = 1) -> Pyramid:
+    """Points (point_id, x, y, z, more) as a pyramid, for several searches of up to k nearest each."""
+    # Adding zero makes -0.0 and 0.0 one place.
+    placed = points.select("point_id", *[(F.col(a).cast("double") + 0.0).alias(f"p{a}") for a in ("x", "y", "z")], *more)
+    found = Pyramid(boxed(stored(_distinct(placed, k), "places"), "px", "py", "pz"))
+    found.most = k
+    return found
 
 
 def candidate_pairs(vertices: DataFrame, points: DataFrame | Pyramid, k: int = 1, reach: float | None = None) -> DataFrame:
     """vertices' columns, point_id (and the index's further columns), d2 and dx, dy, dz of every point that may be among a vertex's k nearest."""
-    found = points if isinstance(points, Pyramid) else index(points)
+    found = points if isinstance(points, Pyramid) else index(points, k=k)
+    if found.most < k:
+        raise ValueError(f"the index was made for {found.most} nearest points, not {k}")
     joined = found.pairs(vertices, "vertex_id", k, reach)
     dx, dy, dz = F.col("px") - F.col("x"), F.col("py") - F.col("y"), F.col("pz") - F.col("z")
     return joined.select(*[c for c in joined.columns if c not in ("px", "py", "pz")], dx.alias("dx"), dy.alias("dy"), dz.alias("dz"), (dx * dx + dy * dy + dz * dz).alias("d2"))

@@ -51,6 +51,8 @@ class Pyramid:
     """items: any columns, and lo_x .. hi_z. Only a few numbers and the coarsest 64 cells reach the driver."""
 
     def __init__(self, items: DataFrame) -> None:
+        #: Of equal items at most so many are in it; None where all are.
+        self.most: int | None = None
         bounds = items.agg(F.count("*"), *[f(c) for e, f in (("lo_", F.min), ("hi_", F.max)) for c in (f"{e}{a}" for a in AXES)]).first()
         self.count, origin = bounds[0], bounds[1:4]
         if not self.count:

@@ -15,7 +15,7 @@ CASES = (None, (8, 75.0), (8, 60.0), (16, 75.0), (16, 60.0))
 
 def constrained_cases(vertices: DataFrame, cloud: DataFrame) -> DataFrame:
     """(position, label, elapsed, ratio, is_fastest, mean, std, p90, min, max) of each case, one pyramid serving all."""
-    spark, found, rows = vertices.sparkSession, neighbours.index(cloud), []
+    spark, found, rows = vertices.sparkSession, neighbours.index(cloud, k=max(c[0] for c in CASES if c)), []
     for position, case in enumerate(CASES):
         began = time.time()
         k, angle = case or (1, 0.0)

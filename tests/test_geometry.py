@@ -264,3 +264,22 @@ def test_many_rays_try_few_triangles(spark):
     assert V.picked(V.hits(rays, faces)).filter("first = 2 * ((ray_id % 50) + 50 * (ray_id % 47)) and abs(first_t - 9) < 1e-9").count() == 2000
     tried = V.Pyramid(faces.selectExpr("*", *[f"least(a_{c}, b_{c}, c_{c}) as lo_{c}" for c in "xyz"], *[f"greatest(a_{c}, b_{c}, c_{c}) as hi_{c}" for c in "xyz"])).met(rays)
     assert tried.count() < 2000 * 60
+
+
+def test_points_at_one_place_are_tried_once(spark):
+    heap = spark.range(100000).select(F.col("id").alias("point_id"), *[F.lit(0.5).alias(a) for a in "xyz"])
+    spread = spark.range(1000).select((F.col("id") + 200000).alias("point_id"), *[F.rand(i).alias(a) for i, a in enumerate("xyz")])
+    vertices = spark.range(1000).select(F.col("id").alias("vertex_id"), *[(0.5 + F.rand(i + 5) / 1000).alias(a) for i, a in enumerate("xyz")], *[F.lit(0.0).alias(n) for n in ("nx", "ny")], F.lit(1.0).alias("nz"))
+    points = heap.unionAll(spread).cache()
+    assert N.candidate_pairs(vertices, points).count() < 10000
+    assert {r["point_id"] for r in N.nearest(vertices, points).collect()} == {0}
+    found = N.nearest_constrained(vertices, points, k=8)
+    assert {r["point_id"] for r in found.collect()} == {0} and N.candidate_pairs(vertices, points, 8).count() < 20000
+    with pytest.raises(ValueError, match="made for 1"):
+        N.candidate_pairs(vertices, N.index(points), 8)
+
+
+def test_places_may_be_decimals_and_minus_zero(spark):
+    points = spark.sql("select id + 1 as point_id, cast(id as decimal(10, 2)) as x, cast(0 as decimal(10, 2)) as y, 0.0 as z from range(5)")
+    vertices = spark.sql("select 1 as vertex_id, 2.2D as x, -0.0D as y, 0D as z, 0D as nx, 0D as ny, 1D as nz")
+    assert N.nearest(vertices, points).first()["point_id"] == 3
