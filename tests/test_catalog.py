@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import catalog as C
+from plumbline.operators import jobs as J
 from plumbline.operators import uploads as U
 from plumbline.plans import algorithms as A
 from plumbline.plans import c2m
@@ -139,3 +140,11 @@ def test_utc_whatever_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert tuple(got) == ("2023-11-14T22:13:20Z", "2023-11-15 06:13", "时间未记录")
+
+
+def test_chunks_of_one_session_are_planned_by_several_tasks(spark):
+    rows = spark.createDataFrame([("a", 7, 100_000), ("b", 5, 5), ("c", 0, 10)], "fingerprint string, offset bigint, size bigint").coalesce(1)
+    plan = J.chunk_plan(rows, 10)
+    got = [tuple(r) for r in plan.orderBy("fingerprint", "number").collect()]
+    assert got == [("a", 7, 100_000, i, 7 + 10 * i, min(10, 99_993 - 10 * i)) for i in range(10_000)] + [("c", 0, 10, 0, 0, 10)]
+    assert plan.groupBy(F.spark_partition_id()).count().count() > 1
