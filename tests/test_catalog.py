@@ -142,6 +142,11 @@ def test_utc_whatever_the_session_zone(spark):
     assert tuple(got) == ("2023-11-14T22:13:20Z", "2023-11-15 06:13", "时间未记录")
 
 
+def test_years_of_five_digits_have_no_sign(spark):
+    got = one(spark, utc=T.rfc3339(F.lit(900_000_000_000)), minute=T.minute_text(F.lit(900_000_000_000)))
+    assert tuple(got) == ("30489-11-11T16:00:00Z", "30489-11-11 16:00")
+
+
 def test_chunks_of_one_session_are_planned_by_several_tasks(spark):
     rows = spark.createDataFrame([("a", 7, 100_000), ("b", 5, 5), ("c", 0, 10)], "fingerprint string, offset bigint, size bigint").coalesce(1)
     plan = J.chunk_plan(rows, 10)
