@@ -1,10 +1,8 @@
-"""A pyramid of cells over points or boxes, and exact nearest candidates by descending it.
+"""A pyramid of cells over boxes, and the boxes that rays meet by descending it.
 
 Cells of one level are cubes a quarter as wide as those above; each occupied cell keeps how many items it has and the box that
-holds them, so a level is one aggregate of the level below. A query begins at the coarsest cells and goes into those only
-whose nearest possible distance does not exceed the distance within which other cells are sure to hold enough items. That
-is an equi-join with the children of the cells that are left, once a level, whether the items are near or far: nothing is
-compared with all.
+holds them, so a level is one aggregate of the level below. A ray begins at the coarsest cells and goes into those only
+whose boxes it meets. That is an equi-join with the children of the cells that are left, once a level: nothing is compared with all.
 
 The finest level is chosen by the items' own occupancy, counted for all levels in one pass, as scans are surfaces and not
 volumes.
@@ -12,12 +10,10 @@ volumes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.store import stored
 
@@ -29,11 +25,6 @@ SLACK = 1 + 1e-9
 _CELL, _BOX = [f"c{a}" for a in AXES], [f"{e}{a}" for e in ("lo_", "hi_") for a in AXES]
 
 
-def boxed(points: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
-    """points with the box of each: the point itself."""
-    return points.select("*", *[F.col(c).alias(f"{e}{a}") for e in ("lo_", "hi_") for a, c in zip(AXES, (x, y, z), strict=True)])
-
-
 def _meets_box() -> Column:
     """Whether the ray meets the box: what the three pairs of planes leave of it isn't empty. Boxes are widened by what rounding may take."""
     inside, enters, leaves = F.lit(True), [F.lit(0.0)], []
@@ -51,8 +42,6 @@ class Pyramid:
     """items: any columns, and lo_x .. hi_z. Only a few numbers and the coarsest 64 cells reach the driver."""
 
     def __init__(self, items: DataFrame) -> None:
-        #: Of equal items at most so many are in it; None where all are.
-        self.most: int | None = None
         bounds = items.agg(F.count("*"), *[f(c) for e, f in (("lo_", F.min), ("hi_", F.max)) for c in (f"{e}{a}" for a in AXES)]).first()
         self.count, origin = bounds[0], bounds[1:4]
         if not self.count:
@@ -82,13 +71,6 @@ class Pyramid:
                 return level
         return LEVELS
 
-    def pairs(self, queries: DataFrame, key: str, k: int = 1, reach: float | None = None) -> DataFrame:
-        """queries' columns with the columns of every item that may be among a query's k nearest (ties included), and within reach.
-
-        queries: key, x, y, z and more; none of the names that items have.
-        """
-        return self._descended(queries, lambda left: self._kept(left, key, k, reach, queries.columns))
-
     def met(self, rays: DataFrame) -> DataFrame:
         """rays' columns with the columns of every item in a finest cell whose box a ray meets.
 
@@ -106,20 +88,3 @@ class Pyramid:
             children = cells.select(*[F.floor(F.col(c) / 4).cast("bigint").alias(f"up_{c}") for c in _CELL], *_CELL, "n", *_BOX)
             left = kept(left.select(*queries.columns, *[F.col(c).alias(f"up_{c}") for c in _CELL]).join(children, [f"up_{c}" for c in _CELL]))
         return left.select(*queries.columns, *_CELL).join(self.items.drop(*_BOX), _CELL).drop(*_CELL)
-
-    @staticmethod
-    def _kept(left: DataFrame, key: str, k: int, reach: float | None, columns: list[str]) -> DataFrame:
-        """The cells of each query that may hold one of its k nearest."""
-        low = [F.greatest(F.col(f"lo_{a}") - F.col(a), F.col(a) - F.col(f"hi_{a}"), F.lit(0.0)) for a in AXES]
-        high = [F.greatest(F.abs(F.col(f"lo_{a}") - F.col(a)), F.abs(F.col(f"hi_{a}") - F.col(a))) for a in AXES]
-        squares = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
-        left = left.select(*columns, *_CELL, "n", squares(low).alias("least"), squares(high).alias("most"))
-        if reach is not None:
-            left = left.filter(F.col("least") <= reach * reach * SLACK)
-        whole = Window.partitionBy(key)
-        if k > 1:
-            left = left.withColumn("sure", F.sum("n").over(whole.orderBy("most")))
-            bound = F.min(F.when(F.col("sure") >= k, F.col("most"))).over(whole)
-        else:
-            bound = F.min("most").over(whole)
-        return left.withColumn("bound", F.coalesce(bound, F.lit(math.inf))).filter(F.col("least") <= F.col("bound") * SLACK)

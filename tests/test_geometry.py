@@ -304,3 +304,19 @@ def test_triangles_as_large_as_the_model_meet_few_queries(spark):
         for r in rows:
             best.setdefault(r["face_id"], set()).add(r["hit"])
         assert all(int(np.argmin(gaps[i])) in best[i] for i in range(len(at))) and len(rows) < (2 if group > 50 else 15) * len(at)
+
+
+def test_nearest_few_of_many_come_in_parts_of_bounded_size(spark, monkeypatch):
+    """Each leaf yields its k nearest and no more; hot leaves meet in parts; all as by brute force."""
+    rng = np.random.default_rng(12)
+    xyz, at = rng.normal(size=(8000, 3)), rng.normal(size=(150, 3))
+    points = frame(spark, [(i, *p) for i, p in enumerate(xyz)], "point_id bigint, x double, y double, z double")
+    vertices = frame(spark, [(i, *p, 1.0, 0.0, 0.0) for i, p in enumerate(at)] + [(999, float("nan"), 0.0, 0.0, 1.0, 0.0, 0.0)], "vertex_id bigint, x double, y double, z double, nx double, ny double, nz double")
+    expected = {i: set(np.argsort(((xyz - p) ** 2).sum(axis=1))[:8].tolist()) for i, p in enumerate(at)}
+    for group, most in ((L.GROUP, 150), (60, 2000)):
+        monkeypatch.setattr(L, "GROUP", group)
+        got = {}
+        for r in N.candidate_pairs(vertices, points, 8).select("vertex_id", "point_id", "d2").collect():
+            got.setdefault(r["vertex_id"], []).append((r["d2"], r["point_id"]))
+        assert {i: {p for _, p in sorted(found)[:8]} for i, found in got.items()} == expected
+        assert sum(map(len, got.values())) < most * len(at)
