@@ -147,6 +147,26 @@ def _apart(candidates: DataFrame, around: DataFrame, rank: Column) -> DataFrame:
     return out.filter("rank = least_lo and rank = least_hi").drop("rank", "least_lo", "least_hi")
 
 
+def _more_apart(candidates: DataFrame, around: DataFrame, chosen: DataFrame, rank: Column) -> DataFrame:
+    """chosen and what is apart among those candidates that touch no chosen edge's end, nor a neighbour of one."""
+    ends = chosen.select(F.explode(F.array("lo", "hi")).alias("vertex_id"))
+    taken = ends.unionAll(around.join(ends.withColumnRenamed("vertex_id", "dst"), "dst").select(F.col("src").alias("vertex_id"))).distinct()
+    free = candidates
+    for c in ("lo", "hi"):
+        free = free.join(taken.withColumnRenamed("vertex_id", c), c, "left_anti")
+    return chosen.unionByName(_apart(stored(free, "free"), around, rank))
+
+
+def _cheapest(chosen: DataFrame, faces: int, total: int, mixed: Column) -> DataFrame:
+    """The cheapest of chosen (n, cost, ...), whose n come to total, that take `faces` faces together, or one more."""
+    # Equal costs are told apart by a hash, else all of them were taken or none.
+    part = F.pmod(mixed, F.lit(1 << 30)) / float(1 << 30)
+    keyed = chosen.withColumn("key", F.when(F.col("cost") > 0, F.col("cost") * (1 + part / (1 << 20))).otherwise(part - 1))
+    each = keyed.select("key", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    most = each.agg(F.percentile_approx("key", (faces - 0.5) / total, 100_000)).first()[0]
+    return keyed.filter(F.col("key") <= most).drop("key")
+
+
 def _collapsed(vertices: DataFrame, triangles: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The mesh after the chosen edges (lo, hi, x, y, z) have become their lower end, there; further columns of vertices are added up."""
     sums = [c for c in vertices.columns if c not in ("vertex_id", *XYZ)]
@@ -161,38 +181,37 @@ def _collapsed(vertices: DataFrame, triangles: DataFrame, chosen: DataFrame) ->
     return stored(kept, "vertices"), stored(faces, "faces")
 
 
-def _around(triangles: DataFrame) -> DataFrame:
-    return stored(M.edges(triangles).distinct(), "around")
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst) of neighbours, from stored edges that come once each."""
+    return edges.filter("lo < hi").select(F.col("lo").alias("src"), F.col("hi").alias("dst")).unionAll(edges.filter("lo < hi").select(F.col("hi").alias("src"), F.col("lo").alias("dst")))
 
 
 def decimated(vertices: DataFrame, triangles: DataFrame, wanted: int) -> tuple[DataFrame, DataFrame]:
-    """Edges collapsed by quadric error until at most `wanted` faces are left, or none can be collapsed.
+    """Edges collapsed by quadric error until at most `wanted` faces are left, or none can be collapsed; a collapse takes two faces, so that one fewer may be left.
 
-    A round takes the cheaper edges only, as many as are still to go and half as many more, by approximate quantile; among these, costs are ranked by powers of two,
-    within a power by a hash of the round, so that on even surfaces a round finds many edges apart. The last round takes a part of what it has chosen.
+    A round takes the cheapest, by approximate quantile, of all edges that may collapse: as many as are still to go and half as many more, but a sixth of the edges at least.
+    So each round but the last takes a like part of the mesh, also when few are to go, and the number of rounds follows from the ratio of faces and not from their number.
+    Costs are ranked by powers of two, within a power by a hash of the round, so that on even surfaces a round finds many edges apart; a second pass fills up what
+    the first one left. The last round takes the cheapest of what it has chosen.
     """
     vertices = stored(quadrics(vertices, triangles), "quadrics")
-    left, part, turn = triangles.count(), 1.5, 0
+    left, turn = triangles.count(), 0
     while left > wanted:
-        edges = stored(edge_faces(triangles), "edges")
-        costs = stored(collapse_costs(vertices, edges.select("lo", "hi", "n").filter("n <= 2")), "costs")
-        share = min(1.0, part * (left - wanted) / 2 / max(1, edges.count()))
-        most = costs.agg(F.percentile_approx("cost", share, 1000)).first()[0] if share < 1 else None
-        cheap = costs if most is None else costs.filter(F.col("cost") <= most)
-        around = _around(triangles)
-        power = F.when(F.col("cost") > 0, F.floor(F.log2("cost"))).otherwise(F.lit(-10_000))
-        mixed = F.xxhash64("lo", "hi", F.lit(turn))
-        fine = stored(_allowed(cheap, vertices, triangles, edges, around, None, None), "allowed")
-        chosen = stored(_apart(fine, around, F.struct(power, mixed)), "chosen")
-        n, turn = chosen.count(), turn + 1
+        edges = stored(collapse_costs(vertices, edge_faces(triangles).select("lo", "hi", "n")), "edges")
+        around = _both_ways(edges)
+        fine = stored(_allowed(edges.filter("n <= 2 and lo < hi"), vertices, triangles, edges, around, None, None), "allowed")
+        n, pool = fine.count(), max(0.75 * (left - wanted), edges.count() / 6)
         if not n:
-            if share >= 1:
-                break
-            part *= 4
-            continue
-        if 2 * n > left - wanted:
-            taken = stored(chosen.filter(F.pmod(F.xxhash64("hi", "lo", F.lit(turn)), F.lit(1 << 20)) < int((left - wanted + 1) / 2 / n * (1 << 20)) + 1), "taken")
-            chosen = chosen.orderBy("lo").limit(1) if taken.isEmpty() else taken
+            break
+        if pool < n:
+            fine = fine.filter(F.col("cost") <= fine.agg(F.percentile_approx("cost", pool / n, 1000)).first()[0])
+        mixed = F.xxhash64("lo", "hi", F.lit(turn))
+        rank = F.struct(F.when(F.col("cost") > 0, F.floor(F.log2("cost"))).otherwise(F.lit(-10_000)), mixed)
+        first = stored(_apart(fine, around, rank), "apart")
+        chosen = stored(_more_apart(fine, around, first, rank), "chosen")
+        taken, turn = chosen.agg(F.sum("n")).first()[0], turn + 1
+        if taken > left - wanted:
+            chosen = stored(_cheapest(chosen, left - wanted, taken, mixed), "taken")
         vertices, triangles = _collapsed(vertices, triangles, chosen)
         left = triangles.count()
     return M.without_unreferenced(vertices.select("vertex_id", *XYZ), triangles), triangles
@@ -271,7 +290,7 @@ def split_long(vertices: DataFrame, triangles: DataFrame, target: float, angle:
 def collapse_short(vertices: DataFrame, triangles: DataFrame, target: float, angle: float, reach: float | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """An independent set of the edges of less than 4/5 of the target collapsed, shortest first: to the middle, to the crease if one end lies on it, not across creases nor off corners."""
     edges = stored(_creases(edge_faces(triangles), triangles, vertices, angle), "edges")
-    held, around = _held(edges, vertices, angle), _around(triangles)
+    held, around = _held(edges, vertices, angle), _both_ways(edges)
     met = edges.join(_placed(vertices, "lo", "u_"), "lo").join(_placed(vertices, "hi", "v_"), "hi").withColumn("length", G.distance(_at("u_"), _at("v_"))).filter(F.col("length") < 0.8 * target)
     met = met.join(held.toDF("lo", "lo_corner"), "lo", "left").join(held.toDF("hi", "hi_corner"), "hi", "left")
     rank = lambda c: F.when(F.col(c).isNull(), 0).when(F.col(c), 2).otherwise(1)
@@ -286,7 +305,7 @@ def collapse_short(vertices: DataFrame, triangles: DataFrame, target: float, ang
 def flip_edges(vertices: DataFrame, triangles: DataFrame, angle: float, reach: float | None, turn: int) -> tuple[DataFrame, DataFrame]:
     """An independent set of edges inside smooth parts turned to the other diagonal, where that brings the four corners' numbers of neighbours nearer to six (four on a border)."""
     edges = stored(_creases(edge_faces(triangles), triangles, vertices, angle), "edges")
-    around = M.edges(triangles).distinct()
+    around = _both_ways(edges)
     rim = edges.filter("n = 1").select(F.explode(F.array("lo", "hi")).alias("vertex_id")).distinct().withColumn("rim", F.lit(True))
     off = around.groupBy(F.col("src").alias("vertex_id")).agg(F.count("*").alias("degree")).join(rim, "vertex_id", "left")
     off = stored(off.select("vertex_id", (F.col("degree") - F.when(F.col("rim"), 4).otherwise(6)).alias("off")), "degrees")

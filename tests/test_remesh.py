@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -62,6 +63,22 @@ def test_decimated_cube_keeps_its_corners(spark):
     assert v2.filter("abs(abs(x) - 0.5) < 1e-6 and abs(abs(y) - 0.5) < 1e-6 and abs(abs(z) - 0.5) < 1e-6").count() == 8
 
 
+def test_decimation_takes_few_rounds_and_ends_where_it_was_asked_to(spark, monkeypatch):
+    v, t = plate(spark, 9, lambda x, y: (x, y, 0.2 * math.sin(9 * x) * math.cos(7 * y)), 0.8)
+    taken, collapsed = [], R._collapsed
+    monkeypatch.setattr(R, "_collapsed", lambda v, t, chosen: taken.append(chosen.count()) or collapsed(v, t, chosen))
+    v2, t2 = R.decimated(v, t, 121)  # three quarters of 162
+    assert 120 <= t2.count() <= 121 and len(taken) <= 4, taken
+    assert set(edge_counts(t2)) == {1, 2} and v2.count() == 100 - sum(taken)
+
+
+def test_equal_costs_are_told_apart(spark):
+    """A hundred edges of no cost, each of two faces but for ten on a border: 51 faces are 51 or 52, never all."""
+    edges = stored(spark.range(100).selectExpr("id as lo", "id + 1000 as hi", "if(id < 10, 1L, 2L) as n", "0.0D as cost"), "edges")
+    got = R._cheapest(edges, 51, 190, F.xxhash64("lo", "hi")).agg(F.sum("n")).first()[0]
+    assert got in (51, 52)
+
+
 def test_cubes_that_share_a_corner_become_two_parts(spark):
     v, t = M.unit_box(spark)
     # The second cube's vertex 0 is the first one's 7.
