@@ -214,7 +214,7 @@ def decimated(vertices: DataFrame, triangles: DataFrame, wanted: int) -> tuple[D
             chosen = stored(_cheapest(chosen, left - wanted, taken, mixed), "taken")
         vertices, triangles = _collapsed(vertices, triangles, chosen)
         left = triangles.count()
-    return M.without_unreferenced(vertices.select("vertex_id", *XYZ), triangles), triangles
+    return stored(M.without_unreferenced(vertices.select("vertex_id", *XYZ), triangles), "vertices"), triangles
 
 
 def split_fans(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +260,8 @@ def merged_within(vertices: DataFrame, triangles: DataFrame, tolerance: float) -
     roots = components(across.unionAll(one.select(F.col("to").alias("a"), F.col("head").alias("b"))))
     mapping = vertices.select("vertex_id", *XYZ).join(same, list(XYZ)).join(roots, F.col("to") == F.col("node")).select("vertex_id", F.col("root").alias("to"))
     faces = stored(M.without_degenerate(M.relabelled(triangles, mapping)), "faces")
-    return M.without_unreferenced(vertices, faces), faces
+    # Written, as every step that follows reads it several times.
+    return stored(M.without_unreferenced(vertices, faces), "vertices"), faces
 
 
 def _creases(edges: DataFrame, triangles: DataFrame, vertices: DataFrame, angle: float) -> DataFrame:
@@ -296,7 +297,7 @@ def collapse_short(vertices: DataFrame, triangles: DataFrame, target: float, ang
     rank = lambda c: F.when(F.col(c).isNull(), 0).when(F.col(c), 2).otherwise(1)
     met = met.withColumn("lr", rank("lo_corner")).withColumn("hr", rank("hi_corner")).filter("(lr = 0 or hr = 0 or crease) and not (lr = 2 and hr = 2)")
     place = [F.when(F.col("lr") > F.col("hr"), F.col(f"u_{c}")).when(F.col("hr") > F.col("lr"), F.col(f"v_{c}")).otherwise((F.col(f"u_{c}") + F.col(f"v_{c}")) / 2).alias(c) for c in XYZ]
-    asked = met.select("lo", "hi", "n", "length", *place)
+    asked = stored(met.select("lo", "hi", "n", "length", *place), "asked")
     fine = stored(_allowed(asked, vertices, triangles, edges, around, 4 / 3 * target, reach), "allowed")
     chosen = stored(_apart(fine, around, F.struct(F.floor(F.col("length") / target * 4), F.xxhash64("lo", "hi", F.lit(turn)))), "chosen")
     return (vertices, triangles) if chosen.isEmpty() else _collapsed(vertices, triangles, chosen)

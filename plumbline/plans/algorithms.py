@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import mesh as M
 from plumbline.operators import remesh as R
+from plumbline.store import stored
 
 
 @dataclass
@@ -161,7 +162,7 @@ def cleaned(vertices: DataFrame, triangles: DataFrame, p: dict) -> tuple[DataFra
 
 
 def repaired(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return R.split_fans(vertices, M.without_non_manifold(triangles, vertices))
+    return R.split_fans(vertices, stored(M.without_non_manifold(triangles, vertices), "manifold"))
 
 
 def thinned(vertices: DataFrame, triangles: DataFrame, faces: int, least: int, p: dict) -> tuple[DataFrame, DataFrame]:

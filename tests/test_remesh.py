@@ -113,6 +113,13 @@ def test_merging_against_brute_force(spark):
     assert sorted(tuple(sorted(r)) for r in t.select(*M.CORNERS).collect()) == sorted(w for w in want if len(w) == 3)
 
 
+def test_merged_vertices_are_written_and_not_worked_out_again_by_each_step(spark):
+    v, t = M.unit_box(spark)
+    v2, _ = R.merged_within(v.select("*", F.lit(1).alias("more")), t, 0.1)
+    assert v2.count() == 8 and v2.columns == ["vertex_id", "x", "y", "z", "more"]
+    assert "Join" not in v2._jdf.queryExecution().optimizedPlan().toString() and len(v2.inputFiles()) > 0
+
+
 def test_flips_bring_valences_nearer_to_six(spark):
     v, t = plate(spark, 4, wobble=0.0)
     # One inner edge turned the wrong way: two corners get seven neighbours and two get five.
