@@ -153,3 +153,17 @@ def test_chunks_of_one_session_are_planned_by_several_tasks(spark):
     got = [tuple(r) for r in plan.orderBy("fingerprint", "number").collect()]
     assert got == [("a", 7, 100_000, i, 7 + 10 * i, min(10, 99_993 - 10 * i)) for i in range(10_000)] + [("c", 0, 10, 0, 0, 10)]
     assert plan.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_blocks_of_chunks_follow_the_tasks_and_not_the_chunks(spark):
+    rows = spark.createDataFrame([("a", 3, 3 + (1 << 28)), ("b", 0, 5), ("c", 5, 5)], "fingerprint string, offset bigint, size bigint")
+    got = sorted(tuple(r) for r in J.chunk_blocks(rows, 1).select("fingerprint", "_first", "_end").collect())
+    assert len(got) <= 2 + J.TASK_BLOCKS * (1 << 28) // J.TASK_CHUNKS + J.TASK_BLOCKS
+    assert got[-1] == ("b", 0, 5) and [r[1] for r in got[:-1]] == [0, *[r[2] for r in got[:-2]]] and got[-2][2] == 1 << 28
+
+
+def test_blocks_longer_than_a_part_are_spelt_out_whole(spark, monkeypatch):
+    monkeypatch.setattr(J, "TASK_BLOCKS", 1)
+    rows = spark.createDataFrame([("a", 7, 100_000), ("b", 0, 8193)], "fingerprint string, offset bigint, size bigint")
+    got = [tuple(r) for r in J.chunk_plan(rows, 1).orderBy("fingerprint", "number").collect()]
+    assert got == [("a", 7, 100_000, i, 7 + i, 1) for i in range(99_993)] + [("b", 0, 8193, i, i, 1) for i in range(8193)]
